@@ -66,6 +66,11 @@ def covering_masks(radius: int) -> list[int]:
     return [m - (1 << BITS) if m >> BITS - 1 else m for m in masks]
 
 
+def _differing(a: np.ndarray, b: np.ndarray | np.int64) -> np.ndarray:
+    """Differing bits; the count of a signed integer would be that of its absolute value."""
+    return np.bitwise_count((a ^ b).view(np.uint64))
+
+
 def _forest(fp: np.ndarray, node: np.ndarray, radius: int, out: list[tuple[np.ndarray, np.ndarray]]) -> None:
     """Links of each linked set within one bucket to its smallest node."""
     left = np.arange(len(fp))
@@ -74,7 +79,7 @@ def _forest(fp: np.ndarray, node: np.ndarray, radius: int, out: list[tuple[np.nd
         while len(front) and len(left):
             near = np.zeros(len(left), dtype=bool)
             for x in fp[front]:
-                near |= np.bitwise_count(fp[left] ^ x) <= radius
+                near |= _differing(fp[left], x) <= radius
             front, left = left[near], left[~near]
             group.append(front)
         nodes = node[np.concatenate(group)]
@@ -99,7 +104,7 @@ def _bucket_links(batches: Iterator[pa.RecordBatch], radius: int, dense: int) ->
         starts, sizes = np.concatenate([[0], new]), np.diff(np.concatenate([[0], new, [len(t)]]))
         links: list[tuple[np.ndarray, np.ndarray]] = []
         two = starts[sizes == 2]
-        near = two[np.bitwise_count(fp[two] ^ fp[two + 1]) <= radius]
+        near = two[_differing(fp[two], fp[two + 1]) <= radius]
         links.append((node[near], node[near + 1]))
         for at, n in zip(starts[sizes > 2], sizes[sizes > 2], strict=True):
             if n <= dense:

@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 #: Labelled rows that the lexicon and the weights are learned from, at most; entries of the lexicon, at most.
 TRAIN_ROWS, LEXICON = 40_000, 400
-#: Rows with a term, at least, and the share of them that are toxic, at least, for the lexicon.
-SUPPORT, PRECISION = 6, 0.8
+#: Toxic rows with a term, at least: a number, and a share of all toxic rows; and the share of toxic ones among its rows, at least.
+SUPPORT, SHARE, PRECISION = 4, 0.01, 0.7
 #: Words to each side of a term that make its context.
 CONTEXT = 5
 #: Lengths of stems (beginnings of words) in the lexicon.
@@ -164,7 +164,7 @@ class Scorer:
             said = any(q in around[0] for q in QUOTES) and any(q in around[1] for q in QUOTES) or not REPORTS.isdisjoint(words[a:b])
             quoted += said
             weight += self.lexicon[entry] * (0.5 if said else 1.0) / (1 + edits)
-        return [float(exact > 0), np.log1p(exact), float(close > 0), np.log1p(close), total / len(words), np.log1p(weight), quoted / total]
+        return [float(exact > 0), np.log1p(exact), float(close > 0), np.log1p(close), total / len(words), np.log1p(max(weight, 0.0)), quoted / total]
 
     def score(self, text: str | None) -> float:
         z = self.weights[0] + float(np.dot(self.weights[1:], self.features(text)))
@@ -185,14 +185,22 @@ def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def learn_lexicon(rows: DataFrame, size: int = LEXICON) -> dict[str, float]:
     """Entries and their weights, from rows of ``text`` and ``toxic``.
 
-    An entry is in at least ``SUPPORT`` rows, of which ``PRECISION`` or more are toxic.
+    An entry is in at least ``SUPPORT`` toxic rows and ``SHARE`` of them, and at least
+    ``PRECISION`` of its rows are toxic.
     Of a stem and the words and longer stems that begin with it, the stem stays if
     it is in more toxic rows and no less precise. The weight is the log of the odds.
     """
     counts = rows.select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(_term_counts, "term string, pos bigint, neg bigint").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    good = counts.where((F.col("pos") >= SUPPORT) & (F.col("pos") >= PRECISION * (F.col("pos") + F.col("neg"))))
+    least = max(SUPPORT, SHARE * rows.where("toxic = 1").count())
+    good = counts.where((F.col("pos") >= least) & (F.col("pos") >= PRECISION * (F.col("pos") + F.col("neg"))))
     # the best 20 for each place in the lexicon: stems and what begins with them are both among them
     found = {r["term"]: (r["pos"], r["neg"]) for r in good.orderBy(F.desc(F.col("pos") / (F.col("neg") + 1.0)), F.desc("pos"), "term").limit(20 * size).collect()}
+    # a stem stands for several words; one that hardly adds to a single word gives way to it
+    top = {}
+    for t, (pos, _) in found.items():
+        for n in STEMS if not t.endswith("*") else ():
+            top[t[:n] + "*"] = max(top.get(t[:n] + "*", 0), pos)
+    found = {t: c for t, c in found.items() if not t.endswith("*") or c[0] > 1.2 * top.get(t, 0)}
     worth = lambda t: (found[t][0] / (found[t][1] + 1), found[t][0], not t.endswith("*"), t)
     kept: list[str] = []
     for t in sorted(found, key=worth, reverse=True):

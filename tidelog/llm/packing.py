@@ -75,8 +75,8 @@ def tokenize(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None,
         encode = _Encoder(path)
         for batch in batches:
             out: list[list] = [[] for _ in names]
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                whole = np.append(encode(text or ""), np.array([END], dtype="<u4"))
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                whole = np.append(encode(text.as_py() or ""), np.array([END], dtype="<u4"))
                 for piece, (start, length) in enumerate(cut(len(whole), capacity)):
                     part = whole[start : start + length]
                     for column, x in zip(out, (doc_id, piece, start, length, zlib.crc32(part.tobytes()), part.tolist() if ids else None), strict=False):
@@ -157,11 +157,10 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUN
 
     if left[capacity]:
         take({capacity: 1}, int(left[capacity]))
-    if left.sum() > SINGLES:
-        for pattern, x in sorted(configurations(left.copy(), capacity, rounds), key=lambda p: (-p[1], sorted(p[0].items()))):
-            times = min(int(x), *(int(left[length]) // k for length, k in pattern.items())) if pattern else 0
-            if times:
-                take(pattern, times)
+    for pattern, x in sorted(configurations(left.copy(), capacity, rounds), key=lambda p: (-p[1], sorted(p[0].items()))):
+        times = min([int(x), *(int(left[length]) // k for length, k in pattern.items())]) if pattern else 0
+        if times:
+            take(pattern, times)
     while left.sum() > SINGLES:
         # filling knapsacks; long pieces count slightly more a token, as they are harder to place
         lengths = np.arange(capacity + 1)

@@ -56,8 +56,14 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.cut_repeats(_read(spark, sf_dir, "documents"), digest=True)
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_decontamination, op2_simhash, op3_licenses, op4_winnowing, op5_packing, op6_secrets, op7_toxicity, op8_sharding, op9_urls, op10_substrings)}
+    return {f.__name__: f for f in (op1_decontamination, op2_simhash, op3_licenses, op4_winnowing, op5_packing, op6_secrets, op7_toxicity, op8_sharding, op9_urls, op10_substrings, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -54,6 +54,49 @@ def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id bigint, fp bigint")
 
 
+#: Words of so many bytes make the fingerprint that finds candidates for verified links, where a text has LONG_LEAST of them.
+LONG_WORD, LONG_LEAST = 9, 4
+#: Bits of the sketch of five-word shingles, and differing ones up to which it counts as a similarity of 0.8 or more.
+SKETCH_WORDS, SKETCH_BITS, SKETCH_DIFFERING = 5, 256, 48
+
+
+def _majority(digests: list[bytes], bits: int) -> bytes:
+    counts = np.zeros(bits, dtype=np.int64)
+    for at in range(0, len(digests), BLOCK):
+        rows = np.frombuffer(b"".join(digests[at : at + BLOCK]), dtype=np.uint8).reshape(-1, bits // 8)
+        counts += np.unpackbits(rows, axis=1).sum(axis=0, dtype=np.int64)
+    return np.packbits(counts * 2 > len(digests)).tobytes()
+
+
+def sketch(text: str | None) -> tuple[int, ...]:
+    """A fingerprint of a text's long words, then its SimHash of ``SKETCH_BITS`` bits over distinct five-word shingles, as signed integers.
+
+    An edited word changes one long word at most, but up to five shingles: the
+    first finds candidates, the second estimates how alike the shingles are. For a
+    similarity (Jaccard) of 0.8, the chance that a bit differs is 0.15.
+    """
+    found = (text or "").encode().lower().split()
+    if not found:
+        return (0,) * (1 + SKETCH_BITS // 64)
+    long_ = [w for w in found if len(w) >= LONG_WORD]
+    first = _majority([xxhash.xxh64_digest(w, SEED) for w in (long_ if len(long_) >= LONG_LEAST else found)], 64)
+    shingles = {b" ".join(found[i : i + SKETCH_WORDS]) for i in range(max(1, len(found) - SKETCH_WORDS + 1))}
+    wide = _majority([xxhash.xxh3_128_digest(s) + xxhash.xxh3_128_digest(s, SEED) for s in shingles], SKETCH_BITS)
+    return tuple(np.frombuffer(first + wide, dtype=">i8").tolist())
+
+
+def sketches(docs: DataFrame) -> DataFrame:
+    """``doc_id``, ``fp`` and ``s0`` to ``s3`` of each row of ``docs``."""
+    names = ["fp", *[f"s{i}" for i in range(SKETCH_BITS // 64)]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = np.array([sketch(x.as_py()) for x in batch.column(1)], dtype=np.int64).reshape(-1, len(names))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c) for c in found.T]], names=["doc_id", *names])
+
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id bigint, " + ", ".join(f"{n} bigint" for n in names))
+
+
 def covering_masks(radius: int) -> list[int]:
     """Bit masks, as signed integers, such that any two fingerprints within ``radius`` agree under one of them.
 
@@ -71,15 +114,18 @@ def _differing(a: np.ndarray, b: np.ndarray | np.int64) -> np.ndarray:
     return np.bitwise_count((a ^ b).view(np.uint64))
 
 
-def _forest(fp: np.ndarray, node: np.ndarray, radius: int, out: list[tuple[np.ndarray, np.ndarray]]) -> None:
-    """Links of each linked set within one bucket to its smallest node."""
+def _forest(fp: np.ndarray, node: np.ndarray, radius: int, out: list[tuple[np.ndarray, np.ndarray]], wide: list[np.ndarray]) -> None:
+    """Links of each linked set within one bucket to its smallest node. ``wide``: parts of sketches, to differ in ``SKETCH_DIFFERING`` bits at most."""
     left = np.arange(len(fp))
     while len(left):
         group, front, left = [left[:1]], left[:1], left[1:]
         while len(front) and len(left):
             near = np.zeros(len(left), dtype=bool)
-            for x in fp[front]:
-                near |= _differing(fp[left], x) <= radius
+            for i in front:
+                fits = _differing(fp[left], fp[i]) <= radius
+                if wide:
+                    fits &= sum(_differing(s[left], s[i]).astype(np.int64) for s in wide) <= SKETCH_DIFFERING
+                near |= fits
             front, left = left[near], left[~near]
             group.append(front)
         nodes = node[np.concatenate(group)]
@@ -91,13 +137,13 @@ def _forest(fp: np.ndarray, node: np.ndarray, radius: int, out: list[tuple[np.nd
 
 def _bucket_links(batches: Iterator[pa.RecordBatch], radius: int, dense: int) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by table and key. Yields links (kind 0) and the members of dense buckets (kind 1: fp, node)."""
-    held = [np.empty(0, dtype=np.int64)] * 4
+    held: list[np.ndarray] | None = None
     overflow = False  # the bucket that is held is dense, and its first members are out
 
     def rows(kind: int, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, dtype=np.int32)), pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["kind", "a", "b"])
 
-    def closed(t: np.ndarray, key: np.ndarray, fp: np.ndarray, node: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def closed(t: np.ndarray, key: np.ndarray, fp: np.ndarray, node: np.ndarray, *wide: np.ndarray) -> Iterator[pa.RecordBatch]:
         if not len(t):
             return
         new = np.flatnonzero((t[1:] != t[:-1]) | (key[1:] != key[:-1])) + 1
@@ -105,17 +151,21 @@ def _bucket_links(batches: Iterator[pa.RecordBatch], radius: int, dense: int) ->
         links: list[tuple[np.ndarray, np.ndarray]] = []
         two = starts[sizes == 2]
         near = two[_differing(fp[two], fp[two + 1]) <= radius]
+        if wide:
+            near = near[sum(_differing(s[near], s[near + 1]).astype(np.int64) for s in wide) <= SKETCH_DIFFERING]
         links.append((node[near], node[near + 1]))
         for at, n in zip(starts[sizes > 2], sizes[sizes > 2], strict=True):
-            if n <= dense:
-                _forest(fp[at : at + n], node[at : at + n], radius, links)
+            if n <= dense or wide:
+                _forest(fp[at : at + n], node[at : at + n], radius, links, [s[at : at + n] for s in wide])
             else:
                 yield rows(1, fp[at : at + n], node[at : at + n])
         yield rows(0, np.concatenate([x for x, _ in links]), np.concatenate([y for _, y in links]))
 
     for batch in batches:
-        cols = [np.concatenate([h, c.to_numpy(zero_copy_only=False)]) for h, c in zip(held, batch.columns, strict=True)]
-        t, key, fp, node = cols
+        cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        if held is not None:
+            cols = [np.concatenate([h, c]) for h, c in zip(held, cols, strict=True)]
+        t, key, fp, node = cols[:4]
         if not len(t):
             continue
         cut = int(np.flatnonzero((t != t[-1]) | (key != key[-1]))[-1]) + 1 if (t[0] != t[-1] or key[0] != key[-1]) else 0
@@ -126,12 +176,12 @@ def _bucket_links(batches: Iterator[pa.RecordBatch], radius: int, dense: int) ->
             cut, overflow = max(0, cut - end), not cut
         yield from closed(*[c[:cut] for c in cols])
         held = [c[cut:] for c in cols]
-        if len(held[0]) > dense:
+        if len(held[0]) > dense and len(held) == 4:
             yield rows(1, held[2], held[3])
             held, overflow = [c[-1:] for c in held], True
     if overflow:
         yield rows(1, held[2], held[3])
-    else:
+    elif held is not None:
         yield from closed(*held)
 
 
@@ -159,11 +209,16 @@ def fingerprint_links(fps: DataFrame, radius: int = 4, dense: int = 4096) -> Dat
     ``dense`` members is compared within the task that streams over it, and only
     a star for each linked set comes out, never all pairs. Larger buckets are left
     to the midpoints, which are exact as well. ``radius`` is even.
+
+    With parts of sketches as further columns, a link needs like sketches as well.
+    Then buckets of any size are compared in their task: a group that is linked to
+    one member is done in one pass over the bucket.
     """
     if radius % 2:
         raise ValueError("radius must be even")
+    wide = [c for c in fps.columns if c not in ("fp", "node")]
     tables = F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for t, m in enumerate(covering_masks(radius))])
-    keyed = fps.where("node is not null").select(F.explode(tables).alias("x"), "fp", "node").select(F.col("x.t").cast("bigint").alias("t"), "x.key", "fp", "node")
+    keyed = fps.where("node is not null").select(F.explode(tables).alias("x"), "fp", "node", *wide).select(F.col("x.t").cast("bigint").alias("t"), "x.key", "fp", "node", *wide)
     found = keyed.repartition("t", "key").sortWithinPartitions("t", "key").mapInArrow(lambda it: _bucket_links(it, radius, dense), "kind int, a bigint, b bigint")
     found = keep(found, "bucket-links")
     hot = found.where("kind = 1").select(F.col("a").alias("fp"), F.col("b").alias("node")).distinct()
@@ -187,3 +242,20 @@ def near_duplicates(docs: DataFrame, radius: int = 4, words: int = 4, dense: int
     fps = keep(own.groupBy("fp").agg(F.min("doc_id").alias("node")), "simhash-distinct")
     groups = fps.join(components(fingerprint_links(fps, radius, dense)), "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
     return own.join(groups, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def drop_near_duplicates(docs: DataFrame, radius: int = 4) -> DataFrame:
+    """``docs`` with one document of each group of near-duplicates: that of the smallest id. All columns stay.
+
+    Candidates agree up to ``radius`` bits in the SimHash of their long words, found by
+    covering hashing; they are linked if their sketches of five-word shingles show a
+    similarity of 0.8 or more. Groups are what links connect; equal texts are one
+    from the start. Rows with a null id stay; null and empty texts are alike.
+    Repeated rows of an id stay or go together. Of exact copies under one id, all rows stay.
+    """
+    own = keep(sketches(docs), "sketches")
+    parts = [c for c in own.columns if c != "doc_id"]
+    classes = keep(own.groupBy(*parts).agg(F.min("doc_id").alias("node")).where("node is not null"), "sketch-classes")
+    groups = classes.join(components(fingerprint_links(classes, radius)), "node", "left").select(*parts, F.coalesce("component", "node").alias("component_id"))
+    gone = own.join(groups, parts).where("doc_id <> component_id").select("doc_id").distinct()
+    return docs.join(keep(gone, "near-duplicates").withColumnRenamed("doc_id", "_gone"), F.col("doc_id") == F.col("_gone"), "left_anti")

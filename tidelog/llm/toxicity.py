@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidelog.llm.tables import keep
+
 #: Labelled rows that the lexicon and the weights are learned from, at most; entries of the lexicon, at most.
 TRAIN_ROWS, LEXICON = 40_000, 400
 #: Toxic rows with a term, at least: a number, and a share of all toxic rows; and the share of toxic ones among its rows, at least.
@@ -67,8 +69,8 @@ class TrieAutomaton:
 
     @staticmethod
     def edits(body: str, stem: bool) -> int:
-        """Edits that an entry allows: none for short ones, whose neighbours are ordinary words."""
-        return 0 if len(body) < 5 or stem and len(body) < 8 else 1 if len(body) < 10 else 2
+        """Edits that an entry allows: one for whole words of five letters or more; short words and stems have ordinary words as neighbours."""
+        return 0 if stem or len(body) < 5 else 1
 
     def _insert_free(self, items: set[tuple[int, int]]) -> frozenset:
         """Close over characters of entries that the word lacks; keep the fewest edits of each node."""
@@ -110,7 +112,7 @@ class TrieAutomaton:
         for c in word:
             to = moves[state].get(c)
             if to is None:
-                if len(self.sets) > 20_000:
+                if len(self.sets) > 50_000:
                     self.__init__([e for e in self.entry if e])
                     return self.match(word)
                 to = moves[state][c] = self._move(state, c)
@@ -140,7 +142,7 @@ class Scorer:
                 self.clean.add(w)
             else:
                 self.known[w] = found[w] = m
-        if len(self.clean) > 1_000_000:
+        if len(self.clean) > 200_000:
             self.clean.clear()
         return found
 
@@ -241,7 +243,8 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, size: int
     """
     own = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     own = own.where(~held_out(F.col("doc_id"))).where("toxic in (0, 1)").orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    train = docs.where("text is not null").select("doc_id", "text").join(own, "doc_id").select("doc_id", "text", "toxic")
+    # at most ``rows`` ids are broadcast, and the texts stay where they are read
+    train = keep(docs.where("text is not null").select("doc_id", "text").join(F.broadcast(own), "doc_id").select("text", "toxic"), "labelled")
     lexicon = learn_lexicon(train, size)
     scorer = Scorer(lexicon)
 

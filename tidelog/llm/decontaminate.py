@@ -34,10 +34,10 @@ IS_NUMBER, IS_UNIT, IS_NAME, IS_LAST, IS_TOKEN = 1, 2, 4, 8, 16
 
 
 class _Chunks(dict):
-    """Code and flags of chunks between white space; emptied when large, which changes no result."""
+    """Code (upper bits) and flags (the five lowest) of chunks between white space; emptied when large, which changes no result."""
 
-    def __missing__(self, chunk: str) -> tuple[int, int]:
-        if len(self) > 300_000:
+    def __missing__(self, chunk: str) -> int:
+        if len(self) > 100_000:
             self.clear()
         bare = _EDGE.sub("", chunk)
         word = _INNER.sub("", bare.lower())
@@ -50,7 +50,7 @@ class _Chunks(dict):
                 flags |= IS_UNIT
             elif len(word) > 1 and bare[:1].isupper() and not bare[1:].isupper():
                 flags |= IS_NAME
-        self[chunk] = out = (xxhash.xxh64_intdigest(word), flags)
+        self[chunk] = out = xxhash.xxh64_intdigest(word) & ~31 | flags
         return out
 
 
@@ -60,9 +60,9 @@ def _canonical(text: str | None, chunks: _Chunks) -> tuple[np.ndarray, np.ndarra
     Tokens are words without case and punctuation. In the template, numbers, names
     (capitalised words within a sentence) and units (after a number) are placeholders.
     """
-    found = [chunks[c] for c in (text or "").split()]
-    codes = np.fromiter((c for c, _ in found), dtype=_U, count=len(found))
-    flags = np.fromiter((f for _, f in found), dtype=np.int64, count=len(found))
+    parts = (text or "").split()
+    found = np.fromiter(map(chunks.__getitem__, parts), dtype=_U, count=len(parts))
+    codes, flags = found & ~_U(31), (found & _U(31)).astype(np.int64)
     begins = np.concatenate([[True], (flags[:-1] & IS_LAST) > 0])[: len(flags)]
     token = (flags & IS_TOKEN) > 0
     codes, flags, begins = codes[token], flags[token], begins[token]
@@ -109,8 +109,8 @@ def _emit(width: int, filter_: np.ndarray | None):
         chunks = _Chunks()
         for batch in batches:
             columns: list[list] = [[], [], [], [], [], []]
-            for id_, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                hashes, at, template, codes, slot = _windows(text, chunks, width)
+            for id_, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                hashes, at, template, codes, slot = _windows(text.as_py(), chunks, width)
                 n = max(0, len(codes) - width + 1)
                 if filter_ is not None:
                     bit = (hashes % _U(FILTER_BITS)).astype(np.int64)

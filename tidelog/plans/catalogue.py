@@ -5,13 +5,635 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidelog.functions import media
+from tidelog.functions import text as tx
+from tidelog.functions import time as tm
+from tidelog.operators import changes, graph, intervals, log, merge
+from tidelog.plans.adapters import FIXTURE_TYPES, event_log, fragments, new_snapshot, old_snapshot, raw_log, table, transcript_pairs, with_sql
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    """Register a query under its function's name."""
+
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql is not None:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
 
 def queries() -> dict[str, Query]:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+# --- the log ---------------------------------------------------------------------------------
+
+
+@query(with_sql("log", "select seq, id, date, original, input from log"))
+def src_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return raw_log(spark, sf_dir).select("seq", "id", "date", "original", "input")
+
+
+@query(with_sql("log", "select id, type, description from log"))
+def parse_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return event_log(spark, sf_dir).select("id", "type", "description")
+
+
+@query(with_sql("log", "select id, cast(user_id as varchar) as user_modifier, k as k_modifier, 2 as n_modifiers from log"))
+def parse_modifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = F.col("modifiers")
+    return event_log(spark, sf_dir).select("id", m["user"].alias("user_modifier"), m["k"].alias("k_modifier"), F.size(m).alias("n_modifiers"))
+
+
+@query("select doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) as normal from documents")
+def normalize_ws(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", tx.normalize_ws(F.col("text")).alias("normal"))
+
+
+@query(with_sql("log", "select id, array_to_string(hashtags, ' ') as tags, len(hashtags) as n_tags from log"))
+def hashtags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return event_log(spark, sf_dir).select("id", F.array_join("hashtags", " ").alias("tags"), F.size("hashtags").cast("bigint").alias("n_tags"))
+
+
+@query(with_sql("log", "select id, type, description from log where regexp_matches(type, 'purch', 'i') or regexp_matches(description, 'purch', 'i')"))
+def search_regex(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return log.search(event_log(spark, sf_dir), "purch").select("id", "type", "description")
+
+
+@query(with_sql("log", "select row_number() over (order by date desc, seq) as rank, id from log order by date desc, seq limit 500"))
+def sort_desc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    top = log.first_entries(raw_log(spark, sf_dir), 500, "desc")
+    return top.selectExpr("row_number() over (order by date desc, seq) as rank", "id")
+
+
+@query(with_sql("log", "select row_number() over (order by date, seq desc) as rank, id from log order by date, seq desc limit 500"))
+def sort_asc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    top = log.first_entries(raw_log(spark, sf_dir), 500, "asc")
+    return top.selectExpr("row_number() over (order by date, seq desc) as rank", "id")
+
+
+@query(with_sql("log", "select id, date, input from log order by date desc, seq limit 100"))
+def last_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return log.first_entries(raw_log(spark, sf_dir), 100, "desc").select("id", "date", "input")
+
+
+@query(with_sql("log", "select id, date, input from log order by date, seq desc limit 100"))
+def first_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return log.first_entries(raw_log(spark, sf_dir), 100, "asc").select("id", "date", "input")
+
+
+@query(with_sql("log", "select id, date, type, description from log where regexp_matches(type, 'purch', 'i') or regexp_matches(description, 'purch', 'i') order by date desc, seq limit 21 offset 20"))
+def page_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return log.page(event_log(spark, sf_dir), page=2, limit=20, pattern="purch").select("id", "date", "type", "description")
+
+
+@query(with_sql("log", "select r.id, l.input, l.id is not null as found from (select cast(user_id * 7 as varchar) as id from (select distinct user_id from events)) r left join log l on l.id = r.id"))
+def event_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    requests = table(spark, sf_dir, "events").select((F.col("user_id") * 7).cast("string").alias("id")).distinct()
+    return log.lookup(raw_log(spark, sf_dir), requests).select("id", "input", "found")
+
+
+@query("select count(*) as n from events")
+def events_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return log.events_count(raw_log(spark, sf_dir))
+
+
+@query(with_sql("log", "select id, case when type = 'diary' then description end as entry_description from (select id, description, case when seq % 3 = 0 then 'diary' else type end as type from log)"))
+def entry_description(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = event_log(spark, sf_dir).withColumn("type", F.when(F.col("seq") % 3 == 0, "diary").otherwise(F.col("type")))
+    return log.entry_description(own)
+
+
+@query(with_sql("log", "select tag, count(*) as n from (select unnest(hashtags) as tag from log) group by tag"))
+def tag_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return log.tag_counts(event_log(spark, sf_dir))
+
+
+_USER_TAG = "[list_extract(hashtags, 2)]"
+
+
+def _user_tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log with the user tags only, of which each has a bounded number of entries."""
+    return event_log(spark, sf_dir).withColumn("hashtags", F.filter("hashtags", lambda t: F.startswith(t, F.lit("u-"))))
+
+
+@query(
+    with_sql(
+        "log",
+        """select e_id, count(*) as n from (select a.id as e_id, b.id as o_id from log a join log b on a.user_id = b.user_id where b.type in ('signup', 'purchase')
+ union select id, id from log) group by e_id""",
+    )
+)
+def event_context_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return log.context_sizes(_user_tagged(spark, sf_dir), FIXTURE_TYPES)
+
+
+@query(
+    with_sql(
+        "log",
+        """select e_id, string_agg(o_id, ',' order by o_seq) as context from (select a.id as e_id, b.id as o_id, b.seq as o_seq from log a join log b on list_has_any(a.hashtags, b.hashtags)
+ where b.type in ('signup', 'purchase') and a.seq % 500 = 0 union select id, id, seq from log where seq % 500 = 0) group by e_id""",
+    )
+)
+def basic_context_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = event_log(spark, sf_dir)
+    found = log.event_context(own, own.where("seq % 500 = 0"), FIXTURE_TYPES)
+    return found.select("e_id", F.array_join("context", ",").alias("context"))
+
+
+@query(with_sql("log", "select id as e_id, case when seq % 2 = 0 then id || ',stored' else id end as context from log"))
+def context_default(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = raw_log(spark, sf_dir)
+    stored = own.where("seq % 2 = 0").select(F.col("id").alias("e_id"), F.array("id", F.lit("stored")).alias("context"))
+    return log.context_or_self(own, stored).select("e_id", F.array_join("context", ",").alias("context"))
+
+
+@query("select p_brand as name, p_type as only_for_type from part where p_type = 'none' or p_partkey % 5 = 0 or p_type in (select p_type from part where p_size > 40)")
+def ontology_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part")
+    modifiers = p.select(F.col("p_brand").alias("name"), F.when(F.col("p_partkey") % 5 != 0, F.col("p_type")).alias("only_for_type"), "p_type")
+    context = p.where("p_size > 40").select(F.col("p_type").alias("type"))
+    _, kept = log.ontology_filter(p.select(F.col("p_type").alias("name")), modifiers, context)
+    return kept.select("name", F.col("p_type").alias("only_for_type"))
+
+
+@query(with_sql("log", "select id, input from log where seq % 9 <> 0"))
+def delete_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = raw_log(spark, sf_dir)
+    return log.delete_events(own, own.where("seq % 9 = 0")).select("id", "input")
+
+
+@query(with_sql("log", "select seq, id from log union all select (select max(seq) from log) + seq + 1, 'new-' || id from log where seq % 100 = 0"))
+def append_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = raw_log(spark, sf_dir).select("seq", "id")
+    new = own.where("seq % 100 = 0").select((F.col("seq") + 1).alias("seq"), F.concat(F.lit("new-"), "id").alias("id"))
+    return log.append_events(own, new)
+
+
+# --- change logs and differences -----------------------------------------------------------------
+
+
+@query(
+    with_sql(
+        "log old_snapshot new_snapshot",
+        """select case when o.id is null then 'add' when n.id is null then 'delete' else 'edit' end as action, coalesce(n.id, o.id) as id, coalesce(n.input, o.input) as input
+ from old_snapshot o full outer join new_snapshot n on o.id = n.id where o.id is null or n.id is null or o.input <> n.input or o.date <> n.date or o.original <> n.original""",
+    )
+)
+def snapshot_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = changes.snapshot_diff(old_snapshot(spark, sf_dir), new_snapshot(spark, sf_dir))
+    return found.select("action", "id", F.col("event.input").alias("input"))
+
+
+_CHANGES = """changes as (select event_id as change_seq, cast(user_id as varchar) as id, case when event_type = 'error' then 'delete' when event_type = 'signup' then 'add' else 'edit' end as action,
+ event_type || event_id as event from events)"""
+
+
+def _change_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    action = F.when(F.col("event_type") == "error", "delete").when(F.col("event_type") == "signup", "add").otherwise("edit")
+    return e.select(F.col("event_id").alias("change_seq"), F.col("user_id").cast("string").alias("id"), action.alias("action"), F.concat("event_type", F.col("event_id").cast("string")).alias("event"))
+
+
+@query(f"with {_CHANGES} select id, event from (select *, row_number() over (partition by id order by change_seq desc) as n from changes) where n = 1 and action <> 'delete'")
+def replay_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return changes.replay(_change_log(spark, sf_dir)).select("id", "event")
+
+
+@query(f"with {_CHANGES} select change_seq, id, action, event from (select *, row_number() over (partition by id order by change_seq desc) as n from changes) where n = 1")
+def latest_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return changes.latest_changes(_change_log(spark, sf_dir)).select("change_seq", "id", "action", "event")
+
+
+_STORES = """src as (select 'n/' || o_orderkey as key, o_orderstatus || case when o_orderkey % 11 = 0 then '!' else '' end as value from orders where o_orderkey % 5 <> 0),
+ tgt as (select 'n/' || o_orderkey as key, o_orderstatus as value from orders where o_orderkey % 7 <> 0)"""
+_OPS = "ops as (select coalesce(s.key, t.key) as key, case when s.key is null then 'delete' when t.key is null or s.value <> t.value then 'put' else 'unchanged' end as op, s.value from src s full outer join tgt t on s.key = t.key)"
+
+
+def _stores(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.concat(F.lit("n/"), F.col("o_orderkey").cast("string")).alias("key"), F.col("o_orderstatus").alias("value"))
+    source = o.where("o_orderkey % 5 <> 0").withColumn("value", F.concat("value", F.when(F.col("o_orderkey") % 11 == 0, "!").otherwise("")))
+    return source.select("key", "value"), o.where("o_orderkey % 7 <> 0").select("key", "value")
+
+
+@query(f"with {_STORES}, {_OPS} select key, op, value from ops")
+def store_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return changes.store_diff(*_stores(spark, sf_dir))
+
+
+@query(f"with {_STORES}, {_OPS} select count(*) filter (op <> 'delete') as n_source, count(*) filter (op = 'put') as n_put, count(*) filter (op = 'delete') as n_delete, count(*) filter (op = 'unchanged') as n_unchanged from ops")
+def diff_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return changes.diff_stats(changes.store_diff(*_stores(spark, sf_dir)))
+
+
+@query(f"with {_STORES} select key, value from src")
+def store_unified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    source, target = _stores(spark, sf_dir)
+    return changes.apply_diff(target, changes.store_diff(source, target))
+
+
+# --- graph and replicas --------------------------------------------------------------------------
+
+_NODES = """base as (select cast(event_id as varchar) as e, event_id from events where event_id % 10 < 3),
+ nodes as (select 'a-0' as id, 'all_events' as head, '[]' as args, '{"head":"all_events","args":[]}' as key, 'up-to-date' as freshness
+ union all select 'v-' || e, 'event', '["' || e || '"]', '{"head":"event","args":["' || e || '"]}', case when event_id % 4 = 0 then 'potentially-outdated' else 'up-to-date' end from base
+ union all select 'd-' || e, 'entry_description', '["' || e || '"]', '{"head":"entry_description","args":["' || e || '"]}', case when event_id % 4 = 0 then 'potentially-outdated' else 'up-to-date' end from base where event_id % 10 < 2)"""
+_EDGES = """edges as (select id, 'a-0' as input_id, 0 as pos from nodes where head = 'event' union all select id, 'v-' || substr(id, 3), 0 from nodes where head = 'entry_description')"""
+_VALID = "valid as (select input_id as dep_id, id as dependent_id from edges where cast(substr(id, 3) as bigint) % 4 <> 0)"
+
+
+def _state(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Nodes, edges and proofs of a graph over some of the events."""
+    base = table(spark, sf_dir, "events").where("event_id % 10 < 3").select("event_id", F.col("event_id").cast("string").alias("e"))
+
+    def family(rows: DataFrame, prefix: str, head: str) -> DataFrame:
+        args = F.to_json(F.array("e"))
+        fresh = F.when(F.col("event_id") % 4 == 0, graph.STALE).otherwise(graph.FRESH)
+        return rows.select(F.concat(F.lit(prefix), "e").alias("id"), F.lit(head).alias("head"), args.alias("args"), graph.node_key(F.lit(head), args).alias("key"), fresh.alias("freshness"))
+
+    root = spark.range(1).select(F.lit("a-0").alias("id"), F.lit("all_events").alias("head"), F.lit("[]").alias("args"), graph.node_key(F.lit("all_events"), F.lit("[]")).alias("key"), F.lit(graph.FRESH).alias("freshness"))
+    nodes = root.unionByName(family(base, "v-", "event")).unionByName(family(base.where("event_id % 10 < 2"), "d-", "entry_description"))
+    edges = graph.derive_edges(nodes, graph.scheme_table(spark, graph.default_families())).select("id", "input_id", "pos")
+    valid = edges.where("cast(substr(id, 3) as bigint) % 4 <> 0").select(F.col("input_id").alias("dep_id"), F.col("id").alias("dependent_id"))
+    return nodes, edges, valid
+
+
+_DEPTH = 3
+
+
+@query(f"with {_NODES}, {_EDGES} select id, input_id, pos from edges")
+def edge_derivation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _state(spark, sf_dir)[1]
+
+
+@query(f"with {_NODES}, {_EDGES}, {_VALID} select n.id, count(e.id) > 0 and count(e.id) = count(v.dep_id) as usable from nodes n left join edges e on e.id = n.id left join valid v on v.dependent_id = e.id and v.dep_id = e.input_id group by n.id")
+def cache_predicate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.cache_usable(*_state(spark, sf_dir))
+
+
+@query(
+    f"""with recursive {_NODES}, {_EDGES}, {_VALID}, reached as (select id from nodes where head = 'event' and cast(substr(id, 3) as bigint) % 6 = 1
+ union select v.dependent_id from reached r join valid v on v.dep_id = r.id)
+ select n.id, case when r.id is not null then 'potentially-outdated' else n.freshness end as freshness from nodes n left join reached r on r.id = n.id"""
+)
+def invalidate_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, _, valid = _state(spark, sf_dir)
+    targets = nodes.where("head = 'event' and cast(substr(id, 3) as bigint) % 6 = 1").select("id")
+    return graph.invalidate(nodes, valid, targets, _DEPTH)[0].select("id", "freshness")
+
+
+@query(f"with {_NODES} select id, case head when 'all_events' then 0 when 'event' then 1 else 2 end as level from nodes")
+def topological_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, edges, _ = _state(spark, sf_dir)
+    return graph.topological_levels(edges, nodes, _DEPTH)
+
+
+@query(
+    f"""with {_NODES}, {_EDGES}, {_VALID} select 'fresh on stale input' as rule, e.id from edges e join nodes n on n.id = e.id join nodes i on i.id = e.input_id
+ where n.freshness = 'up-to-date' and i.freshness <> 'up-to-date'
+ union all select 'fresh without proof', e.id from edges e join nodes n on n.id = e.id where n.freshness = 'up-to-date' and not exists (select 1 from valid v where v.dependent_id = e.id and v.dep_id = e.input_id)
+ union all select 'times', id from nodes where cast(substr(id, 3) as bigint) % 50 = 7"""
+)
+def invariant_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, edges, valid = _state(spark, sf_dir)
+    odd = F.expr("cast(substr(id, 3) as bigint) % 50 = 7")
+    timed = nodes.withColumns({"created_at": F.when(odd, "2024-01-02").otherwise("2024-01-01"), "modified_at": F.lit("2024-01-01")})
+    return graph.violations(timed, valid, edges)
+
+
+_REPLICAS = """keyed as (select event_id, 'event/' || event_id as key, ts from events union all select event_id, 'pair/' || event_id, ts from events where event_id % 4 = 0),
+ t as (select key, 't' || key as id, case when event_id % 5 = 0 then 'potentially-outdated' else 'up-to-date' end as freshness, epoch_ms(ts) as m, 'aaaaaaaaa' as fp from keyed where event_id % 3 <> 0),
+ h as (select key, case when event_id % 2 = 0 then 't' else 'h' end || key as id, 'up-to-date' as freshness, epoch_ms(ts) + (event_id % 5 - 2) * 60000 as m, 'bbbbbbbbb' as fp from keyed where event_id % 3 <> 1),
+ kedges as (select key, 'event/' || event_id as input_key from keyed where key like 'pair/%' union all select key, 'event/' || (event_id + 4) from keyed where key like 'pair/%' and event_id % 8 = 0),
+ chosen as (select coalesce(t.key, h.key) as key, case when h.key is null then 'T' when t.key is null then 'H' when (t.m, t.id, t.fp) >= (h.m, h.id, h.fp) then 'T' else 'H' end as side,
+ t.key is not null and h.key is not null and (t.m, t.id, t.fp) <> (h.m, h.id, h.fp) as root, t.id as t_id, h.id as h_id, t.freshness as tf, h.freshness as hf, t.m as tm, h.m as hm from t full outer join h on t.key = h.key)"""
+_TAINT = """, taints(key, taint) as (select key, side from chosen where root union select e.key, s.taint from taints s join kedges e on e.input_key = s.key)"""
+_BAD = """, bad as (select s.key from taints s join chosen c on c.key = s.key where s.taint <> c.side
+ union select e.key from kedges e join chosen c on c.key = e.key join chosen i on i.key = e.input_key
+ where c.side <> i.side or (case when c.side = 'T' then i.t_id else i.h_id end) is distinct from (case when i.side = 'T' then i.t_id else i.h_id end)
+ union select key from chosen where tm = hm and t_id = h_id and (case when side = 'T' then tf else hf end) = 'up-to-date' and (tf <> 'up-to-date' or hf <> 'up-to-date'))
+ , gone(key) as (select key from bad where key in (select key from kedges group by key having count(distinct input_key) > 1) union select e.key from gone g join kedges e on e.input_key = g.key)
+ , outcomes as (select key, side, case when key in (select key from gone) then 'delete' when key in (select key from bad) then 'invalidate' when side = 'T' then 'keep' else 'take' end as outcome from chosen)"""
+
+
+def _replicas(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    e = table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").cast("string").alias("e"))
+    keyed = e.withColumn("key", F.concat(F.lit("event/"), "e")).unionByName(e.where("event_id % 4 = 0").withColumn("key", F.concat(F.lit("pair/"), "e")))
+    stamp = lambda ts: F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    stale = F.when(F.col("event_id") % 5 == 0, graph.STALE).otherwise(graph.FRESH)
+    t = keyed.where("event_id % 3 <> 0").select("key", F.concat(F.lit("t"), "key").alias("id"), stale.alias("freshness"), stamp("ts").alias("created_at"), stamp("ts").alias("modified_at"), F.lit("aaaaaaaaa").alias("fingerprint"))
+    later = F.col("ts") + F.make_dt_interval(mins=(F.col("event_id") % 5 - 2).cast("int"))
+    own = F.concat(F.when(F.col("event_id") % 2 == 0, "t").otherwise("h"), "key")
+    h = keyed.where("event_id % 3 <> 1").select("key", own.alias("id"), F.lit(graph.FRESH).alias("freshness"), stamp("ts").alias("created_at"), stamp(later).alias("modified_at"), F.lit("bbbbbbbbb").alias("fingerprint"))
+    pairs = keyed.where("key like 'pair/%'")
+    edges = pairs.select("key", F.concat(F.lit("event/"), "e").alias("input_key")).unionByName(pairs.where("event_id % 8 = 0").select("key", F.concat(F.lit("event/"), (F.col("event_id") + 4).cast("string")).alias("input_key")))
+    return t, h, edges
+
+
+@query(f"with {_REPLICAS} select key, side, root from chosen")
+def lww_select(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t, h, _ = _replicas(spark, sf_dir)
+    return merge.select_candidates(t, h).select("key", "side", "root")
+
+
+@query(f"with recursive {_REPLICAS} {_TAINT} select key, taint from taints")
+def taint_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t, h, edges = _replicas(spark, sf_dir)
+    return merge.taint(merge.select_candidates(t, h), edges, _DEPTH)
+
+
+@query(f"with recursive {_REPLICAS} {_TAINT} {_BAD} select key from gone")
+def merge_deletions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t, h, edges = _replicas(spark, sf_dir)
+    return merge.deletion_closure(merge.invalidation_candidates(merge.select_candidates(t, h), edges, _DEPTH), edges, _DEPTH)
+
+
+@query(f"with recursive {_REPLICAS} {_TAINT} {_BAD} select key, side, outcome from outcomes")
+def merge_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merge.merge_outcomes(*_replicas(spark, sf_dir), _DEPTH).select("key", "side", "outcome")
+
+
+@query(f"with recursive {_REPLICAS} {_TAINT} {_BAD} select outcome, count(*) as n from outcomes group by outcome")
+def outcome_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merge.outcome_counts(merge.merge_outcomes(*_replicas(spark, sf_dir), _DEPTH))
+
+
+@query(
+    f"""with recursive {_REPLICAS} {_TAINT} {_BAD} select distinct e.input_key as dep_key, e.key from kedges e join outcomes o on o.key = e.key join outcomes i on i.key = e.input_key
+ where o.side = i.side and o.outcome not in ('delete', 'invalidate') and i.outcome <> 'delete'"""
+)
+def proof_transport(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t, h, edges = _replicas(spark, sf_dir)
+    proofs = edges.select(F.col("input_key").alias("dep_key"), "key")
+    return merge.transport_proofs(merge.merge_outcomes(t, h, edges, _DEPTH), edges, proofs, proofs)
+
+
+_DECIDED = """old as (select 'o/' || o_orderkey as key, o_orderkey as k from orders), decided as (select key, case when k % 6 = 0 then 'delete' when k % 5 = 0 then 'invalidate' else 'keep' end as decision from old where k % 97 <> 0),
+ medges as (select key, 'o/' || (k // 2) as input_key, k from old where k % 2 = 0)"""
+
+
+def _migration(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    old = table(spark, sf_dir, "orders").select(F.concat(F.lit("o/"), F.col("o_orderkey").cast("string")).alias("key"), F.col("o_orderkey").alias("k"))
+    decision = F.when(F.col("k") % 6 == 0, "delete").when(F.col("k") % 5 == 0, "invalidate").otherwise("keep")
+    edges = old.where("k % 2 = 0").select("key", F.concat(F.lit("o/"), F.expr("cast(k div 2 as string)")).alias("input_key"), "k")
+    return old, old.where("k % 97 <> 0").select("key", decision.alias("decision")), edges
+
+
+@query(f"with {_DECIDED} select key from old where key not in (select key from decided)")
+def migration_completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    old, decided, _ = _migration(spark, sf_dir)
+    return merge.undecided(decided, old)
+
+
+@query(f"with recursive {_DECIDED}, gone(key, n) as (select key, 0 from decided where decision = 'delete' union select e.key, n + 1 from gone g join medges e on e.input_key = g.key where n < 3) select distinct key as id from gone")
+def migration_delete_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, decided, edges = _migration(spark, sf_dir)
+    start = decided.where("decision = 'delete'").select(F.col("key").alias("id"))
+    return graph.closure(start, edges.select(F.col("input_key").alias("from_id"), F.col("key").alias("to_id")), 3)
+
+
+@query(f"with {_DECIDED} select e.input_key as dep_key, e.key from medges e join decided d on d.key = e.key join decided i on i.key = e.input_key where d.decision = 'keep' and i.decision <> 'delete' and e.k % 3 <> 0")
+def desired_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, decided, edges = _migration(spark, sf_dir)
+    proofs = edges.select(F.col("input_key").alias("dep_key"), "key")
+    return merge.desired_valid(decided, proofs, edges, edges.where("k % 3 <> 0"))
+
+
+# --- schedules ------------------------------------------------------------------------------------
+
+_TASKS = """tasks as (select 'task-' || o_orderkey as name, (o_orderkey % 60) as mi, (o_orderkey % 24) as ho, case when o_orderkey % 3 = 0 then o_orderkey % 28 + 1 end as dom, case when o_orderkey % 4 = 0 then o_orderkey % 7 end as dow,
+ o_orderdate + to_minutes(cast(o_orderkey % 1440 as bigint)) as origin, o_orderkey as k from orders where o_orderkey % 20 = 0)"""
+_DAYS = """days as (select t.*, d.day from tasks t, (select unnest(range(-400, 401)) as off) x, lateral (select cast(cast(t.origin as date) + cast(x.off as int) as date) as day) d
+ where case when dom is not null and dow is not null then day(d.day) = dom or dayofweek(d.day) = dow else (dom is null or day(d.day) = dom) and (dow is null or dayofweek(d.day) = dow) end),
+ runs as (select *, day + to_hours(cast(ho as bigint)) + to_minutes(cast(mi as bigint)) as at from days)"""
+
+
+def _tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tasks with cron expressions, and an instant each."""
+    o = table(spark, sf_dir, "orders").where("o_orderkey % 20 = 0")
+    k = F.col("o_orderkey")
+    part = lambda x: x.cast("string")
+    cron = F.concat_ws(" ", part(k % 60), part(k % 24), F.when(k % 3 == 0, part(k % 28 + 1)).otherwise("*"), F.lit("*"), F.when(k % 4 == 0, part(k % 7)).otherwise("*"))
+    origin = F.timestamp_add("MINUTE", (k % 1440).cast("int"), F.col("o_orderdate").cast("timestamp"))
+    return o.select(F.concat(F.lit("task-"), part(k)).alias("name"), cron.alias("cron"), origin.alias("origin"), k.alias("k"))
+
+
+def _scheduled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _tasks(spark, sf_dir).withColumns(tm.cron_columns(F.col("cron")))
+
+
+@query(f"with {_TASKS} select name, hour(origin) = ho and minute(origin) = mi and case when dom is not null and dow is not null then day(origin) = dom or dayofweek(origin) = dow else (dom is null or day(origin) = dom) and (dow is null or dayofweek(origin) = dow) end as matches from tasks")
+def cron_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scheduled(spark, sf_dir).select("name", tm.cron_matches(F.col("origin")).alias("matches"))
+
+
+@query(f"with {_TASKS}, {_DAYS} select name, strftime(max(at), '%Y-%m-%d %H:%M') as previous from runs where at <= origin group by name")
+def cron_prev(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scheduled(spark, sf_dir).select("name", F.date_format(tm.cron_previous(F.col("origin")), "yyyy-MM-dd HH:mm").alias("previous"))
+
+
+@query(f"with {_TASKS}, {_DAYS} select name, strftime(min(at), '%Y-%m-%d %H:%M') as following from runs where at > origin group by name")
+def cron_next(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scheduled(spark, sf_dir).select("name", F.date_format(tm.cron_next(F.col("origin")), "yyyy-MM-dd HH:mm").alias("following"))
+
+
+_STATES = "states as (select name, origin, k, max(at) filter (at <= origin) as previous from runs group by name, origin, k)"
+
+
+def _task_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = _tasks(spark, sf_dir)
+    last = F.when(F.col("k") % 3 != 1, F.timestamp_add("HOUR", -(F.col("k") % 500).cast("int"), F.col("origin")))
+    retry = F.when(F.col("k") % 7 == 0, F.timestamp_add("MINUTE", (F.col("k") % 11 - 5).cast("int"), F.col("origin")))
+    return t.withColumns({"last_attempt": last, "pending_retry_until": retry, "running": F.col("k") % 13 == 0})
+
+
+@query(
+    f"""with {_TASKS}, {_DAYS}, {_STATES} select name, case when k % 13 = 0 then 'running' when k % 7 = 0 and k % 11 - 5 <= 0 then 'retry'
+ when k % 3 = 1 or origin - to_hours(cast(k % 500 as bigint)) < previous then 'cron' when k % 7 = 0 then 'waiting_retry' else 'waiting' end as decision from states"""
+)
+def due_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tm.evaluate_tasks(_task_states(spark, sf_dir), F.col("origin")).select("name", "decision")
+
+
+# --- fragments ------------------------------------------------------------------------------------
+
+_WATERMARK, _DEADLINE = "1704150000000", "1706000000000"
+_COVER = f"""inside as (select * from fragments where end_ms > {_WATERMARK} and start_ms < {_DEADLINE}),
+ covered as (select *, greatest(coalesce(max(end_ms) over (partition by session_id order by start_ms, sequence rows between unbounded preceding and 1 preceding), {_WATERMARK}), {_WATERMARK}) as covered from inside)"""
+
+
+def _inside(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return intervals.candidates(fragments(spark, sf_dir), F.lit(int(_WATERMARK)), F.lit(int(_DEADLINE)))
+
+
+@query(with_sql("fragments", "select session_id, sequence, start_ms, end_ms, content_hash from fragments"))
+def content_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fragments(spark, sf_dir).select("session_id", "sequence", "start_ms", "end_ms", "content_hash")
+
+
+@query(with_sql("fragments", f", {_COVER} select session_id, covered as start_ms, start_ms as end_ms from covered where start_ms > covered"))
+def gap_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return intervals.find_gaps(_inside(spark, sf_dir), F.lit(int(_WATERMARK)))
+
+
+@query(
+    with_sql(
+        "fragments",
+        f""", {_COVER}, waiting as (select session_id, min(covered) as stop from covered where start_ms > covered and session_id % 2 = 1 group by session_id),
+ crossed as (select session_id, min(covered) as crossed from covered where start_ms > covered and session_id % 2 = 0 group by session_id)
+ select s.session_id, least({_DEADLINE}, coalesce(w.stop, greatest(c.e, {_WATERMARK}), {_WATERMARK})) as processable_end, coalesce(w.stop = {_WATERMARK}, false) as blocked, x.crossed is not null as degraded
+ from (select distinct session_id from fragments) s left join (select session_id, max(end_ms) as e from inside group by session_id) c on c.session_id = s.session_id
+ left join waiting w on w.session_id = s.session_id left join crossed x on x.session_id = s.session_id""",
+    )
+)
+def processable_end(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = fragments(spark, sf_dir)
+    sessions = own.select("session_id").distinct().select("session_id", F.lit(int(_WATERMARK)).alias("watermark_ms"), F.lit(int(_DEADLINE)).alias("deadline_ms"), F.lit(int(_DEADLINE)).alias("now_ms"))
+    # gaps of even sessions are known, and old enough to be given up
+    gaps = intervals.find_gaps(_inside(spark, sf_dir), F.lit(int(_WATERMARK))).where("session_id % 2 = 0")
+    known = gaps.select("session_id", "start_ms", "end_ms", F.lit(0).cast("bigint").alias("first_observed_ms"), F.lit("waiting").alias("status"))
+    return intervals.scan_gaps(own, sessions, known)[0]
+
+
+@query(with_sql("fragments", f", {_COVER} select session_id, sequence, greatest(start_ms, covered) as from_ms, least(end_ms, {_DEADLINE}) as to_ms from covered where least(end_ms, {_DEADLINE}) > greatest(start_ms, covered)"))
+def clip_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return intervals.clip_segments(_inside(spark, sf_dir), F.lit(int(_WATERMARK)), F.lit(int(_DEADLINE)))
+
+
+@query(
+    with_sql(
+        "fragments",
+        f""", {_COVER}, seg as (select session_id, greatest(start_ms, covered) as f, least(end_ms, {_DEADLINE}) as t from covered where least(end_ms, {_DEADLINE}) > greatest(start_ms, covered))
+ select session_id, p as from_ms, f as to_ms from (select *, coalesce(lag(t) over (partition by session_id order by f), {_WATERMARK}) as p from seg) where f > p
+ union all select session_id, max(t), {_DEADLINE} from seg group by session_id having max(t) < {_DEADLINE}""",
+    )
+)
+def silence_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return intervals.silence_segments(_inside(spark, sf_dir), F.lit(int(_WATERMARK)), F.lit(int(_DEADLINE)))
+
+
+@query(
+    with_sql(
+        "fragments",
+        """select session_id, sequence, greatest(0, start_ms - o) as window_start, least(end_ms, greatest(0, start_ms - o) + 1200000) as window_end, o as overlap_ms
+ from (select *, greatest(10000, least(greatest(sequence * 5000, 0), 60000)) as o from fragments)""",
+    )
+)
+def overlap_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = intervals.plan_window(F.col("start_ms"), F.col("end_ms"), F.col("sequence") * 5000)
+    return fragments(spark, sf_dir).select("session_id", "sequence", w.alias("w")).select("session_id", "sequence", F.col("w.start_ms").alias("window_start"), F.col("w.end_ms").alias("window_end"), F.col("w.overlap_ms").alias("overlap_ms"))
+
+
+@query(
+    with_sql(
+        "fragments",
+        """select session_id, sequence, case when sequence % 3 = 0 then 'new' when sequence % 5 <> 0 then 'duplicate_no_op' when start_ms < 1705000000000 then 'duplicate_rejected' else 'replaced' end as status,
+ case when sequence % 3 = 0 then ingested_at_ms + 1 else ingested_at_ms end as ingested_at_ms from fragments""",
+    )
+)
+def ingest_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = fragments(spark, sf_dir)
+    sent = own.withColumns({"content_hash": F.when(F.col("sequence") % 5 == 0, F.lit("other")).otherwise(F.col("content_hash")), "ingested_at_ms": F.col("ingested_at_ms") + 1})
+    marks = own.select("session_id").distinct().withColumn("watermark_ms", F.lit(1_705_000_000_000))
+    return intervals.ingest(own.where("sequence % 3 <> 0"), sent, marks)
+
+
+@query(with_sql("fragments", "select session_id, count(*) as n_fragments, max(sequence) as last_sequence, arg_max(end_ms, sequence) as last_end_ms, cast(ceil(arg_max(end_ms, sequence) / 1000.0) as bigint) as elapsed_seconds from fragments group by session_id"))
+def session_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return intervals.session_rollup(fragments(spark, sf_dir))
+
+
+@query(with_sql("fragments", "select session_id, arg_min(start_ms, sequence) as first_start_ms, arg_max(end_ms, sequence) as last_end_ms, count(*) as n from fragments group by session_id"))
+def last_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return intervals.last_range(fragments(spark, sf_dir))
+
+
+# --- texts and files -------------------------------------------------------------------------------
+
+
+@query("select conv_id, turn, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) as n_words, case when len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) < 10 then 0 when len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) < 30 then 1 when len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) < 60 then 2 else 5 end as budget from conversations")
+def word_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = tx.word_count(F.col("text"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", n.cast("bigint").alias("n_words"), tx.question_budget(n).alias("budget"))
+
+
+_NORM = "regexp_replace(regexp_replace(lower(w), '[^a-z0-9''-]', '', 'g'), '^[-'']+|[-'']+$', '', 'g')"
+_OVERLAP = rf""", worded as (select *, list_filter(regexp_split_to_array(a, '\s+'), lambda w: w <> '') as aw, list_filter(regexp_split_to_array(b, '\s+'), lambda w: w <> '') as bw from pairs),
+ normed as (select *, list_transform(aw, lambda w: {_NORM}) as an, list_transform(bw, lambda w: {_NORM}) as bn from worded),
+ fitted as (select *, coalesce(list_max(list_filter(range(1, least(len(an), len(bn)) + 1), lambda k: an[len(an) - k + 1:] = bn[1:k] and not list_contains(bn[1:k], ''))), 0) as k from normed)"""
+
+
+@query(
+    with_sql(
+        "pairs",
+        _OVERLAP + " select conv_id, turn, cast(k as int) as overlap, case when len(aw) = 0 then b when len(bw) = 0 then a when k > 0 then array_to_string(list_concat(aw, bw[k + 1:]), ' ') else a || ' [10-second overlap] ' || b end as merged from fitted",
+    )
+)
+def overlap_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = F.col("a"), F.col("b")
+    return transcript_pairs(spark, sf_dir).select("conv_id", "turn", tx.overlap_length(a, b).alias("overlap"), tx.merge_overlap(a, b).alias("merged"))
+
+
+@query(with_sql("pairs", "select conv_id, turn, true as whole_valid from pairs"))
+def combination_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    both = F.concat_ws(" ", "a", "b")
+    return transcript_pairs(spark, sf_dir).select("conv_id", "turn", tx.combination_valid(both, F.col("a"), F.col("b")).alias("whole_valid"))
+
+
+@query(with_sql("log", "select id, substr(date, 1, 7) || '/' || substr(date, 9, 2) || '/' || id as directory from log"))
+def asset_dir(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return raw_log(spark, sf_dir).select("id", tm.asset_directory(F.col("date"), F.col("id")).alias("directory"))
+
+
+_FILES = "files as (select doc_id, 'f' || doc_id || case doc_id % 6 when 0 then '.PNG' when 1 then '.mp3' when 2 then '.webm' when 3 then '.txt' when 4 then '.jpeg' else '' end as name from documents)"
+
+
+@query(f"with {_FILES} select name, case doc_id % 6 when 0 then 'image' when 4 then 'image' when 1 then 'audio' when 2 then 'audio' else 'other' end as media from files")
+def media_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ends = F.element_at(F.array(*[F.lit(x) for x in (".PNG", ".mp3", ".webm", ".txt", ".jpeg", "")]), (F.col("doc_id") % 6 + 1).cast("int"))
+    files = table(spark, sf_dir, "documents").select(F.concat(F.lit("f"), F.col("doc_id").cast("string"), ends).alias("name"))
+    return files.select("name", media.media_type(F.col("name")).alias("media"))
+
+
+@query("select event_id, case when event_id % 10 <> 0 then strftime(ts, '%Y-%m-%d %H:%M:%S') end as at from events")
+def file_timestamp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stamp = F.date_format("ts", "yyyyMMdd'T'HHmmss")
+    name = F.when(F.col("event_id") % 10 == 0, F.concat(F.lit("20241399T"), F.substring(stamp, 10, 6), F.lit("Z.webm"))).otherwise(F.concat(stamp, F.lit("Z.webm")))
+    return table(spark, sf_dir, "events").select("event_id", F.date_format(tm.file_timestamp(name), "yyyy-MM-dd HH:mm:ss").alias("at"))
+
+
+@query(
+    """with recursive digits(o_orderkey, n, s) as (select o_orderkey, o_orderkey, '' from orders
+ union all select o_orderkey, n // 36, substr('0123456789abcdefghijklmnopqrstuvwxyz', cast(n % 36 as bigint) + 1, 1) || s from digits where n > 0)
+ select o_orderkey, s || '-abcdefghi' as node_id from digits where n = 0"""
+)
+def node_id_base36(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").select("o_orderkey", tx.node_id(F.col("o_orderkey"), F.lit("abcdefghi")).alias("node_id"))
+
+
+# --- not to be had in SQL ----------------------------------------------------------------------------
+
+
+@query()
+def shortcut_fixpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = [(r"^purchase\b", "bought"), (r"\bbought\b", "spent"), (r"note for user (\d+)", "by $1")]
+    return tx.rewrite_shortcuts(raw_log(spark, sf_dir).select("id", "input"), rules)
+
+
+@query()
+def nfkd_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "conversations").withColumn("key", tx.fold_question(F.col("text")))
+    return c.groupBy("conv_id", "key").agg(F.min("turn").alias("turn"))

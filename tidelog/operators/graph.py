@@ -13,6 +13,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidelog.sources.shared import settle
+
 FRESH, STALE = "up-to-date", "potentially-outdated"
 
 
@@ -137,13 +139,13 @@ def derive_edges(nodes: DataFrame, scheme: DataFrame) -> DataFrame:
 def closure(start: DataFrame, steps: DataFrame, depth: int) -> DataFrame:
     """Ids reachable from ``start`` (``id``) over ``steps`` (``from_id``, ``to_id``) in up to ``depth`` steps, the start included.
 
-    The depth of a schema bounds the loop, so the plan has that many joins; each
-    step goes on with ids that are new only.
+    The depth of a schema bounds the loop; each step goes on with ids that are new
+    only, and is a written table, so that plans do not grow with the steps.
     """
-    reached = start.select("id").distinct()
+    reached = settle(start.select("id").distinct(), "reached")
     front = reached
     for _ in range(depth):
-        front = front.join(steps, front.id == steps.from_id).select(F.col("to_id").alias("id")).distinct().join(reached, "id", "left_anti")
+        front = settle(front.join(steps, front.id == steps.from_id).select(F.col("to_id").alias("id")).distinct().join(reached, "id", "left_anti"), "front")
         reached = reached.unionByName(front)
     return reached
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.operators.graph import FRESH, STALE, closure
+from tidelog.sources.shared import settle
 
 KEEP, TAKE, INVALIDATE, DELETE = "keep", "take", "invalidate", "delete"
 
@@ -93,8 +94,8 @@ def deletion_closure(candidates: DataFrame, edges: DataFrame, depth: int) -> Dat
 
 def merge_outcomes(t: DataFrame, h: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
     """Plan of a merge: ``key``, ``side`` and ``outcome`` (delete before invalidate before keep or take)."""
-    selected = select_candidates(t, h)
-    candidates = invalidation_candidates(selected, edges, depth)
+    selected = settle(select_candidates(t, h), "selected")
+    candidates = settle(invalidation_candidates(selected, edges, depth), "candidates")
     gone = deletion_closure(candidates, edges, depth).withColumn("_gone", F.lit(True))
     bad = candidates.withColumn("_bad", F.lit(True))
     outcome = F.when(F.col("_gone"), DELETE).when(F.col("_bad"), INVALIDATE).when(F.col("side") == "T", KEEP).otherwise(TAKE)

@@ -82,8 +82,8 @@ SQL = {
  from (select *, json_extract_string(props, '$.k') as k from events))""",
     "old_snapshot": "old_snapshot as (select seq, id, date, original, input from log where seq % 10 <> 0)",
     "new_snapshot": "new_snapshot as (select seq, id, date, original, case when seq % 7 = 0 then input || ' edited' else input end as input from log where seq % 10 <> 1)",
-    "fragments": """fragments as (select user_id as session_id, row_number() over (partition by user_id order by ts, event_id) as sequence, epoch_ms(ts) as start_ms,
- epoch_ms(ts) + (event_id % 7 + 1) * 600000 as end_ms, sha256(cast(event_id as varchar)) as content_hash, epoch_ms(ts) + 1000 as ingested_at_ms from events)""",
+    "fragments": """fragments as (select user_id as session_id, row_number() over (partition by user_id order by ts, event_id) as sequence, epoch_us(ts) // 1000 as start_ms,
+ epoch_us(ts) // 1000 + (event_id % 7 + 1) * 600000 as end_ms, sha256(cast(event_id as varchar)) as content_hash, epoch_us(ts) // 1000 + 1000 as ingested_at_ms from events)""",
     "pairs": """pairs as (select conv_id, turn, a, case when turn % 2 = 0 then array_to_string(aw[greatest(len(aw) - 2, 1):], ' ') || ' ' || text else text end as b
  from (select *, list_filter(regexp_split_to_array(a, '\\s+'), lambda w: w <> '') as aw from
  (select conv_id, turn, lag(text) over (partition by conv_id order by turn) as a, text from conversations) where a is not null))""",

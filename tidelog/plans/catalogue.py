@@ -315,8 +315,8 @@ def invariant_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _REPLICAS = """keyed as (select event_id, 'event/' || event_id as key, ts from events union all select event_id, 'pair/' || event_id, ts from events where event_id % 4 = 0),
- t as (select key, 't' || key as id, case when event_id % 5 = 0 then 'potentially-outdated' else 'up-to-date' end as freshness, epoch_ms(ts) as m, 'aaaaaaaaa' as fp from keyed where event_id % 3 <> 0),
- h as (select key, case when event_id % 2 = 0 then 't' else 'h' end || key as id, 'up-to-date' as freshness, epoch_ms(ts) + (event_id % 5 - 2) * 60000 as m, 'bbbbbbbbb' as fp from keyed where event_id % 3 <> 1),
+ t as (select key, 't' || key as id, case when event_id % 5 = 0 then 'potentially-outdated' else 'up-to-date' end as freshness, epoch_us(ts) // 1000 as m, 'aaaaaaaaa' as fp from keyed where event_id % 3 <> 0),
+ h as (select key, case when event_id % 2 = 0 then 't' else 'h' end || key as id, 'up-to-date' as freshness, epoch_us(ts) // 1000 + (event_id % 5 - 2) * 60000 as m, 'bbbbbbbbb' as fp from keyed where event_id % 3 <> 1),
  kedges as (select key, 'event/' || event_id as input_key from keyed where key like 'pair/%' union all select key, 'event/' || (event_id + 4) from keyed where key like 'pair/%' and event_id % 8 = 0),
  chosen as (select coalesce(t.key, h.key) as key, case when h.key is null then 'T' when t.key is null then 'H' when (t.m, t.id, t.fp) >= (h.m, h.id, h.fp) then 'T' else 'H' end as side,
  t.key is not null and h.key is not null and (t.m, t.id, t.fp) <> (h.m, h.id, h.fp) as root, t.id as t_id, h.id as h_id, t.freshness as tf, h.freshness as hf, t.m as tm, h.m as hm from t full outer join h on t.key = h.key)"""
@@ -418,7 +418,7 @@ _TASKS = """tasks as (select 'task-' || o_orderkey as name, (o_orderkey % 60) as
  o_orderdate + to_minutes(cast(o_orderkey % 1440 as bigint)) as origin, o_orderkey as k from orders where o_orderkey % 20 = 0)"""
 _DAYS = """days as (select t.*, d.day from tasks t, (select unnest(range(-400, 401)) as off) x, lateral (select cast(cast(t.origin as date) + cast(x.off as int) as date) as day) d
  where case when dom is not null and dow is not null then day(d.day) = dom or dayofweek(d.day) = dow else (dom is null or day(d.day) = dom) and (dow is null or dayofweek(d.day) = dow) end),
- runs as (select *, day + to_hours(cast(ho as bigint)) + to_minutes(cast(mi as bigint)) as at from days)"""
+ runs as (select *, day + to_hours(cast(ho as bigint)) + to_minutes(cast(mi as bigint)) as run_at from days)"""
 
 
 def _tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -440,17 +440,17 @@ def cron_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scheduled(spark, sf_dir).select("name", tm.cron_matches(F.col("origin")).alias("matches"))
 
 
-@query(f"with {_TASKS}, {_DAYS} select name, strftime(max(at), '%Y-%m-%d %H:%M') as previous from runs where at <= origin group by name")
+@query(f"with {_TASKS}, {_DAYS} select name, strftime(max(run_at), '%Y-%m-%d %H:%M') as previous from runs where run_at <= origin group by name")
 def cron_prev(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scheduled(spark, sf_dir).select("name", F.date_format(tm.cron_previous(F.col("origin")), "yyyy-MM-dd HH:mm").alias("previous"))
 
 
-@query(f"with {_TASKS}, {_DAYS} select name, strftime(min(at), '%Y-%m-%d %H:%M') as following from runs where at > origin group by name")
+@query(f"with {_TASKS}, {_DAYS} select name, strftime(min(run_at), '%Y-%m-%d %H:%M') as following from runs where run_at > origin group by name")
 def cron_next(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scheduled(spark, sf_dir).select("name", F.date_format(tm.cron_next(F.col("origin")), "yyyy-MM-dd HH:mm").alias("following"))
 
 
-_STATES = "states as (select name, origin, k, max(at) filter (at <= origin) as previous from runs group by name, origin, k)"
+_STATES = "states as (select name, origin, k, max(run_at) filter (run_at <= origin) as previous from runs group by name, origin, k)"
 
 
 def _task_states(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -618,7 +618,7 @@ def file_timestamp(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     """with recursive digits(o_orderkey, n, s) as (select o_orderkey, o_orderkey, '' from orders
  union all select o_orderkey, n // 36, substr('0123456789abcdefghijklmnopqrstuvwxyz', cast(n % 36 as bigint) + 1, 1) || s from digits where n > 0)
- select o_orderkey, s || '-abcdefghi' as node_id from digits where n = 0"""
+ select o_orderkey, case when s = '' then '0' else s end || '-abcdefghi' as node_id from digits where n = 0"""
 )
 def node_id_base36(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", tx.node_id(F.col("o_orderkey"), F.lit("abcdefghi")).alias("node_id"))

@@ -115,19 +115,19 @@ def _as_spans(matches: Column, rank: int, kind: str) -> Column:
 
 
 def with_spans(docs: DataFrame, table: list[float], threshold: float = THRESHOLD) -> DataFrame:
-    """Add ``base`` and ``spans``: arrays of ``start``, ``rank``, ``end``, ``kind``, sorted; ``docs`` has ``text``, not null.
+    """Add ``_tl_base`` and ``_tl_spans``: arrays of ``start``, ``rank``, ``end``, ``kind``, sorted; ``docs`` has ``text``, not null.
 
-    ``base`` has the matches of the patterns, ``spans`` also strings of kind ``markov``
+    ``_tl_base`` has the matches of the patterns, ``_tl_spans`` also strings of kind ``markov``
     that look random under the models and touch no base match.
     """
     text = F.col("text")
     for rank, (kind, pattern) in enumerate(PATTERNS.items()):
-        docs = docs.withColumn(f"_{kind}", _matches(text, pattern if kind == "assign" else pattern[:-1] + "{%d,}" % (LEAST[kind] - 4 * (kind == "access")), HINTS[kind], int(kind == "assign")))
-        docs = docs.withColumn(f"_{kind}", _as_spans(F.filter(f"_{kind}", _long_enough(kind)), rank, kind))
-    docs = docs.withColumn("base", F.array_sort(F.concat(*[F.col(f"_{k}") for k in PATTERNS]))).drop(*[f"_{k}" for k in PATTERNS])
-    docs = docs.withColumn("_c", _matches(text, CANDIDATE, CANDIDATE, 0))
-    free = F.filter("_c", lambda m: ~F.exists("base", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])) & (ratio(m["value"], table) >= threshold))
-    return docs.withColumn("spans", F.array_sort(F.concat("base", _as_spans(free, len(PATTERNS), "markov")))).drop("_c")
+        docs = docs.withColumn(f"_tl_{kind}", _matches(text, pattern if kind == "assign" else pattern[:-1] + "{%d,}" % (LEAST[kind] - 4 * (kind == "access")), HINTS[kind], int(kind == "assign")))
+        docs = docs.withColumn(f"_tl_{kind}", _as_spans(F.filter(f"_tl_{kind}", _long_enough(kind)), rank, kind))
+    docs = docs.withColumn("_tl_base", F.array_sort(F.concat(*[F.col(f"_tl_{k}") for k in PATTERNS]))).drop(*[f"_tl_{k}" for k in PATTERNS])
+    docs = docs.withColumn("_tl_c", _matches(text, CANDIDATE, CANDIDATE, 0))
+    free = F.filter("_tl_c", lambda m: ~F.exists("_tl_base", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])) & (ratio(m["value"], table) >= threshold))
+    return docs.withColumn("_tl_spans", F.array_sort(F.concat("_tl_base", _as_spans(free, len(PATTERNS), "markov")))).drop("_tl_c")
 
 
 def _written(spans: Column) -> Column:
@@ -152,8 +152,8 @@ def scan(docs: DataFrame, table: list[float] | None = None, threshold: float = T
     """
     table = trained(docs) if table is None else table
     rows = with_spans(docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text")), table, threshold)
-    counts = [F.size(F.filter("base", _is(k))).cast("bigint").alias(f"n_{k}") for k in PATTERNS]
-    return rows.select("doc_id", *counts, F.sha2(_written(F.col("base")), 256).alias("base_sha256"), _written(F.col("spans")).alias("spans"))
+    counts = [F.size(F.filter("_tl_base", _is(k))).cast("bigint").alias(f"n_{k}") for k in PATTERNS]
+    return rows.select("doc_id", *counts, F.sha2(_written(F.col("_tl_base")), 256).alias("base_sha256"), _written(F.col("_tl_spans")).alias("spans"))
 
 
 def redact(docs: DataFrame, table: list[float] | None = None, threshold: float = THRESHOLD, mark: str = "[SECRET]") -> DataFrame:
@@ -162,15 +162,15 @@ def redact(docs: DataFrame, table: list[float] | None = None, threshold: float =
     All columns and rows stay; null texts stay null.
     """
     table = trained(docs) if table is None else table
-    found = with_spans(docs.withColumns({"_was": F.col("text"), "text": F.coalesce(F.col("text"), F.lit(""))}), table, threshold)
+    found = with_spans(docs.withColumns({"_tl_was": F.col("text"), "text": F.coalesce(F.col("text"), F.lit(""))}), table, threshold)
     start = F.from_json(F.lit('{"at":0,"out":""}'), "struct<at:int,out:string>")
 
     def step(acc: Column, s: Column) -> Column:
         between = F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"])
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], F.concat(acc["out"], between, F.lit(mark))).otherwise(acc["out"]).alias("out"))
 
-    cut = F.aggregate("spans", start, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
-    found = found.withColumn("text", F.when(F.col("_was").isNull(), F.lit(None)).when(F.size("spans") == 0, F.col("text")).otherwise(cut)).drop("_was", "base", "spans")
+    cut = F.aggregate("_tl_spans", start, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
+    found = found.withColumn("text", F.when(F.col("_tl_was").isNull(), F.lit(None)).when(F.size("_tl_spans") == 0, F.col("text")).otherwise(cut)).drop("_tl_was", "_tl_base", "_tl_spans")
     if "n_chars" in docs.columns:
         found = found.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return found.select(*docs.columns)

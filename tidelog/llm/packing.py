@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import base64
 import zlib
-from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,8 +15,8 @@ from tidelog.llm.tables import keep
 
 #: Tokens in a sequence, and the id that ends a document.
 CAPACITY, END = 1024, 2
-#: Rounds of multiplicative weights, and pieces that rounding may leave to best fit one by one.
-ROUNDS, SINGLES = 400, 20_000
+#: Rounds of multiplicative weights, and the shares of the fractional solution that are rounded down, of which the best is kept.
+ROUNDS, SHARES = 400, (1.0, 0.5, 0.0)
 #: Rows of one length that are numbered by one task.
 LANE = 100_000
 
@@ -135,55 +134,56 @@ def configurations(counts: np.ndarray, capacity: int, rounds: int = ROUNDS) -> l
     return [(dict(k), x) for k, x in used.items()]
 
 
+def best_fit(left: np.ndarray, capacity: int) -> list[tuple[list[int], int]]:
+    """Best fit, longest first, of ``left[l]`` pieces of each length: patterns and how often. Equal sequences are handled together."""
+    groups: dict[int, list[tuple[list[int], int]]] = {}
+    for length in range(capacity, 0, -1):
+        n = int(left[length])
+        while n:
+            free = min((f for f, g in groups.items() if f >= length and g), default=None)
+            if free is None:
+                each = capacity // length
+                for k, times in ((each, n // each), (n % each, 1)):
+                    if k and times:
+                        groups.setdefault(capacity - k * length, []).append(([length] * k, times))
+                n = 0
+                continue
+            pattern, count = groups[free].pop()
+            m = min(n, count)
+            if count > m:
+                groups[free].append((pattern, count - m))
+            groups.setdefault(free - length, []).append(([*pattern, length], m))
+            n -= m
+    return [g for all_ in groups.values() for g in all_]
+
+
 def plan(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS) -> list[tuple[list[int], int]]:
     """Patterns (lengths, longest first) and their number of sequences, for exactly the pieces of a histogram.
 
-    The fractional solution is rounded down, as far as pieces last. What is left
-    goes, pattern by pattern, to the fullest knapsack of lengths that are there,
-    as often as they last; the last ``SINGLES`` pieces by best fit, longest first.
-    The histogram has at most ``capacity`` lengths, so neither it nor the plan grows with the input.
+    The fractional solution, or a share of it, is rounded down, as far as pieces
+    last; what is left is packed by best fit. Of several shares the one with the
+    fewest sequences is taken. The histogram has at most ``capacity`` lengths, so
+    neither the work nor the plan grows with the input.
     """
-    left = np.zeros(capacity + 1, dtype=np.int64)
+    counts = np.zeros(capacity + 1, dtype=np.int64)
     for length, n in histogram.items():
         if not 0 < length <= capacity:
             raise ValueError("a piece has 1 to capacity tokens")
-        left[length] = n
-    out: list[tuple[list[int], int]] = []
-
-    def take(pattern: dict[int, int], times: int) -> None:
-        out.append((sorted((x for x, k in pattern.items() for _ in range(k)), reverse=True), times))
-        for x, k in pattern.items():
-            left[x] -= k * times
-
-    if left[capacity]:
-        take({capacity: 1}, int(left[capacity]))
-    for pattern, x in sorted(configurations(left.copy(), capacity, rounds), key=lambda p: (-p[1], sorted(p[0].items()))):
-        times = min([int(x), *(int(left[length]) // k for length, k in pattern.items())]) if pattern else 0
-        if times:
-            take(pattern, times)
-    while left.sum() > SINGLES:
-        # filling knapsacks; long pieces count slightly more a token, as they are harder to place
-        lengths = np.arange(capacity + 1)
-        pattern = _knapsack(np.where(left > 0, lengths * (1 + 1e-3 * lengths / capacity), 0.0), capacity)
-        pattern = {length: min(k, int(left[length])) for length, k in pattern.items()}
-        take(pattern, min(int(left[length]) // k for length, k in pattern.items()))
-    bins: list[tuple[int, int]] = []  # free tokens and number, sorted
-    members: list[list[int]] = []
-    for length in range(capacity, 0, -1):
-        for _ in range(int(left[length])):
-            at = bisect_left(bins, (length, -1))
-            if at < len(bins):
-                free, number = bins.pop(at)
-            else:
-                free, number = capacity, len(members)
-                members.append([])
-            members[number].append(length)
-            if free > length:
-                insort(bins, (free - length, number))
-    kinds: dict[tuple, int] = {}
-    for m in members:
-        kinds[tuple(m)] = kinds.get(tuple(m), 0) + 1
-    return out + [(list(k), n) for k, n in kinds.items()]
+        counts[length] = n
+    full = int(counts[capacity])
+    counts[capacity] = 0
+    solution = sorted(configurations(counts, capacity, rounds), key=lambda p: (-p[1], sorted(p[0].items())))
+    plans = []
+    for share in SHARES:
+        left, out = counts.copy(), [([capacity], full)] if full else []
+        for pattern, x in solution:
+            times = min([int(x * share), *(int(left[length]) // k for length, k in pattern.items())])
+            if times and pattern:
+                out.append((sorted((x for x, k in pattern.items() for _ in range(k)), reverse=True), times))
+                for length, k in pattern.items():
+                    left[length] -= k * times
+        plans.append(out + best_fit(left, capacity))
+    return min(plans, key=lambda p: sum(n for _, n in p))
 
 
 def _slots(patterns: list[tuple[list[int], int]]) -> list[tuple[int, int, int, int, int, int]]:

@@ -54,8 +54,8 @@ def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id bigint, fp bigint")
 
 
-#: Words of so many bytes make the fingerprint that finds candidates for verified links, where a text has LONG_LEAST of them.
-LONG_WORD, LONG_LEAST = 9, 4
+#: Words of so many bytes make the two fingerprints that find candidates for verified links, where a text has LONG_LEAST of them.
+LONG_WORDS, LONG_LEAST = (9, 5), 4
 #: Bits of the sketch of five-word shingles, and differing ones up to which it counts as a similarity of 0.8 or more.
 SKETCH_WORDS, SKETCH_BITS, SKETCH_DIFFERING = 5, 256, 48
 
@@ -69,25 +69,27 @@ def _majority(digests: list[bytes], bits: int) -> bytes:
 
 
 def sketch(text: str | None) -> tuple[int, ...]:
-    """A fingerprint of a text's long words, then its SimHash of ``SKETCH_BITS`` bits over distinct five-word shingles, as signed integers.
+    """Two fingerprints of a text's long words, then its SimHash of ``SKETCH_BITS`` bits over distinct five-word shingles, as signed integers.
 
     An edited word changes one long word at most, but up to five shingles: the
-    first finds candidates, the second estimates how alike the shingles are. For a
+    first two find candidates, the other estimates how alike the shingles are. For a
     similarity (Jaccard) of 0.8, the chance that a bit differs is 0.15.
     """
     found = (text or "").encode().lower().split()
     if not found:
-        return (0,) * (1 + SKETCH_BITS // 64)
-    long_ = [w for w in found if len(w) >= LONG_WORD]
-    first = _majority([xxhash.xxh64_digest(w, SEED) for w in (long_ if len(long_) >= LONG_LEAST else found)], 64)
+        return (0,) * (len(LONG_WORDS) + SKETCH_BITS // 64)
+    first = b""
+    for least in LONG_WORDS:
+        long_ = [w for w in found if len(w) >= least]
+        first += _majority([xxhash.xxh64_digest(w, SEED) for w in (long_ if len(long_) >= LONG_LEAST else found)], 64)
     shingles = {b" ".join(found[i : i + SKETCH_WORDS]) for i in range(max(1, len(found) - SKETCH_WORDS + 1))}
     wide = _majority([xxhash.xxh3_128_digest(s) + xxhash.xxh3_128_digest(s, SEED) for s in shingles], SKETCH_BITS)
     return tuple(np.frombuffer(first + wide, dtype=">i8").tolist())
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """``doc_id``, ``fp`` and ``s0`` to ``s3`` of each row of ``docs``."""
-    names = ["fp", *[f"s{i}" for i in range(SKETCH_BITS // 64)]]
+    """``doc_id``, ``fp``, ``fp2`` and ``s0`` to ``s3`` of each row of ``docs``."""
+    names = ["fp", "fp2", *[f"s{i}" for i in range(SKETCH_BITS // 64)]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -247,8 +249,8 @@ def near_duplicates(docs: DataFrame, radius: int = 4, words: int = 4, dense: int
 def drop_near_duplicates(docs: DataFrame, radius: int = 4) -> DataFrame:
     """``docs`` with one document of each group of near-duplicates: that of the smallest id. All columns stay.
 
-    Candidates agree up to ``radius`` bits in the SimHash of their long words, found by
-    covering hashing; they are linked if their sketches of five-word shingles show a
+    Candidates agree up to ``radius`` bits in one of two SimHashes of their long words,
+    found by covering hashing; they are linked if their sketches of five-word shingles show a
     similarity of 0.8 or more. Groups are what links connect; equal texts are one
     from the start. Rows with a null id stay; null and empty texts are alike.
     Repeated rows of an id stay or go together. Of exact copies under one id, all rows stay.
@@ -256,6 +258,7 @@ def drop_near_duplicates(docs: DataFrame, radius: int = 4) -> DataFrame:
     own = keep(sketches(docs), "sketches")
     parts = [c for c in own.columns if c != "doc_id"]
     classes = keep(own.groupBy(*parts).agg(F.min("doc_id").alias("node")).where("node is not null"), "sketch-classes")
-    groups = classes.join(components(fingerprint_links(classes, radius)), "node", "left").select(*parts, F.coalesce("component", "node").alias("component_id"))
+    links = fingerprint_links(classes.drop("fp2"), radius).unionByName(fingerprint_links(classes.drop("fp").withColumnRenamed("fp2", "fp"), radius))
+    groups = classes.join(components(links), "node", "left").select(*parts, F.coalesce("component", "node").alias("component_id"))
     gone = own.join(groups, parts).where("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(keep(gone, "near-duplicates").withColumnRenamed("doc_id", "_gone"), F.col("doc_id") == F.col("_gone"), "left_anti")

@@ -39,12 +39,15 @@ class _Chunks(dict):
     def __missing__(self, chunk: str) -> int:
         if len(self) > 100_000:
             self.clear()
-        bare = _EDGE.sub("", chunk)
-        word = _INNER.sub("", bare.lower())
+        bare = chunk.rstrip(".,;:!?")
+        plain = bare.isalpha()  # most chunks; the patterns would find the same
+        if not plain:
+            bare = _EDGE.sub("", chunk)
+        word = bare.lower() if plain else _INNER.sub("", bare.lower())
         flags = IS_LAST if chunk[-1] in ".!?:" or chunk[-2:-1] in (".", "!", "?") else 0
         if word:
             flags |= IS_TOKEN
-            if _NUMBER.fullmatch(bare.lower()):
+            if not plain and _NUMBER.fullmatch(bare.lower()):
                 flags |= IS_NUMBER
             elif word in UNITS:
                 flags |= IS_UNIT

@@ -67,7 +67,7 @@ def corpus_words(docs: DataFrame, n: int = SAMPLES) -> DataFrame:
 
     ``n`` is the bound of this training sample; words are picked from all rows.
     """
-    words = F.array_distinct(F.regexp_extract_all(F.substring("text", 1, 2_000), F.lit(r"\b([A-Za-z][a-z]{7,39})\b"), F.lit(1)))
+    words = F.array_distinct(F.regexp_extract_all("text", F.lit(r"\b([A-Za-z][a-z]{7,39})\b"), F.lit(1)))
     picked = docs.select(F.slice(F.array_sort(F.transform(words, lambda w: F.struct(F.xxhash64(w).alias("h"), w.alias("token")))), 1, 2).alias("w"))
     return picked.select(F.explode("w").alias("w")).select("w.h", "w.token").distinct().orderBy("h").limit(n).select("token")
 

@@ -23,7 +23,7 @@ class _WordHashes(dict):
     """XXH64 of words; emptied when it grows large, which changes no result."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 150_000:
             self.clear()
         self[word] = value = xxhash.xxh64_intdigest(word)
         return value
@@ -98,8 +98,8 @@ _KEYS = ["doc_id", "text_hash"]
 
 def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, str | None, tuple]]:
     for batch in batches:
-        columns = [c.to_pylist() for c in batch.columns]
-        yield from zip(*columns, strict=True)
+        for row in zip(*batch.columns, strict=True):
+            yield tuple(x.as_py() for x in row)
 
 
 class _Rows:

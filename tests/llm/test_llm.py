@@ -90,6 +90,47 @@ def test_dense_buckets_are_linked_by_midpoints(spark):
     assert groups[0] == groups[1] and len(groups[0]) == len(fps) - 1
 
 
+def test_dense_buckets_are_linked_by_leaders_and_blocks(spark):
+    rng = random.Random(3)
+
+    def flip(x, n, bits):
+        for b in rng.sample(range(bits), n):
+            x ^= 1 << b
+        return x
+
+    def signed(x):
+        return x - (1 << 64) if x >> 63 else x
+
+    rows, at = [], rng.getrandbits(256)
+    for _ in range(4):
+        fp, wide = rng.getrandbits(64), [rng.getrandbits(256) for _ in range(3)]
+        for k in range(40):
+            at = flip(at if k % 3 else wide[k % 2], 40, 256)  # chains, and others around two centres
+            rows.append((flip(fp, rng.randrange(3), 64), at))
+    rows = [(i, *p) for i, p in enumerate(dict.fromkeys(rows))]
+    parent = {i: i for i, _, _ in rows}
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i, f, w in rows:
+        for j, g, v in rows:
+            if (f ^ g).bit_count() <= 4 and (w ^ v).bit_count() <= simhash.SKETCH_DIFFERING:
+                a, b = root(i), root(j)
+                parent[max(a, b)] = min(a, b)
+    expected = {i: root(i) for i, _, _ in rows}
+    assert 4 < len(set(expected.values())) < len(rows) - 4
+    from tidelog.llm.components import components
+
+    parts = [(i, signed(f), *[signed(w >> 64 * k & (1 << 64) - 1) for k in range(4)]) for i, f, w in rows]
+    df = spark.createDataFrame(parts, "node bigint, fp bigint, s0 bigint, s1 bigint, s2 bigint, s3 bigint")
+    for dense in (4096, 5):
+        found = {r.node: r.component for r in components(simhash.fingerprint_links(df, 4, dense)).collect()}
+        assert {i: found.get(i, i) for i in expected} == expected
+
+
 def test_near_duplicates_are_dropped(docs):
     kept = {r.doc_id for r in simhash.drop_near_duplicates(docs).collect()}
     assert 0 in kept and not {1, 2} & kept and {3, 4, 9, 10} <= kept

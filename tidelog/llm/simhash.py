@@ -138,13 +138,16 @@ def _forest(fp: np.ndarray, node: np.ndarray, radius: int, out: list[tuple[np.nd
 
 
 def _bucket_links(batches: Iterator[pa.RecordBatch], radius: int, dense: int) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by table and key. Yields links (kind 0) and the members of dense buckets (kind 1: fp, node)."""
+    """Rows come sorted by table and key. Yields links (kind 0) and the members of dense buckets (kind 1 + table: fp, or key if there are sketches, and node)."""
     held: list[np.ndarray] | None = None
     overflow = False  # the bucket that is held is dense, and its first members are out
 
     def rows(kind: int, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, dtype=np.int32)), pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["kind", "a", "b"])
 
+    def members(t: np.ndarray, key: np.ndarray, fp: np.ndarray, node: np.ndarray, *wide: np.ndarray) -> pa.RecordBatch:
+        return rows(1 + int(t[0]), key if wide else fp, node)
+
     def closed(t: np.ndarray, key: np.ndarray, fp: np.ndarray, node: np.ndarray, *wide: np.ndarray) -> Iterator[pa.RecordBatch]:
         if not len(t):
             return
@@ -157,10 +160,11 @@ def _bucket_links(batches: Iterator[pa.RecordBatch], radius: int, dense: int) ->
             near = near[sum(_differing(s[near], s[near + 1]).astype(np.int64) for s in wide) <= SKETCH_DIFFERING]
         links.append((node[near], node[near + 1]))
         for at, n in zip(starts[sizes > 2], sizes[sizes > 2], strict=True):
-            if n <= dense or wide:
-                _forest(fp[at : at + n], node[at : at + n], radius, links, [s[at : at + n] for s in wide])
+            part = [c[at : at + n] for c in (t, key, fp, node, *wide)]
+            if n <= dense:
+                _forest(part[2], part[3], radius, links, part[4:])
             else:
-                yield rows(1, fp[at : at + n], node[at : at + n])
+                yield members(*part)
         yield rows(0, np.concatenate([x for x, _ in links]), np.concatenate([y for _, y in links]))
 
     for batch in batches:
@@ -173,16 +177,16 @@ def _bucket_links(batches: Iterator[pa.RecordBatch], radius: int, dense: int) ->
         cut = int(np.flatnonzero((t != t[-1]) | (key != key[-1]))[-1]) + 1 if (t[0] != t[-1] or key[0] != key[-1]) else 0
         if overflow:
             end = int(np.flatnonzero((t != t[0]) | (key != key[0]))[0]) if cut else len(t)
-            yield rows(1, fp[:end], node[:end])
+            yield members(*[c[:end] for c in cols])
             cols = [c[end:] for c in cols]
             cut, overflow = max(0, cut - end), not cut
         yield from closed(*[c[:cut] for c in cols])
         held = [c[cut:] for c in cols]
-        if len(held[0]) > dense and len(held) == 4:
-            yield rows(1, held[2], held[3])
+        if len(held[0]) > dense:
+            yield members(*held)
             held, overflow = [c[-1:] for c in held], True
     if overflow:
-        yield rows(1, held[2], held[3])
+        yield members(*held)
     elif held is not None:
         yield from closed(*held)
 
@@ -203,6 +207,47 @@ def _midpoint_links(members: DataFrame, radius: int) -> DataFrame:
     return points.join(low, "mid").where("node <> b").select(F.col("node").alias("a"), "b")
 
 
+#: Shares into which each dense bucket is dealt to meet its leader.
+SALTS = 64
+
+
+def _leader_links(members: DataFrame, wide: list[str], radius: int, dense: int) -> DataFrame:
+    """Links among the members (``t``, ``key``, ``node``, ``fp``, ``wide``) of dense buckets that need like sketches.
+
+    Every member meets the leader of its bucket, the smallest node; near copies of
+    one text are mostly done with that. The rest is a query set against the whole
+    bucket, in blocks: block i of the rest meets block j of all members in one
+    task, about ``2 * dense`` rows, which yields a star for each linked set.
+    """
+    bucket = ["t", "key"]
+    salted = members.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)))
+    leaders = members.groupBy(*bucket).agg(F.min(F.struct("node", "fp", *wide)).alias("lead"), F.count("*").alias("n"))
+    leaders = leaders.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
+    apart = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"lead.{c}"))) for c in wide), F.lit(0))
+    near = (F.bit_count(F.col("fp").bitwiseXOR(F.col("lead.fp"))) <= radius) & (apart <= SKETCH_DIFFERING)
+    met = keep(salted.join(leaders, [*bucket, "salt"]).select(*bucket, "node", "fp", *wide, "n", F.col("lead.node").alias("leader"), near.alias("near")), "met-leaders")
+    rest = met.where("not near")
+    blocks = rest.groupBy(*bucket).agg(F.ceil(F.count("*") / dense).alias("rest_blocks")).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
+
+    def dealt(df: DataFrame, own: str, others: str) -> DataFrame:
+        """Each row in a block of its own side, once for each block of the other side."""
+        sized = df.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS))).join(blocks, [*bucket, "salt"]).withColumn("all_blocks", F.ceil(F.col("n") / dense))
+        mine, other = {"i": ("rest_blocks", "all_blocks"), "j": ("all_blocks", "rest_blocks")}[own]
+        place = F.pmod(F.xxhash64("node", F.lit(own)), F.col(mine)).alias(own)
+        return sized.select(*bucket, place, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(other) - 1)).alias(others), "node", "fp", *wide)
+
+    cells = dealt(rest, "i", "j").unionByName(dealt(met, "j", "i"))
+
+    def compare(cell: pa.Table) -> pa.Table:
+        rows = np.unique(np.stack([cell.column(c).to_numpy() for c in ("fp", "node", *wide)]), axis=1)
+        links: list[tuple[np.ndarray, np.ndarray]] = [(np.array([], dtype=np.int64),) * 2]
+        _forest(rows[0], rows[1], radius, links, list(rows[2:]))
+        return pa.table({"a": np.concatenate([x for x, _ in links]), "b": np.concatenate([y for _, y in links])})
+
+    across = cells.groupBy(*bucket, "i", "j").applyInArrow(compare, "a bigint, b bigint")
+    return met.where("near").select(F.col("node").alias("a"), F.col("leader").alias("b")).unionByName(across)
+
+
 def fingerprint_links(fps: DataFrame, radius: int = 4, dense: int = 4096) -> DataFrame:
     """Links ``a``, ``b`` whose components are those of all pairs within ``radius`` differing bits.
 
@@ -213,8 +258,8 @@ def fingerprint_links(fps: DataFrame, radius: int = 4, dense: int = 4096) -> Dat
     to the midpoints, which are exact as well. ``radius`` is even.
 
     With parts of sketches as further columns, a link needs like sketches as well.
-    Then buckets of any size are compared in their task: a group that is linked to
-    one member is done in one pass over the bucket.
+    Then members of larger buckets meet the bucket's leader, and those unlike it
+    the whole bucket in blocks of ``dense``, again with stars for linked sets.
     """
     if radius % 2:
         raise ValueError("radius must be even")
@@ -223,8 +268,14 @@ def fingerprint_links(fps: DataFrame, radius: int = 4, dense: int = 4096) -> Dat
     keyed = fps.where("node is not null").select(F.explode(tables).alias("x"), "fp", "node", *wide).select(F.col("x.t").cast("bigint").alias("t"), "x.key", "fp", "node", *wide)
     found = keyed.repartition("t", "key").sortWithinPartitions("t", "key").mapInArrow(lambda it: _bucket_links(it, radius, dense), "kind int, a bigint, b bigint")
     found = keep(found, "bucket-links")
-    hot = found.where("kind = 1").select(F.col("a").alias("fp"), F.col("b").alias("node")).distinct()
-    return found.where("kind = 0").select("a", "b").unionByName(_midpoint_links(hot, radius)).distinct()
+    links, hot = found.where("kind = 0").select("a", "b"), found.where("kind > 0")
+    if not wide:
+        members = hot.select(F.col("a").alias("fp"), F.col("b").alias("node")).distinct()
+        return links.unionByName(_midpoint_links(members, radius)).distinct()
+    if hot.isEmpty():
+        return links
+    members = hot.select(F.col("kind").cast("bigint").alias("t"), F.col("a").alias("key"), F.col("b").alias("node")).distinct().join(fps.select("node", "fp", *wide), "node")
+    return links.unionByName(_leader_links(keep(members, "dense-buckets"), wide, radius, dense)).distinct()
 
 
 def near_duplicates(docs: DataFrame, radius: int = 4, words: int = 4, dense: int = 4096) -> DataFrame:

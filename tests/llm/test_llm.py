@@ -125,9 +125,9 @@ def test_dense_buckets_are_linked_by_leaders_and_blocks(spark):
     from tidelog.llm.components import components
 
     parts = [(i, signed(f), *[signed(w >> 64 * k & (1 << 64) - 1) for k in range(4)]) for i, f, w in rows]
-    df = spark.createDataFrame(parts, "node bigint, fp bigint, s0 bigint, s1 bigint, s2 bigint, s3 bigint")
+    df = spark.createDataFrame(parts, "node bigint, f0 bigint, s0 bigint, s1 bigint, s2 bigint, s3 bigint")
     for dense in (4096, 5):
-        found = {r.node: r.component for r in components(simhash.fingerprint_links(df, 4, dense)).collect()}
+        found = {r.node: r.component for r in components(simhash.sketch_links(df, 4, dense)).collect()}
         assert {i: found.get(i, i) for i in expected} == expected
 
 
@@ -136,6 +136,23 @@ def test_near_duplicates_are_dropped(docs):
     assert 0 in kept and not {1, 2} & kept and {3, 4, 9, 10} <= kept
 
 
+def test_near_duplicates_with_scattered_and_block_edits_are_dropped(spark):
+    rng, rows = random.Random(11), []
+    for i in range(60):
+        words = [rng.choice(WORDS) for _ in range(rng.randrange(60, 600))]
+        edited, n = list(words), len(words)
+        if i % 3 == 0:
+            for _ in range(max(1, n // 70)):
+                edited[rng.randrange(n)] = rng.choice(WORDS)
+        elif i % 3 == 1:
+            edited = [rng.choice(WORDS) for _ in range(n // 8)] + edited
+        else:
+            del edited[n // 2 : n // 2 + n // 12]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(edited))]
+    kept = {r.doc_id for r in simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert {2 * i for i in range(60)} <= kept and len(kept) <= 62
+
+
 def test_licenses(docs):
     found = by_id(licenses.scan_licenses(docs))
     r = found[12]

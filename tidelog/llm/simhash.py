@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.llm.components import components
@@ -54,47 +56,69 @@ def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id bigint, fp bigint")
 
 
-#: Words of so many bytes make the two fingerprints that find candidates for verified links, where a text has LONG_LEAST of them.
-LONG_WORDS, LONG_LEAST = (9, 5), 4
+#: Candidates for verified links: fingerprints of classes into which words fall by hash, and of the sides of anchor shingles.
+CLASSES, CLASS_LEAST, ANCHORS = 3, 4, 3
+FAMILIES = CLASSES + 2 * ANCHORS
 #: Bits of the sketch of five-word shingles, and differing ones up to which it counts as a similarity of 0.8 or more.
 SKETCH_WORDS, SKETCH_BITS, SKETCH_DIFFERING = 5, 256, 48
 
 
-def _majority(digests: list[bytes], bits: int) -> bytes:
-    counts = np.zeros(bits, dtype=np.int64)
+def _counts(digests: np.ndarray) -> np.ndarray:
+    """How often each bit is set in the rows of bytes of ``digests``."""
+    counts = np.zeros(digests.shape[1] * 8, dtype=np.int64)
     for at in range(0, len(digests), BLOCK):
-        rows = np.frombuffer(b"".join(digests[at : at + BLOCK]), dtype=np.uint8).reshape(-1, bits // 8)
-        counts += np.unpackbits(rows, axis=1).sum(axis=0, dtype=np.int64)
-    return np.packbits(counts * 2 > len(digests)).tobytes()
+        counts += np.unpackbits(digests[at : at + BLOCK], axis=1).sum(axis=0, dtype=np.int64)
+    return counts
 
 
-def sketch(text: str | None) -> tuple[int, ...]:
-    """Two fingerprints of a text's long words, then its SimHash of ``SKETCH_BITS`` bits over distinct five-word shingles, as signed integers.
+def _majority(counts: np.ndarray, n: int) -> list[int]:
+    return np.packbits(counts * 2 > n).view(">i8").tolist()
 
-    An edited word changes one long word at most, but up to five shingles: the
-    first two find candidates, the other estimates how alike the shingles are. For a
-    similarity (Jaccard) of 0.8, the chance that a bit differs is 0.15.
+
+def sketch(text: str | None) -> list[int | None]:
+    """``FAMILIES`` fingerprints of a text's words, then its SimHash of ``SKETCH_BITS`` bits over distinct five-word shingles, as signed integers.
+
+    Scattered edits leave some class of the words almost as it was. A block that is
+    added or cut changes all classes, but one side of an anchor (a shingle that is
+    the least by one of its hashes) stays the same: the words before, or from the
+    anchor on. A side of less than a third of the words has no fingerprint.
+    These find candidates; the sketch estimates how alike the shingles are. For a
+    similarity (Jaccard) of 0.8, the chance that one of its bits differs is 0.15.
     """
     found = (text or "").encode().lower().split()
-    if not found:
-        return (0,) * (len(LONG_WORDS) + SKETCH_BITS // 64)
-    first = b""
-    for least in LONG_WORDS:
-        long_ = [w for w in found if len(w) >= least]
-        first += _majority([xxhash.xxh64_digest(w, SEED) for w in (long_ if len(long_) >= LONG_LEAST else found)], 64)
-    shingles = {b" ".join(found[i : i + SKETCH_WORDS]) for i in range(max(1, len(found) - SKETCH_WORDS + 1))}
-    wide = _majority([xxhash.xxh3_128_digest(s) + xxhash.xxh3_128_digest(s, SEED) for s in shingles], SKETCH_BITS)
-    return tuple(np.frombuffer(first + wide, dtype=">i8").tolist())
+    n = len(found)
+    if not n:
+        return [0] * CLASSES + [None] * (2 * ANCHORS) + [0] * (SKETCH_BITS // 64)
+    places: dict[bytes, int] = {}
+    for i in range(max(1, n - SKETCH_WORDS + 1)):
+        places.setdefault(b" ".join(found[i : i + SKETCH_WORDS]), i)
+    wide = np.frombuffer(b"".join([xxhash.xxh3_128_digest(s) + xxhash.xxh3_128_digest(s, SEED) for s in places]), dtype=np.uint8).reshape(-1, SKETCH_BITS // 8)
+    at = list(places.values())
+    anchors = [at[i] for i in wide.view(">u8")[:, :ANCHORS].argmin(axis=0).tolist()]
+
+    digests = np.frombuffer(b"".join([xxhash.xxh64_digest(w, SEED) for w in found]), dtype=np.uint8).reshape(-1, 8)
+    kind = (digests.view(">u8")[:, 0] % CLASSES).astype(np.int64)
+    edges = [0, *sorted(set(anchors) - {0}), n]
+    counts = np.array([[_counts(digests[a:b][kind[a:b] == c]) for c in range(CLASSES)] for a, b in zip(edges, edges[1:], strict=False)])
+    sizes, whole = np.bincount(kind, minlength=CLASSES).tolist(), counts.sum(axis=(0, 1))
+    out: list[int | None] = []
+    for c in range(CLASSES):
+        out += _majority(counts[:, c].sum(axis=0), sizes[c]) if sizes[c] >= CLASS_LEAST else _majority(whole, n)
+    for p in anchors:
+        before = counts[: edges.index(p)].sum(axis=(0, 1))
+        out += _majority(before, p) if p * 3 >= n else [None]
+        out += _majority(whole - before, n - p) if (n - p) * 3 >= n else [None]
+    return out + _majority(_counts(wide), len(wide))
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """``doc_id``, ``fp``, ``fp2`` and ``s0`` to ``s3`` of each row of ``docs``."""
-    names = ["fp", "fp2", *[f"s{i}" for i in range(SKETCH_BITS // 64)]]
+    """``doc_id``, ``f0`` and so on (the fingerprints) and ``s0`` to ``s3`` of each row of ``docs``."""
+    names = [*[f"f{i}" for i in range(FAMILIES)], *[f"s{i}" for i in range(SKETCH_BITS // 64)]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([sketch(x.as_py()) for x in batch.column(1)], dtype=np.int64).reshape(-1, len(names))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c) for c in found.T]], names=["doc_id", *names])
+            found = [sketch(x.as_py()) for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array([r[i] for r in found], pa.int64()) for i in range(len(names))]], names=["doc_id", *names])
 
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id bigint, " + ", ".join(f"{n} bigint" for n in names))
 
@@ -256,25 +280,47 @@ def fingerprint_links(fps: DataFrame, radius: int = 4, dense: int = 4096) -> Dat
     ``dense`` members is compared within the task that streams over it, and only
     a star for each linked set comes out, never all pairs. Larger buckets are left
     to the midpoints, which are exact as well. ``radius`` is even.
-
-    With parts of sketches as further columns, a link needs like sketches as well.
-    Then members of larger buckets meet the bucket's leader, and those unlike it
-    the whole bucket in blocks of ``dense``, again with stars for linked sets.
     """
     if radius % 2:
         raise ValueError("radius must be even")
-    wide = [c for c in fps.columns if c not in ("fp", "node")]
-    tables = F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for t, m in enumerate(covering_masks(radius))])
-    keyed = fps.where("node is not null").select(F.explode(tables).alias("x"), "fp", "node", *wide).select(F.col("x.t").cast("bigint").alias("t"), "x.key", "fp", "node", *wide)
-    found = keyed.repartition("t", "key").sortWithinPartitions("t", "key").mapInArrow(lambda it: _bucket_links(it, radius, dense), "kind int, a bigint, b bigint")
-    found = keep(found, "bucket-links")
+    found = _met(fps.where("node is not null").select("node", F.col("fp"), F.explode(_tables(F.col("fp"), radius)).alias("x")), [], radius, dense)
+    members = found.where("kind > 0").select(F.col("a").alias("fp"), F.col("b").alias("node")).distinct()
+    return found.where("kind = 0").select("a", "b").unionByName(_midpoint_links(members, radius)).distinct()
+
+
+def _tables(fp: Column, radius: int, first: int = 0) -> Column:
+    """A struct of table number, key and fingerprint for each covering mask; one for equal fingerprints if the radius is zero."""
+    return F.array(*[F.struct(F.lit(first + t).cast("bigint").alias("t"), fp.bitwiseAND(F.lit(m)).alias("key"), fp.alias("fp")) for t, m in enumerate(covering_masks(radius) if radius else [-1])])
+
+
+def _met(keyed: DataFrame, wide: list[str], radius: int, dense: int) -> DataFrame:
+    rows = keyed.select("x.t", "x.key", "x.fp", "node", *wide)
+    found = rows.repartition("t", "key").sortWithinPartitions("t", "key").mapInArrow(lambda it: _bucket_links(it, radius, dense), "kind int, a bigint, b bigint")
+    return keep(found, "bucket-links")
+
+
+def sketch_links(classes: DataFrame, radius: int = 4, dense: int = 4096) -> DataFrame:
+    """Links ``a``, ``b`` between nodes with like sketches of which some fingerprint is alike too.
+
+    ``classes`` has ``node``, the fingerprints ``f0`` and so on, of which a null is like
+    none, and parts of sketches ``s0`` and so on. The first ``CLASSES`` fingerprints are alike
+    within ``radius`` bits, the others if equal. Members of a bucket of over ``dense``
+    meet the bucket's leader, and those unlike it the whole bucket in blocks of
+    ``dense``, with stars for linked sets.
+    """
+    fps, wide = ([c for c in classes.columns if c[0] == kind and c[1:].isdigit()] for kind in "fs")
+    tables, first = [], 0
+    for i, fp in enumerate(fps):
+        near = radius if i < CLASSES else 0
+        tables.append(_tables(F.col(fp), near, first))
+        first += len(covering_masks(near)) if near else 1
+    keyed = classes.select("node", *wide, F.explode(F.filter(F.concat(*tables), lambda x: x["fp"].isNotNull())).alias("x"))
+    found = _met(keyed, wide, radius, dense)
     links, hot = found.where("kind = 0").select("a", "b"), found.where("kind > 0")
-    if not wide:
-        members = hot.select(F.col("a").alias("fp"), F.col("b").alias("node")).distinct()
-        return links.unionByName(_midpoint_links(members, radius)).distinct()
     if hot.isEmpty():
         return links
-    members = hot.select(F.col("kind").cast("bigint").alias("t"), F.col("a").alias("key"), F.col("b").alias("node")).distinct().join(fps.select("node", "fp", *wide), "node")
+    hot = hot.select((F.col("kind") - 1).cast("bigint").alias("t"), F.col("a").alias("key"), F.col("b").alias("node")).distinct()
+    members = hot.join(keyed.select("node", "x.t", "x.key", "x.fp", *wide), ["t", "key", "node"])
     return links.unionByName(_leader_links(keep(members, "dense-buckets"), wide, radius, dense)).distinct()
 
 
@@ -300,16 +346,18 @@ def near_duplicates(docs: DataFrame, radius: int = 4, words: int = 4, dense: int
 def drop_near_duplicates(docs: DataFrame, radius: int = 4) -> DataFrame:
     """``docs`` with one document of each group of near-duplicates: that of the smallest id. All columns stay.
 
-    Candidates agree up to ``radius`` bits in one of two SimHashes of their long words,
-    found by covering hashing; they are linked if their sketches of five-word shingles show a
-    similarity of 0.8 or more. Groups are what links connect; equal texts are one
-    from the start. Rows with a null id stay; null and empty texts are alike.
-    Repeated rows of an id stay or go together. Of exact copies under one id, all rows stay.
+    Candidates agree in a SimHash of a class of their words (up to ``radius`` bits) or
+    of a side of an anchor shingle, found by covering hashing; they are linked if their
+    sketches of five-word shingles show a similarity of 0.8 or more. Groups are what
+    links connect; equal texts are one from the start. Rows with a null id stay; null
+    and empty texts are alike. Repeated rows of an id stay or go together. Of exact
+    copies under one id, all rows stay.
     """
-    own = keep(sketches(docs), "sketches")
-    parts = [c for c in own.columns if c != "doc_id"]
-    classes = keep(own.groupBy(*parts).agg(F.min("doc_id").alias("node")).where("node is not null"), "sketch-classes")
-    links = fingerprint_links(classes.drop("fp2"), radius).unionByName(fingerprint_links(classes.drop("fp").withColumnRenamed("fp2", "fp"), radius))
-    groups = classes.join(components(links), "node", "left").select(*parts, F.coalesce("component", "node").alias("component_id"))
-    gone = own.join(groups, parts).where("doc_id <> component_id").select("doc_id").distinct()
+    found = sketches(docs)
+    parts = [c for c in found.columns if c != "doc_id"]
+    own = keep(found.withColumn("sketch", F.xxhash64(*parts)), "sketches")
+    classes = keep(own.groupBy("sketch", *parts).agg(F.min("doc_id").alias("node")).where("node is not null"), "sketch-classes")
+    groups = classes.join(components(sketch_links(classes.drop("sketch"), radius)), "node", "left").select("sketch", *[F.col(p).alias(f"_{p}") for p in parts], F.coalesce("component", "node").alias("component_id"))
+    same = [own[p].eqNullSafe(groups[f"_{p}"]) for p in parts]
+    gone = own.join(groups, ["sketch"]).where(reduce(and_, same)).where("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(keep(gone, "near-duplicates").withColumnRenamed("doc_id", "_gone"), F.col("doc_id") == F.col("_gone"), "left_anti")

@@ -153,6 +153,49 @@ def test_near_duplicates_with_scattered_and_block_edits_are_dropped(spark):
     assert {2 * i for i in range(60)} <= kept and len(kept) <= 62
 
 
+def jaccard(a, b):
+    a, b = ({tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (a.split(), b.split()))
+    return len(a & b) / len(a | b)
+
+
+def test_near_duplicates_have_an_exact_similarity(spark):
+    rng, rows = random.Random(5), []
+    for i in range(60):
+        words = [rng.choice(WORDS) for _ in range(200)]
+        edited = words[: 200 - 22 - i] + [rng.choice(WORDS) for _ in range(i % 12)]  # similarity 0.6 to 0.9
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(edited))]
+    alike = {2 * i + 1 for i in range(60) if jaccard(rows[2 * i][1], rows[2 * i + 1][1]) >= 0.8}
+    assert 10 < len(alike) < 50
+    kept = {r.doc_id for r in simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    gone = {i for i, _ in rows} - kept
+    assert gone <= alike and len(gone) >= 0.9 * len(alike)  # candidates are found by chance
+
+
+def test_verified_links_are_those_of_all_pairs(spark):
+    rng = random.Random(9)
+    texts = []
+    for _ in range(3):
+        words = [rng.choice(WORDS) for _ in range(120)]
+        for k in range(30):
+            texts.append(" ".join(words))
+            words = words[5 + 4 * (k % 7 == 6) * 6 :] + [rng.choice(WORDS) for _ in range(5)]  # chains: most are unlike the first
+    parent = list(range(len(texts)))
+    for _ in texts:
+        for a in range(len(texts)):
+            for b in range(a):
+                if jaccard(texts[a], texts[b]) >= 0.8:
+                    parent[a] = parent[b] = min(parent[a], parent[b])
+    assert 6 < len(set(parent)) < 60
+    from tidelog.llm.components import components
+
+    at = simhash.FAMILIES
+    rows = [(0, i, *simhash.sketch(t)[at : at + 4], simhash.shingle_set(t).tolist()) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "component bigint, node bigint, s0 bigint, s1 bigint, s2 bigint, s3 bigint, shingles array<bigint>")
+    for block in (simhash.BLOCK_SHINGLES, 1500):
+        found = {r.node: r.component for r in components(simhash.verified_links(df, block)).collect()}
+        assert [found.get(i, i) for i in range(len(texts))] == parent
+
+
 def test_licenses(docs):
     found = by_id(licenses.scan_licenses(docs))
     r = found[12]

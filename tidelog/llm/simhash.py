@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
-from operator import and_
 
 import numpy as np
 import pyarrow as pa
@@ -59,8 +57,10 @@ def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
 #: Candidates for verified links: fingerprints of classes into which words fall by hash, and of the sides of anchor shingles.
 CLASSES, CLASS_LEAST, ANCHORS = 3, 4, 3
 FAMILIES = CLASSES + 2 * ANCHORS
-#: Bits of the sketch of five-word shingles, and differing ones up to which it counts as a similarity of 0.8 or more.
-SKETCH_WORDS, SKETCH_BITS, SKETCH_DIFFERING = 5, 256, 48
+#: Bits of the sketch of five-word shingles, and differing ones up to which two texts are candidates; at a similarity of 0.8, 39 are expected, 6 the deviation.
+SKETCH_WORDS, SKETCH_BITS, SKETCH_DIFFERING = 5, 256, 60
+#: Shingles of candidates that one task compares at once.
+BLOCK_SHINGLES = 1 << 21
 
 
 def _counts(digests: np.ndarray) -> np.ndarray:
@@ -75,20 +75,33 @@ def _majority(counts: np.ndarray, n: int) -> list[int]:
     return np.packbits(counts * 2 > n).view(">i8").tolist()
 
 
+def shingle_set(text: str | None) -> np.ndarray:
+    """Sorted 64-bit hashes of a text's distinct five-word shingles (fewer words: the whole sequence); no words: a zero."""
+    found = (text or "").encode().lower().split()
+    if not found:
+        return np.zeros(1, dtype=np.int64)
+    places = {b" ".join(found[i : i + SKETCH_WORDS]) for i in range(max(1, len(found) - SKETCH_WORDS + 1))}
+    return _set_of(np.frombuffer(b"".join([xxhash.xxh3_128_digest(s) for s in places]), dtype=">i8")[::2])
+
+
+def _set_of(hashes: np.ndarray) -> np.ndarray:
+    return np.unique(hashes.astype(np.int64))
+
+
 def sketch(text: str | None) -> list[int | None]:
-    """``FAMILIES`` fingerprints of a text's words, then its SimHash of ``SKETCH_BITS`` bits over distinct five-word shingles, as signed integers.
+    """``FAMILIES`` fingerprints of a text's words, its SimHash of ``SKETCH_BITS`` bits over distinct five-word shingles and 128 bits of hash of their set, as signed integers.
 
     Scattered edits leave some class of the words almost as it was. A block that is
     added or cut changes all classes, but one side of an anchor (a shingle that is
     the least by one of its hashes) stays the same: the words before, or from the
     anchor on. A side of less than a third of the words has no fingerprint.
-    These find candidates; the sketch estimates how alike the shingles are. For a
+    These find candidates, of which the sketch leaves those whose shingles may be alike. For a
     similarity (Jaccard) of 0.8, the chance that one of its bits differs is 0.15.
     """
     found = (text or "").encode().lower().split()
     n = len(found)
     if not n:
-        return [0] * CLASSES + [None] * (2 * ANCHORS) + [0] * (SKETCH_BITS // 64)
+        return [0] * CLASSES + [None] * (2 * ANCHORS) + [0] * (SKETCH_BITS // 64) + [0, 0]
     places: dict[bytes, int] = {}
     for i in range(max(1, n - SKETCH_WORDS + 1)):
         places.setdefault(b" ".join(found[i : i + SKETCH_WORDS]), i)
@@ -108,12 +121,13 @@ def sketch(text: str | None) -> list[int | None]:
         before = counts[: edges.index(p)].sum(axis=(0, 1))
         out += _majority(before, p) if p * 3 >= n else [None]
         out += _majority(whole - before, n - p) if (n - p) * 3 >= n else [None]
-    return out + _majority(_counts(wide), len(wide))
+    whole_set = xxhash.xxh3_128_digest(_set_of(wide.view(">i8")[:, 0]).tobytes())
+    return out + _majority(_counts(wide), len(wide)) + np.frombuffer(whole_set, dtype=">i8").tolist()
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """``doc_id``, ``f0`` and so on (the fingerprints) and ``s0`` to ``s3`` of each row of ``docs``."""
-    names = [*[f"f{i}" for i in range(FAMILIES)], *[f"s{i}" for i in range(SKETCH_BITS // 64)]]
+    """``doc_id``, ``f0`` and so on (the fingerprints), ``s0`` to ``s3``, ``h0`` and ``h1`` (of the set of shingles) of each row of ``docs``."""
+    names = [*[f"f{i}" for i in range(FAMILIES)], *[f"s{i}" for i in range(SKETCH_BITS // 64)], "h0", "h1"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -324,6 +338,136 @@ def sketch_links(classes: DataFrame, radius: int = 4, dense: int = 4096) -> Data
     return links.unionByName(_leader_links(keep(members, "dense-buckets"), wide, radius, dense)).distinct()
 
 
+def shingle_sets(docs: DataFrame) -> DataFrame:
+    """``node`` (the doc_id) and ``shingles`` (see ``shingle_set``) of each row of ``docs``, with the hash of the set as in ``sketches``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(x.as_py()) for x in batch.column(1)]
+            # a text without words has zeros in place of a hash, as its sketch
+            whole = np.array([np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), dtype=">i8").astype(np.int64) if s.any() else (0, 0) for s in sets], dtype=np.int64).reshape(-1, 2)
+            offsets = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.empty(0, dtype=np.int64), *sets])))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(whole[:, 0]), pa.array(whole[:, 1]), lists], names=["node", "h0", "h1", "shingles"])
+
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "node bigint, h0 bigint, h1 bigint, shingles array<bigint>")
+
+
+def _common(one: np.ndarray, many: list[np.ndarray]) -> np.ndarray:
+    """Members that a sorted set has in common with each of ``many``."""
+    values = np.concatenate(many)
+    at = np.searchsorted(one, values)
+    at[at == len(one)] = 0
+    starts = np.concatenate([[0], np.cumsum([len(m) for m in many])[:-1]])
+    return np.add.reduceat((one[at] == values).astype(np.int64), starts)
+
+
+def _verified_forest(sets: list[np.ndarray], node: np.ndarray, wide: list[np.ndarray], out: list[tuple[np.ndarray, np.ndarray]]) -> None:
+    """Links of each set of candidates that are linked by a Jaccard of 0.8 or more to its smallest node.
+
+    Whoever is linked is compared with all that are not yet, so one that fails against
+    one member meets the others.
+    """
+    sizes, left = np.array([len(s) for s in sets], dtype=np.int64), np.arange(len(sets))
+    while len(left):
+        group, todo, left = [left[0]], [left[0]], left[1:]
+        while todo and len(left):
+            i = todo.pop()
+            fits = sum(_differing(s[left], s[i]).astype(np.int64) for s in wide) <= SKETCH_DIFFERING
+            fits &= np.minimum(sizes[left], sizes[i]) * 5 >= np.maximum(sizes[left], sizes[i]) * 4
+            some = left[fits]
+            if not len(some):
+                continue
+            # the common ones are 0.8 of the union: 9 times them are 4 times both sizes
+            near = some[_common(sets[i], [sets[k] for k in some]) * 9 >= 4 * (sizes[some] + sizes[i])]
+            left = left[~np.isin(left, near)]
+            todo += near.tolist()
+            group += near.tolist()
+        nodes = node[group]
+        rest = nodes[nodes != nodes.min()]
+        if len(rest):
+            out.append((rest, np.full(len(rest), nodes.min())))
+
+
+def _lists(column: pa.Array | pa.ChunkedArray) -> list[np.ndarray]:
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    values = column.flatten().to_numpy(zero_copy_only=False)
+    return np.split(values, np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False))[:-1]) if len(column) else []
+
+
+def _link_table(links: list[tuple[np.ndarray, np.ndarray]]) -> dict[str, pa.Array]:
+    none = np.empty(0, dtype=np.int64)
+    return {"a": pa.array(np.concatenate([none, *[x for x, _ in links]])), "b": pa.array(np.concatenate([none, *[y for _, y in links]]))}
+
+
+def _verify_sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Verified links among the rows of each ``component``, by which the rows are sorted."""
+    held: list | None = None
+    names = ["component", "node", *[f"s{i}" for i in range(SKETCH_BITS // 64)]]
+
+    def linked(cols: list[np.ndarray], sets: list[np.ndarray]) -> pa.RecordBatch:
+        ends = [*(np.flatnonzero(cols[0][1:] != cols[0][:-1]) + 1).tolist(), len(sets)]
+        links: list[tuple[np.ndarray, np.ndarray]] = []
+        for a, b in zip([0, *ends], ends, strict=False):
+            if b - a > 1:
+                _verified_forest(sets[a:b], cols[1][a:b], [c[a:b] for c in cols[2:]], links)
+        return pa.RecordBatch.from_pydict(_link_table(links))
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cols, sets = [batch.column(n).to_numpy(zero_copy_only=False) for n in names], _lists(batch.column("shingles"))
+        if held is not None:
+            cols, sets = [np.concatenate([h, c]) for h, c in zip(held[0], cols, strict=True)], held[1] + sets
+        cut = int(np.searchsorted(cols[0], cols[0][-1]))
+        if cut:
+            yield linked([c[:cut] for c in cols], sets[:cut])
+        held = [[c[cut:] for c in cols], sets[cut:]]
+    if held is not None:
+        yield linked(*held)
+
+
+def verified_links(candidates: DataFrame, block: int = BLOCK_SHINGLES) -> DataFrame:
+    """Links ``a``, ``b`` whose components are those of all pairs of a component's candidates with a Jaccard of 0.8 or more.
+
+    ``candidates`` has ``component``, ``node``, ``s0`` to ``s3`` and ``shingles``; pairs
+    whose sketches differ in over ``SKETCH_DIFFERING`` bits count as not alike. A component of up to ``block``
+    shingles is compared in one task. Members of a larger one meet its smallest node,
+    and those unlike it the whole component in blocks of about as many shingles.
+    """
+    wide, size = [f"s{i}" for i in range(SKETCH_BITS // 64)], F.size("shingles").cast("bigint")
+    large = keep(candidates.groupBy("component").agg(F.sum(size).alias("n")).where(F.col("n") > block), "large-candidates")
+    small = candidates.join(large, "component", "left_anti").select("component", "node", *wide, "shingles")
+    links = small.repartition("component").sortWithinPartitions("component").mapInArrow(_verify_sorted, "a bigint, b bigint")
+    if large.isEmpty():
+        return links
+    salts = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))).alias("salt")
+    salt = F.pmod(F.xxhash64("node"), F.lit(SALTS))
+    members = keep(candidates.join(large, "component").select("component", "node", *wide, "shingles", "n", salt.alias("salt")), "large-members")
+    leaders = members.groupBy("component").agg(F.min(F.struct("node", *wide, "shingles")).alias("lead")).select("component", "lead", salts)
+    both = F.size(F.array_intersect("shingles", F.col("lead.shingles"))).cast("bigint")
+    apart = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"lead.{c}"))) for c in wide), F.lit(0))
+    near = (apart <= SKETCH_DIFFERING) & (both * 9 >= (size + F.size("lead.shingles")) * 4)
+    met = keep(members.join(leaders, ["component", "salt"]).select("component", "node", *wide, "shingles", "n", "salt", F.col("lead.node").alias("leader"), near.alias("near")), "large-met")
+    rest = met.where("not near")
+    blocks = rest.groupBy("component").agg(F.ceil(F.sum(size) / block).alias("rest_blocks")).select("component", "rest_blocks", salts)
+
+    def dealt(df: DataFrame, own: str, others: str, mine: str, other: str) -> DataFrame:
+        """Each row in a block of its own side, once for each block of the other side."""
+        sized = df.join(blocks, ["component", "salt"]).withColumn("all_blocks", F.ceil(F.col("n") / block))
+        return sized.select("component", F.pmod(F.xxhash64("node", F.lit(own)), F.col(mine)).alias(own), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(other) - 1)).alias(others), "node", *wide, "shingles")
+
+    cells = dealt(rest, "i", "j", "rest_blocks", "all_blocks").unionByName(dealt(met, "j", "i", "all_blocks", "rest_blocks"))
+
+    def compare(cell: pa.Table) -> pa.Table:
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        _verified_forest(_lists(cell.column("shingles")), cell.column("node").to_numpy(), [cell.column(c).to_numpy() for c in wide], found)
+        return pa.table(_link_table(found))
+
+    across = cells.groupBy("component", "i", "j").applyInArrow(compare, "a bigint, b bigint")
+    return links.unionByName(met.where("near").select(F.col("node").alias("a"), F.col("leader").alias("b"))).unionByName(across)
+
+
 def near_duplicates(docs: DataFrame, radius: int = 4, words: int = 4, dense: int = 4096) -> DataFrame:
     """SimHash group of every document.
 
@@ -347,17 +491,22 @@ def drop_near_duplicates(docs: DataFrame, radius: int = 4) -> DataFrame:
     """``docs`` with one document of each group of near-duplicates: that of the smallest id. All columns stay.
 
     Candidates agree in a SimHash of a class of their words (up to ``radius`` bits) or
-    of a side of an anchor shingle, found by covering hashing; they are linked if their
-    sketches of five-word shingles show a similarity of 0.8 or more. Groups are what
-    links connect; equal texts are one from the start. Rows with a null id stay; null
+    of a side of an anchor shingle, found by covering hashing, and have like
+    sketches of five-word shingles. Of those that candidates connect, pairs whose sets of shingles
+    have a Jaccard of 0.8 or more are linked, by the sets themselves (as 64-bit hashes).
+    Groups are what links connect; equal sets are one from the start. Rows with a null id stay; null
     and empty texts are alike. Repeated rows of an id stay or go together. Of exact
     copies under one id, all rows stay.
     """
-    found = sketches(docs)
-    parts = [c for c in found.columns if c != "doc_id"]
-    own = keep(found.withColumn("sketch", F.xxhash64(*parts)), "sketches")
-    classes = keep(own.groupBy("sketch", *parts).agg(F.min("doc_id").alias("node")).where("node is not null"), "sketch-classes")
-    groups = classes.join(components(sketch_links(classes.drop("sketch"), radius)), "node", "left").select("sketch", *[F.col(p).alias(f"_{p}") for p in parts], F.coalesce("component", "node").alias("component_id"))
-    same = [own[p].eqNullSafe(groups[f"_{p}"]) for p in parts]
-    gone = own.join(groups, ["sketch"]).where(reduce(and_, same)).where("doc_id <> component_id").select("doc_id").distinct()
+    own = keep(sketches(docs), "sketches")
+    key, wide = ["h0", "h1"], [f"s{i}" for i in range(SKETCH_BITS // 64)]
+    parts = [c for c in own.columns if c not in ("doc_id", *key)]
+    # equal sets have equal sketches, but the fingerprints of their words can differ
+    nodes = own.where("doc_id is not null").groupBy(*key).agg(F.min(F.struct("doc_id", *parts)).alias("x"))
+    classes = keep(nodes.select(*key, F.col("x.doc_id").alias("node"), *[f"x.{p}" for p in parts]), "sketch-classes")
+    found = keep(components(sketch_links(classes.drop(*key), radius)), "candidates")
+    sets = shingle_sets(docs.join(found.select(F.col("node").alias("doc_id")), "doc_id", "left_semi"))
+    candidates = keep(sets.join(classes.select("node", *key, *wide), ["node", *key]).join(found, "node"), "candidate-sets")
+    groups = classes.join(components(verified_links(candidates)), "node", "left").select(*key, F.coalesce("component", "node").alias("component_id"))
+    gone = own.join(groups, key).where("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(keep(gone, "near-duplicates").withColumnRenamed("doc_id", "_gone"), F.col("doc_id") == F.col("_gone"), "left_anti")

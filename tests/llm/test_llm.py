@@ -319,3 +319,18 @@ def test_decontamination(spark, empty):
     assert found == {1: "verbatim", 2: "template", 5: "verbatim"}
     assert {r.doc_id for r in decontaminate.remove_contaminated(docs, benchmark).collect()} == {3, 4}
     assert decontaminate.contaminated(empty, benchmark).count() == 0
+
+
+def test_decontamination_of_names_that_begin_sentences(spark):
+    item = "Tom has 3 apples. Ann has 5 apples. How many apples do they have altogether?"
+    benchmark = spark.createDataFrame([(1, item), (2, "The big red train leaves at 8 today. The slow train to Rome leaves at 9 today.")], "item_id bigint, text string")
+    texts = {
+        1: prose(20) + ". Eve has 7 apples. Max has 12 apples. How many apples do they have altogether?",
+        2: prose(20) + " problem Eve has 7 apples. Max has 12 apples. How many apples do they have altogether?",
+        3: "Eve has 7 apples. Eve has 12 pears. How many fruits do we all have altogether?",
+        4: "Our big red train leaves at 6 today. That slow train to Bonn leaves at 7 today.",  # two words for one
+        5: "Tom has 3 apples. " + prose(30),
+    }
+    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    found = {(r.doc_id, r.item_id): r.kind for r in decontaminate.contaminated(docs, benchmark).collect()}
+    assert found == {(1, 1): "template", (2, 1): "template"}

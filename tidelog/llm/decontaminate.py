@@ -57,8 +57,8 @@ class _Chunks(dict):
         return out
 
 
-def _canonical(text: str | None, chunks: _Chunks) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Literal codes, template codes and which tokens are slots.
+def _canonical(text: str | None, chunks: _Chunks) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Literal codes, template codes, which tokens are slots and which are if names can begin a sentence.
 
     Tokens are words without case and punctuation. In the template, numbers, names
     (capitalised words within a sentence) and units (after a number) are placeholders.
@@ -71,9 +71,11 @@ def _canonical(text: str | None, chunks: _Chunks) -> tuple[np.ndarray, np.ndarra
     codes, flags, begins = codes[token], flags[token], begins[token]
     number = (flags & IS_NUMBER) > 0
     after = np.concatenate([[False], number[:-1]])[: len(flags)]
-    unit, name = ((flags & IS_UNIT) > 0) & after, ((flags & IS_NAME) > 0) & ~begins
+    unit, capital = ((flags & IS_UNIT) > 0) & after, (flags & IS_NAME) > 0
+    name = capital & ~begins
     template = np.where(number, _U(NUMBER), np.where(unit, _U(UNIT), np.where(name, _U(NAME), codes)))
-    return codes, template, number | unit | name
+    slot = number | unit | name
+    return codes, template, slot, slot | capital
 
 
 def _rolling(codes: np.ndarray, n: int) -> np.ndarray:
@@ -86,25 +88,30 @@ def _rolling(codes: np.ndarray, n: int) -> np.ndarray:
 
 
 def _windows(text: str | None, chunks: _Chunks, width: int) -> tuple[np.ndarray, ...]:
-    """Per window: hash, position, whether of the template, and the codes of its slots (a list).
+    """Per window: hash, position and variant; then the codes, and which tokens are slots in variants 1 and 2.
 
-    Literal windows all count; template windows where they differ from them and
-    have enough literal tokens.
+    Literal windows (variant 0) all count; template windows (1) where they differ from them and
+    have enough literal tokens. In variant 2 capitalised words that begin a sentence are
+    names too; it has the windows that differ from the template.
     """
-    codes, template, slot = _canonical(text, chunks)
+    codes, template, slot, wide = _canonical(text, chunks)
     plain = _rolling(codes, width)
     if not len(plain):
         empty = np.empty(0, dtype=np.int64)
-        return plain, empty, empty.astype(bool), codes, slot
-    slots = np.concatenate([[0], np.cumsum(slot)])
-    n_slots = slots[width:] - slots[:-width]
-    some = np.flatnonzero((n_slots > 0) & (n_slots <= width - min(LITERAL, width)))
-    hashes = np.concatenate([plain, _rolling(template, width)[some]])
-    at = np.concatenate([np.arange(len(plain)), some])
-    return hashes, at, np.arange(len(at)) >= len(plain), codes, slot
+        return plain, empty, empty, codes, slot, wide
+    slots, wides = (np.concatenate([[0], np.cumsum(x)]) for x in (slot, wide))
+    n_slots, n_wide = slots[width:] - slots[:-width], wides[width:] - wides[:-width]
+    most = width - min(LITERAL, width)
+    some = np.flatnonzero((n_slots > 0) & (n_slots <= most))
+    more = np.flatnonzero((n_wide > n_slots) & (n_wide <= most))
+    hashes = [plain, _rolling(template, width)[some]]
+    if len(more):
+        hashes.append(_rolling(np.where(wide & ~slot, _U(NAME), template), width)[more])
+    at = np.concatenate([np.arange(len(plain)), some, more])
+    return np.concatenate(hashes), at, np.repeat([0, 1, 2], [len(plain), len(some), len(more)]), codes, slot, wide
 
 
-_SCHEMA = "hash bigint, id bigint, at bigint, template boolean, slots array<bigint>, n_windows bigint"
+_SCHEMA = "hash bigint, id bigint, at bigint, variant int, slots array<bigint>, n_windows bigint"
 
 
 def _emit(width: int, filter_: np.ndarray | None):
@@ -113,20 +120,20 @@ def _emit(width: int, filter_: np.ndarray | None):
         for batch in batches:
             columns: list[list] = [[], [], [], [], [], []]
             for id_, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                hashes, at, template, codes, slot = _windows(text.as_py(), chunks, width)
+                hashes, at, variant, codes, slot, wide = _windows(text.as_py(), chunks, width)
                 n = max(0, len(codes) - width + 1)
                 if filter_ is not None:
                     bit = (hashes % _U(FILTER_BITS)).astype(np.int64)
                     passed = np.flatnonzero(filter_[bit >> 3] >> (bit & 7).astype(np.uint8) & 1)
-                    hashes, at, template = hashes[passed], at[passed], template[passed]
+                    hashes, at, variant = hashes[passed], at[passed], variant[passed]
                 if not len(hashes):
                     continue
                 signed = codes.view(np.int64)
-                slots = [signed[a : a + width][slot[a : a + width]].tolist() if t else None for a, t in zip(at.tolist(), template.tolist(), strict=True)]
-                for column, x in zip(columns, (hashes.view(np.int64).tolist(), [id_] * len(at), at.tolist(), template.tolist(), slots, [n] * len(at)), strict=True):
+                slots = [signed[a : a + width][(slot, wide)[v - 1][a : a + width]].tolist() if v else None for a, v in zip(at.tolist(), variant.tolist(), strict=True)]
+                for column, x in zip(columns, (hashes.view(np.int64).tolist(), [id_] * len(at), at.tolist(), variant.tolist(), slots, [n] * len(at)), strict=True):
                     column += x
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int64()), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["hash", "id", "at", "template", "slots", "n_windows"])
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["hash", "id", "at", "variant", "slots", "n_windows"])
 
     return run
 
@@ -142,7 +149,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, run
     placeholders; equal windows meet in a hash join. Matches of a pair are kept
     along one shift between the two texts. A pair counts if they span ``run`` tokens,
     or all of a shorter item. Template windows count only while slots are
-    consistent: each value of the item stands for one value in the document.
+    consistent: each value of the item stands for one value in the document. Capitalised
+    words that begin a sentence are read both ways, as they are and as names; the second way falls
+    by itself if its slots are inconsistent.
 
     Items of fewer than ``width`` tokens, null texts and rows with a null id match
     nothing; repeated rows of an id count as one document or item, an empty table
@@ -157,14 +166,19 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, run
         filter_[r["byte"]] = r["b"]
     shared = docs.sparkSession.sparkContext.broadcast(filter_)
     found = select(docs, "doc_id").mapInArrow(lambda it: _emit(width, shared.value)(it), _SCHEMA)
-    own = items.select("hash", F.col("id").alias("item_id"), F.col("at").alias("item_at"), F.col("slots").alias("item_slots"), "template", F.col("n_windows").alias("of")).distinct()
-    met = keep(found.select("hash", F.col("id").alias("doc_id"), "at", "slots", "template").distinct().join(own, ["hash", "template"]).withColumn("shift", F.col("at") - F.col("item_at")), "matches")
+    template = (F.col("variant") > 0).alias("template")
+    own = items.select("hash", F.col("id").alias("item_id"), F.col("at").alias("item_at"), F.col("slots").alias("item_slots"), F.col("variant").alias("item_variant"), template, F.col("n_windows").alias("of")).distinct()
+    met = found.select("hash", F.col("id").alias("doc_id"), "at", "slots", "variant", template).distinct().join(own, ["hash", "template"])
+    # a name can begin a sentence on one side only: equal windows meet whatever their variants
+    met = keep(met.withColumn("variant", F.greatest("variant", "item_variant")).withColumn("shift", F.col("at") - F.col("item_at")), "matches")
     pair = ["doc_id", "item_id", "shift"]
     # a value of the item that stands for several values in the document makes the pair's template windows void
-    values = met.where("template").select(*pair, F.explode(F.arrays_zip("item_slots", "slots")).alias("v")).groupBy(*pair, "v.item_slots").agg((F.min("v.slots") != F.max("v.slots")).alias("torn"))
-    torn = values.where("torn").select(*pair).distinct().withColumn("void", F.lit(True))
-    kept = met.join(torn, pair, "left").where("not template or void is null")
-    spans = kept.groupBy(*pair).agg(F.countDistinct("at").alias("n_windows"), F.max("of").alias("of"), F.countDistinct(F.when(~F.col("template"), F.col("at"))).alias("plain"))
+    values = met.where("template").select(*pair, "variant", F.explode(F.arrays_zip("item_slots", "slots")).alias("v"))
+    first = F.when(F.col("variant") == 1, F.col("v.slots"))
+    torn = values.groupBy(*pair, "v.item_slots").agg((F.min(first) != F.max(first)).alias("torn"), (F.min("v.slots") != F.max("v.slots")).alias("torn_wide"))
+    torn = torn.where("torn_wide").groupBy(*pair).agg(F.coalesce(F.max("torn"), F.lit(False)).alias("void"), F.lit(True).alias("void_wide"))
+    kept = met.join(torn, pair, "left").where("variant = 0 or void_wide is null or variant = 1 and not void")
+    spans = kept.groupBy(*pair).agg(F.countDistinct("at").alias("n_windows"), F.max("of").alias("of"), F.countDistinct(F.when(F.col("variant") == 0, F.col("at"))).alias("plain"))
     enough = spans.where((F.col("n_windows") >= F.least(F.lit(max(1, run - width + 1)), F.col("of"))))
     best = enough.groupBy("doc_id", "item_id").agg(F.max(F.struct("n_windows", "plain", "of")).alias("b"))
     return best.select("doc_id", "item_id", "b.n_windows", (F.col("b.n_windows") / F.col("b.of")).alias("share"), F.when(F.col("b.plain") == F.col("b.n_windows"), "verbatim").otherwise("template").alias("kind"))

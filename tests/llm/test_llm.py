@@ -277,6 +277,17 @@ def test_toxicity(spark):
     assert automaton.match("abcdef") == (0, "abc*") and automaton.match("ab") is None
 
 
+def test_misspelled_stems_and_long_words(spark):
+    automaton = toxicity.TrieAutomaton(["grumbold*", "abcdefghij", "klmnopqr"])
+    assert automaton.match("grunboldish") == (1, "grumbold*") and automaton.match("gunboldish") is None
+    assert automaton.match("abXdeghij".lower()) == (2, "abcdefghij") and automaton.match("klmXoqr".lower()) is None
+    counts = spark.createDataFrame([("grombold", 0, 9), ("grombold*", 0, 4), ("grumbuld", 9, 1), ("other", 0, 9), ("grumbold", 0, 9)], "term string, pos bigint, neg bigint")
+    ordinary = toxicity.ordinary_words(counts, {"grumbold*": 1.0})
+    assert ordinary == {"grombold", "grombold*"}
+    words = ["grumboldish", "grumbaldish", "grombold", "gromboldest", "grumbuld", "other"]
+    assert set(toxicity.Scorer({"grumbold*": 1.0}, None, ordinary).hits(words)) == {"grumboldish", "grumbaldish", "grumbuld"}
+
+
 def test_sharding(docs):
     table = sharding.fill_table(["a", "b", "c"], 101)
     assert sorted(collections.Counter(table).values()) == [33, 34, 34]

@@ -69,8 +69,8 @@ class TrieAutomaton:
 
     @staticmethod
     def edits(body: str, stem: bool) -> int:
-        """Edits that an entry allows: one for whole words of five letters or more; short words and stems have ordinary words as neighbours."""
-        return 0 if stem or len(body) < 5 else 1
+        """Edits that an entry allows: none for short ones, whose neighbours are ordinary words; two from ten letters on."""
+        return 0 if len(body) < 5 or stem and len(body) < 8 else 1 if len(body) < 10 else 2
 
     def _insert_free(self, items: set[tuple[int, int]]) -> frozenset:
         """Close over characters of entries that the word lacks; keep the fewest edits of each node."""
@@ -126,10 +126,10 @@ FEATURES = ["some exact", "log exact", "some close", "log close", "rate", "weigh
 
 
 class Scorer:
-    """Features of a text, and their weighted sum."""
+    """Features of a text, and their weighted sum. ``ordinary``: words and stems that are not taken for misspelled entries."""
 
-    def __init__(self, lexicon: dict[str, float], weights: list[float] | None = None) -> None:
-        self.lexicon, self.weights = lexicon, weights
+    def __init__(self, lexicon: dict[str, float], weights: list[float] | None = None, ordinary: frozenset[str] = frozenset()) -> None:
+        self.lexicon, self.weights, self.ordinary = lexicon, weights, ordinary
         self.automaton = TrieAutomaton(list(lexicon))
         self.known: dict[str, tuple[int, str]] = {}
         self.clean: set[str] = set()
@@ -138,7 +138,8 @@ class Scorer:
         found = {}
         for w in set(words) - self.clean:
             m = self.known.get(w) or self.automaton.match(w)
-            if m is None:
+            # what begins like an ordinary stem is not a misspelled one
+            if m is None or m[0] and (w in self.ordinary or m[1].endswith("*") and w[: len(m[1]) - 1] + "*" in self.ordinary):
                 self.clean.add(w)
             else:
                 self.known[w] = found[w] = m
@@ -184,15 +185,35 @@ def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array([counts[1][t] for t in terms], pa.int64()), pa.array([counts[0][t] for t in terms], pa.int64())], names=["term", "pos", "neg"])
 
 
-def learn_lexicon(rows: DataFrame, size: int = LEXICON) -> dict[str, float]:
-    """Entries and their weights, from rows of ``text`` and ``toxic``.
+def count_terms(rows: DataFrame) -> DataFrame:
+    """``term`` and how many toxic (``pos``) and other rows (``neg``) of ``text`` and ``toxic`` have it."""
+    counts = rows.select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(_term_counts, "term string, pos bigint, neg bigint").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    return keep(counts, "terms")
+
+
+def ordinary_words(counts: DataFrame, lexicon: dict[str, float]) -> frozenset[str]:
+    """Words, and stems of the greatest length, within the edits of an entry but not equal to one, that are in other rows and not in toxic ones with the precision of an entry."""
+    whole = ~F.endswith("term", F.lit("*")) | (F.length("term") == STEMS[-1] + 1)
+    words = counts.where((F.col("neg") > 0) & (F.col("pos") < PRECISION * (F.col("pos") + F.col("neg"))) & whole).select("term")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = TrieAutomaton(list(lexicon))
+        for batch in batches:
+            near = [bool(m and m[0]) for m in (automaton.match(x.rstrip("*")) for x in batch.column(0).to_pylist())]
+            yield batch.filter(pa.array(near, pa.bool_()))
+
+    return frozenset(r["term"] for r in words.mapInArrow(run, "term string").collect())
+
+
+def learn_lexicon(rows: DataFrame, size: int = LEXICON, counts: DataFrame | None = None) -> dict[str, float]:
+    """Entries and their weights, from rows of ``text`` and ``toxic`` (and their ``count_terms``).
 
     An entry is in at least ``SUPPORT`` toxic rows and ``SHARE`` of them, and at least
     ``PRECISION`` of its rows are toxic.
     Of a stem and the words and longer stems that begin with it, the stem stays if
     it is in more toxic rows and no less precise. The weight is the log of the odds.
     """
-    counts = rows.select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(_term_counts, "term string, pos bigint, neg bigint").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    counts = count_terms(rows) if counts is None else counts
     least = max(SUPPORT, SHARE * rows.where("toxic = 1").count())
     good = counts.where((F.col("pos") >= least) & (F.col("pos") >= PRECISION * (F.col("pos") + F.col("neg"))))
     # the best 20 for each place in the lexicon: stems and what begins with them are both among them
@@ -245,8 +266,9 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, size: int
     own = own.where(~held_out(F.col("doc_id"))).where("toxic in (0, 1)").orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     # at most ``rows`` ids are broadcast, and the texts stay where they are read
     train = keep(docs.where("text is not null").select("doc_id", "text").join(F.broadcast(own), "doc_id").select("text", "toxic"), "labelled")
-    lexicon = learn_lexicon(train, size)
-    scorer = Scorer(lexicon)
+    counts = count_terms(train)
+    lexicon = learn_lexicon(train, size, counts)
+    scorer = Scorer(lexicon, ordinary=ordinary_words(counts, lexicon))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -278,10 +300,10 @@ def score(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, size: int
     table gives an empty result; without labels the score is 0.5, from no rows.
     """
     scorer = learn(docs, labels, rows, size)
-    lexicon, weights = scorer.lexicon, scorer.weights
+    lexicon, weights, ordinary = scorer.lexicon, scorer.weights, scorer.ordinary
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Scorer(lexicon, weights)
+        own = Scorer(lexicon, weights, ordinary)
         for batch in batches:
             scores = [own.score(t.as_py()) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], names=["doc_id", "score"])
@@ -293,11 +315,11 @@ def score(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, size: int
 def reject(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, size: int = LEXICON) -> DataFrame:
     """``docs`` without the rows that are predicted toxic; all columns stay."""
     scorer = learn(docs, labels, rows, size)
-    lexicon, weights = scorer.lexicon, scorer.weights
+    lexicon, weights, ordinary = scorer.lexicon, scorer.weights, scorer.ordinary
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Scorer(lexicon, weights)
+        own = Scorer(lexicon, weights, ordinary)
         for batch in batches:
             yield batch.filter(pa.array([own.score(t.as_py()) < 0.5 for t in batch.column(at)], pa.bool_()))
 

@@ -90,6 +90,23 @@ def test_dense_buckets_are_linked_by_midpoints(spark):
     assert groups[0] == groups[1] and len(groups[0]) == len(fps) - 1
 
 
+def test_a_dense_bucket_over_several_batches_can_end_a_partition():
+    import pyarrow as pa
+
+    def batch(first, n):
+        fps = np.arange(first, first + n)
+        return pa.RecordBatch.from_arrays([pa.array(np.full(n, 2)), pa.array(np.full(n, 7)), pa.array(fps), pa.array(fps)], names=["t", "key", "fp", "node"])
+
+    for sizes in ((5, 5, 5), (2, 5, 1), (5, 1)):
+        batches = [batch(10 * i, n) for i, n in enumerate(sizes)]
+        found = [(r["kind"], r["a"], r["b"]) for out in simhash._bucket_links(iter(batches), 4, 3) for r in out.to_pylist()]
+        members = {(3, 10 * i + k, 10 * i + k) for i, n in enumerate(sizes) for k in range(n)}
+        assert {r for r in found if r[0]} == members
+        other = batch(100, 2).set_column(1, "key", pa.array([8, 8]))
+        found = [(r["kind"], r["a"], r["b"]) for out in simhash._bucket_links(iter([*batches, other]), 4, 3) for r in out.to_pylist()]
+        assert {r for r in found if r[0]} == members and {r for r in found if not r[0]} == {(0, 100, 101)}
+
+
 def test_dense_buckets_are_linked_by_leaders_and_blocks(spark):
     rng = random.Random(3)
 

@@ -216,8 +216,11 @@ def _bucket_links(batches: Iterator[pa.RecordBatch], radius: int, dense: int) ->
         if overflow:
             end = int(np.flatnonzero((t != t[0]) | (key != key[0]))[0]) if cut else len(t)
             yield members(*[c[:end] for c in cols])
+            if not cut:
+                held = [c[-1:] for c in cols]  # the bucket may go on
+                continue
             cols = [c[end:] for c in cols]
-            cut, overflow = max(0, cut - end), not cut
+            cut, overflow = cut - end, False
         yield from closed(*[c[:cut] for c in cols])
         held = [c[cut:] for c in cols]
         if len(held[0]) > dense:

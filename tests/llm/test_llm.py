@@ -224,6 +224,13 @@ def test_licenses(docs):
     assert [t.run(w.split(), 0)[0] >= 0 for w in (b"a e x f", b"a b e x y f", b"a c d e x f", b"a c e x f", b"a e f")] == [True, True, True, False, False]
 
 
+def test_cut_licenses_keep_their_score():
+    scanner = licenses.LicenseScanner()
+    score = scanner.scan("word Permission is hereby granted, free of charge, to any person obtaining a copy")
+    assert score[5:] == ("", 13 / 29)
+    assert scanner.scan("This source code form")[5:] == ("", 4 / 17) and scanner.scan("a source code form")[5:] == ("", 0.0)
+
+
 def test_winnowing(docs, empty):
     found, n = by_id(winnowing.compare_edited(docs)), len(TEXTS)
     for i, t in enumerate(TEXTS):

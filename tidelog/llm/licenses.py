@@ -124,8 +124,7 @@ class LicenseScanner:
     def __init__(self, templates: dict[str, list[str]] | None = None, base: dict[str, str] | None = None) -> None:
         self.templates = [Template(label, m) for label, all_ in (TEMPLATES if templates is None else templates).items() for m in all_]
         self.base = [(phrase.encode().split(), label) for phrase, label in (BASE_PHRASES if base is None else base).items()]
-        # the longest mandatory word of each template: texts without it are not run
-        self.rare = [(max(t.wording, key=len), t) for t in self.templates]
+        self.first = frozenset().union(*[t.first for t in self.templates])
 
     def scan(self, text: str | None) -> tuple[int, int, int | None, int | None, str, str, float]:
         words = license_words(text)
@@ -137,11 +136,13 @@ class LicenseScanner:
                 places += at
                 found += [label] * bool(at)
         labels, score = set(found), 1.0 if found else 0.0
-        for rare, template in self.rare:
-            if rare not in there:
-                continue
-            for i, w in enumerate(words):
-                if w in template.first:
+        starts: dict[bytes, list[int]] = {w: [] for w in self.first & there}
+        for i, w in enumerate(words) if starts else ():
+            if w in starts:
+                starts[w].append(i)
+        for template in self.templates:
+            for w in template.first & starts.keys():
+                for i in starts[w]:
                     end, best = template.run(words, i)
                     if end >= 0:
                         labels.add(template.label)

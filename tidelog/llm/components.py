@@ -15,13 +15,13 @@ def _lowest(edges: DataFrame) -> DataFrame:
 def _large_star(edges: DataFrame) -> DataFrame:
     """Each node's larger neighbours are linked to the smallest node of its neighbourhood."""
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    low = _lowest(both).select("u", F.least("u", "m").alias("m"))
+    low = keep(_lowest(both).select("u", F.least("u", "m").alias("m")), "lowest")
     return both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Each node and its smaller neighbours are linked to the smallest of them. In ``edges``, u > v."""
-    low = _lowest(edges)
+    low = keep(_lowest(edges), "lowest")
     moved = edges.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(low.select("u", F.col("m").alias("v"))).distinct()
 
@@ -35,8 +35,9 @@ def components(links: DataFrame) -> DataFrame:
     included), one row per node; no links give no rows.
 
     Large-star and small-star steps alternate until nothing changes. A step only
-    takes minima (combined before the shuffle) and joins on them, so a node with
-    very many links is never gathered in one task. Every round is a written table.
+    takes minima, combined before the shuffle and written, and joins the links with
+    them: a plain join of two tables, in which adaptive execution splits the links of
+    a node that has very many. Every round is a written table.
     """
     a, b = links.columns
     edges = links.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.tables import keep
+from tidelog.llm.tables import keep, without
 
 #: Tokens in a window, and tokens of an item in a row that count as contamination (all of a shorter item).
 WINDOW, RUN = 8, 13
@@ -186,5 +186,4 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, run
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, run: int = RUN) -> DataFrame:
     """``docs`` without documents that hold a benchmark item; all columns stay, and so do rows with a null id."""
-    bad = contaminated(docs, benchmark, width, run).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(keep(bad, "contaminated"), F.col("doc_id") == F.col("_bad"), "left_anti")
+    return without(docs, contaminated(docs, benchmark, width, run).select("doc_id").distinct(), "doc_id", "contaminated")

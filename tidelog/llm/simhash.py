@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.llm.components import components
-from tidelog.llm.tables import keep
+from tidelog.llm.tables import keep, without
 
 BITS = 64
 SEED = 42
@@ -55,7 +55,7 @@ def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
 
 
 #: Candidates for verified links: fingerprints of classes into which words fall by hash, and of the sides of anchor shingles.
-CLASSES, CLASS_LEAST, ANCHORS = 3, 4, 3
+CLASSES, CLASS_LEAST, ANCHORS = 3, 4, 6
 FAMILIES = CLASSES + 2 * ANCHORS
 #: Bits of the sketch of five-word shingles, and differing ones up to which two texts are candidates; at a similarity of 0.8, 39 are expected, 6 the deviation.
 SKETCH_WORDS, SKETCH_BITS, SKETCH_DIFFERING = 5, 256, 60
@@ -75,54 +75,82 @@ def _majority(counts: np.ndarray, n: int) -> list[int]:
     return np.packbits(counts * 2 > n).view(">i8").tolist()
 
 
+def _word_codes(text: str | None) -> np.ndarray:
+    """XXH64 of each word, A-Z lower-cased."""
+    found = (text or "").encode().lower().split()
+    return np.frombuffer(b"".join([xxhash.xxh64_digest(w, SEED) for w in found]), dtype=">u8").astype(np.uint64)
+
+
+def _mixed(x: np.ndarray, turn: int = 0) -> np.ndarray:
+    """One of several independent mixes of 64-bit hashes."""
+    with np.errstate(over="ignore"):
+        x = x + np.uint64((turn + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _shingles(codes: np.ndarray) -> np.ndarray:
+    """Hash of each five-word shingle, rolled from the words' hashes (fewer words: the whole sequence); no words: a zero."""
+    if not len(codes):
+        return np.zeros(1, dtype=np.uint64)
+    width = min(SKETCH_WORDS, len(codes))
+    out = np.zeros(len(codes) - width + 1, dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        for k in range(width):
+            out = out * np.uint64(0x9FB21C651E98DF25) + codes[k : k + len(out)]
+    return _mixed(out)
+
+
 def shingle_set(text: str | None) -> np.ndarray:
     """Sorted 64-bit hashes of a text's distinct five-word shingles (fewer words: the whole sequence); no words: a zero."""
-    found = (text or "").encode().lower().split()
-    if not found:
-        return np.zeros(1, dtype=np.int64)
-    places = {b" ".join(found[i : i + SKETCH_WORDS]) for i in range(max(1, len(found) - SKETCH_WORDS + 1))}
-    return _set_of(np.frombuffer(b"".join([xxhash.xxh3_128_digest(s) for s in places]), dtype=">i8")[::2])
+    return np.unique(_shingles(_word_codes(text)).view(np.int64))
 
 
-def _set_of(hashes: np.ndarray) -> np.ndarray:
-    return np.unique(hashes.astype(np.int64))
+def set_hash(shingles: np.ndarray) -> list[int]:
+    """128 bits of hash of a set of shingles, as two signed integers."""
+    return np.frombuffer(xxhash.xxh3_128_digest(shingles.tobytes()), dtype=">i8").tolist()
+
+
+def _bytes(codes: np.ndarray) -> np.ndarray:
+    return codes.astype(">u8").view(np.uint8).reshape(-1, 8)
 
 
 def sketch(text: str | None) -> list[int | None]:
-    """``FAMILIES`` fingerprints of a text's words, its SimHash of ``SKETCH_BITS`` bits over distinct five-word shingles and 128 bits of hash of their set, as signed integers.
-
-    Scattered edits leave some class of the words almost as it was. A block that is
-    added or cut changes all classes, but one side of an anchor (a shingle that is
-    the least by one of its hashes) stays the same: the words before, or from the
-    anchor on. A side of less than a third of the words has no fingerprint.
-    These find candidates, of which the sketch leaves those whose shingles may be alike. For a
-    similarity (Jaccard) of 0.8, the chance that one of its bits differs is 0.15.
+    """``FAMILIES`` fingerprints of a text's words, its SimHash of ``SKETCH_BITS`` bits over distinct five-word shingles and the ``set_hash`` of these.
+
+    Distinct words fall into classes by hash; each class has a SimHash, of which
+    scattered edits leave some almost as it was. A word counts once, so the frequent
+    words of a language do not make long texts alike. A block that is added or cut
+    changes all classes, but one side of an anchor (a shingle that is the least by one
+    of its hashes) stays the same: the words before, or from the anchor on. A side of
+    less than a third of the words has no fingerprint. These find candidates, of which
+    the sketch leaves those whose shingles may be alike. For a similarity (Jaccard) of
+    0.8, the chance that one of its bits differs is 0.15.
     """
-    found = (text or "").encode().lower().split()
-    n = len(found)
+    codes = _word_codes(text)
+    n = len(codes)
+    distinct, at = np.unique(_shingles(codes).view(np.int64), return_index=True)
+    whole_set = set_hash(distinct)
     if not n:
-        return [0] * CLASSES + [None] * (2 * ANCHORS) + [0] * (SKETCH_BITS // 64) + [0, 0]
-    places: dict[bytes, int] = {}
-    for i in range(max(1, n - SKETCH_WORDS + 1)):
-        places.setdefault(b" ".join(found[i : i + SKETCH_WORDS]), i)
-    wide = np.frombuffer(b"".join([xxhash.xxh3_128_digest(s) + xxhash.xxh3_128_digest(s, SEED) for s in places]), dtype=np.uint8).reshape(-1, SKETCH_BITS // 8)
-    at = list(places.values())
-    anchors = [at[i] for i in wide.view(">u8")[:, :ANCHORS].argmin(axis=0).tolist()]
-
-    digests = np.frombuffer(b"".join([xxhash.xxh64_digest(w, SEED) for w in found]), dtype=np.uint8).reshape(-1, 8)
-    kind = (digests.view(">u8")[:, 0] % CLASSES).astype(np.int64)
-    edges = [0, *sorted(set(anchors) - {0}), n]
-    counts = np.array([[_counts(digests[a:b][kind[a:b] == c]) for c in range(CLASSES)] for a, b in zip(edges, edges[1:], strict=False)])
-    sizes, whole = np.bincount(kind, minlength=CLASSES).tolist(), counts.sum(axis=(0, 1))
+        return [0] * CLASSES + [None] * (2 * ANCHORS) + [0] * (SKETCH_BITS // 64) + whole_set
+    mixes = [_mixed(distinct.view(np.uint64), k) for k in range(max(ANCHORS, SKETCH_BITS // 64))]
+    words = np.unique(codes)
+    kind = (_mixed(words) % np.uint64(CLASSES)).astype(np.int64)
     out: list[int | None] = []
     for c in range(CLASSES):
-        out += _majority(counts[:, c].sum(axis=0), sizes[c]) if sizes[c] >= CLASS_LEAST else _majority(whole, n)
+        own = words[kind == c] if (kind == c).sum() >= CLASS_LEAST else words
+        out += _majority(_counts(_bytes(own)), len(own))
+    anchors = [int(at[w.argmin()]) for w in mixes[:ANCHORS]]
+    edges = [0, *sorted(set(anchors) - {0}), n]
+    counts = np.array([_counts(_bytes(codes[a:b])) for a, b in zip(edges, edges[1:], strict=False)])
     for p in anchors:
-        before = counts[: edges.index(p)].sum(axis=(0, 1))
+        before = counts[: edges.index(p)].sum(axis=0)
         out += _majority(before, p) if p * 3 >= n else [None]
-        out += _majority(whole - before, n - p) if (n - p) * 3 >= n else [None]
-    whole_set = xxhash.xxh3_128_digest(_set_of(wide.view(">i8")[:, 0]).tobytes())
-    return out + _majority(_counts(wide), len(wide)) + np.frombuffer(whole_set, dtype=">i8").tolist()
+        out += _majority(counts.sum(axis=0) - before, n - p) if (n - p) * 3 >= n else [None]
+    for w in mixes[: SKETCH_BITS // 64]:
+        out += _majority(_counts(_bytes(w)), len(w))
+    return out + whole_set
 
 
 def sketches(docs: DataFrame) -> DataFrame:
@@ -154,31 +182,46 @@ def _differing(a: np.ndarray, b: np.ndarray | np.int64) -> np.ndarray:
     return np.bitwise_count((a ^ b).view(np.uint64))
 
 
-def _forest(fp: np.ndarray, node: np.ndarray, radius: int, out: list[tuple[np.ndarray, np.ndarray]], wide: list[np.ndarray]) -> None:
-    """Links of each linked set within one bucket to its smallest node. ``wide``: parts of sketches, to differ in ``SKETCH_DIFFERING`` bits at most."""
+def _forest(fp: np.ndarray, node: np.ndarray, radius: int, out: list[tuple[np.ndarray, np.ndarray]], wide: list[np.ndarray], earlier: np.ndarray) -> None:
+    """Links of a forest whose trees are the linked sets of one bucket; not those of pairs that agree under one of the ``earlier`` masks.
+
+    A pair that agrees under an earlier mask is linked, by itself or through others, in
+    that mask's bucket. ``wide``: parts of sketches, to differ in ``SKETCH_DIFFERING`` bits at most.
+    """
     left = np.arange(len(fp))
     while len(left):
-        group, front, left = [left[:1]], left[:1], left[1:]
-        while len(front) and len(left):
-            near = np.zeros(len(left), dtype=bool)
-            for i in front:
-                fits = _differing(fp[left], fp[i]) <= radius
-                if wide:
-                    fits &= sum(_differing(s[left], s[i]).astype(np.int64) for s in wide) <= SKETCH_DIFFERING
-                near |= fits
-            front, left = left[near], left[~near]
-            group.append(front)
-        nodes = node[np.concatenate(group)]
-        if len(nodes) > 1:
-            low = nodes.min()
-            rest = nodes[nodes != low]
-            out.append((rest, np.full(len(rest), low)))
-
-
-def _bucket_links(batches: Iterator[pa.RecordBatch], radius: int, dense: int) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by table and key. Yields links (kind 0) and the members of dense buckets (kind 1 + table: fp, or key if there are sketches, and node)."""
+        todo, left = [left[0]], left[1:]
+        while todo and len(left):
+            i = todo.pop()
+            apart = fp[left] ^ fp[i]
+            near = _differing(apart, np.int64(0)) <= radius
+            if wide:
+                near &= sum(_differing(s[left], s[i]).astype(np.int64) for s in wide) <= SKETCH_DIFFERING
+            found, new = left[near], apart[near]
+            if len(found):
+                first = found[_is_new(new, earlier)]
+                out.append((node[first], np.full(len(first), node[i])))
+                todo += found.tolist()
+                left = left[~near]
+
+
+def _is_new(apart: np.ndarray, earlier: np.ndarray) -> np.ndarray:
+    """Pairs, by their differing bits, that agree under none of the ``earlier`` masks."""
+    new = np.ones(len(apart), dtype=bool)
+    for m in earlier:
+        new &= (apart & m) != 0
+    return new
+
+
+def _bucket_links(batches: Iterator[pa.RecordBatch], radius: int, dense: int, earlier: list[np.ndarray] | None = None) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by table and key. Yields links (kind 0) and the members of dense buckets (kind 1 + table: fp, or key if there are sketches, and node).
+
+    ``earlier`` has the masks of the tables before each table, of the same fingerprints. A dense
+    bucket leaves all its pairs to the caller, and so do the others those that agree in it.
+    """
     held: list[np.ndarray] | None = None
     overflow = False  # the bucket that is held is dense, and its first members are out
+    none = np.empty(0, dtype=np.int64)
 
     def rows(kind: int, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, dtype=np.int32)), pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["kind", "a", "b"])
@@ -191,16 +234,19 @@ def _bucket_links(batches: Iterator[pa.RecordBatch], radius: int, dense: int) ->
             return
         new = np.flatnonzero((t[1:] != t[:-1]) | (key[1:] != key[:-1])) + 1
         starts, sizes = np.concatenate([[0], new]), np.diff(np.concatenate([[0], new, [len(t)]]))
-        links: list[tuple[np.ndarray, np.ndarray]] = []
+        links: list[tuple[np.ndarray, np.ndarray]] = [(none, none)]
         two = starts[sizes == 2]
         near = two[_differing(fp[two], fp[two + 1]) <= radius]
         if wide:
             near = near[sum(_differing(s[near], s[near + 1]).astype(np.int64) for s in wide) <= SKETCH_DIFFERING]
+        for table in np.unique(t[near]).tolist() if earlier else ():
+            own = t[near] == table
+            near = near[~own | _is_new(fp[near] ^ fp[near + 1], earlier[table])]
         links.append((node[near], node[near + 1]))
         for at, n in zip(starts[sizes > 2], sizes[sizes > 2], strict=True):
             part = [c[at : at + n] for c in (t, key, fp, node, *wide)]
             if n <= dense:
-                _forest(part[2], part[3], radius, links, part[4:])
+                _forest(part[2], part[3], radius, links, part[4:], earlier[int(part[0][0])] if earlier else none)
             else:
                 yield members(*part)
         yield rows(0, np.concatenate([x for x, _ in links]), np.concatenate([y for _, y in links]))
@@ -282,7 +328,7 @@ def _leader_links(members: DataFrame, wide: list[str], radius: int, dense: int)
     def compare(cell: pa.Table) -> pa.Table:
         rows = np.unique(np.stack([cell.column(c).to_numpy() for c in ("fp", "node", *wide)]), axis=1)
         links: list[tuple[np.ndarray, np.ndarray]] = [(np.array([], dtype=np.int64),) * 2]
-        _forest(rows[0], rows[1], radius, links, list(rows[2:]))
+        _forest(rows[0], rows[1], radius, links, list(rows[2:]), np.empty(0, dtype=np.int64))
         return pa.table({"a": np.concatenate([x for x, _ in links]), "b": np.concatenate([y for _, y in links])})
 
     across = cells.groupBy(*bucket, "i", "j").applyInArrow(compare, "a bigint, b bigint")
@@ -300,7 +346,7 @@ def fingerprint_links(fps: DataFrame, radius: int = 4, dense: int = 4096) -> Dat
     """
     if radius % 2:
         raise ValueError("radius must be even")
-    found = _met(fps.where("node is not null").select("node", F.col("fp"), F.explode(_tables(F.col("fp"), radius)).alias("x")), [], radius, dense)
+    found = _met(fps.where("node is not null").select("node", F.col("fp"), F.explode(_tables(F.col("fp"), radius)).alias("x")), [], radius, dense, _earlier(radius))
     members = found.where("kind > 0").select(F.col("a").alias("fp"), F.col("b").alias("node")).distinct()
     return found.where("kind = 0").select("a", "b").unionByName(_midpoint_links(members, radius)).distinct()
 
@@ -310,9 +356,15 @@ def _tables(fp: Column, radius: int, first: int = 0) -> Column:
     return F.array(*[F.struct(F.lit(first + t).cast("bigint").alias("t"), fp.bitwiseAND(F.lit(m)).alias("key"), fp.alias("fp")) for t, m in enumerate(covering_masks(radius) if radius else [-1])])
 
 
-def _met(keyed: DataFrame, wide: list[str], radius: int, dense: int) -> DataFrame:
+def _earlier(radius: int) -> list[np.ndarray]:
+    """For each covering mask, the masks before it."""
+    masks = np.array(covering_masks(radius) if radius else [-1], dtype=np.int64)
+    return [masks[:i] for i in range(len(masks))]
+
+
+def _met(keyed: DataFrame, wide: list[str], radius: int, dense: int, earlier: list[np.ndarray]) -> DataFrame:
     rows = keyed.select("x.t", "x.key", "x.fp", "node", *wide)
-    found = rows.repartition("t", "key").sortWithinPartitions("t", "key").mapInArrow(lambda it: _bucket_links(it, radius, dense), "kind int, a bigint, b bigint")
+    found = rows.repartition("t", "key").sortWithinPartitions("t", "key").mapInArrow(lambda it: _bucket_links(it, radius, dense, earlier), "kind int, a bigint, b bigint")
     return keep(found, "bucket-links")
 
 
@@ -326,13 +378,13 @@ def sketch_links(classes: DataFrame, radius: int = 4, dense: int = 4096) -> Data
     ``dense``, with stars for linked sets.
     """
     fps, wide = ([c for c in classes.columns if c[0] == kind and c[1:].isdigit()] for kind in "fs")
-    tables, first = [], 0
+    tables, earlier = [], []
     for i, fp in enumerate(fps):
         near = radius if i < CLASSES else 0
-        tables.append(_tables(F.col(fp), near, first))
-        first += len(covering_masks(near)) if near else 1
+        tables.append(_tables(F.col(fp), near, len(earlier)))
+        earlier += _earlier(near)
     keyed = classes.select("node", *wide, F.explode(F.filter(F.concat(*tables), lambda x: x["fp"].isNotNull())).alias("x"))
-    found = _met(keyed, wide, radius, dense)
+    found = _met(keyed, wide, radius, dense, earlier)
     links, hot = found.where("kind = 0").select("a", "b"), found.where("kind > 0")
     if hot.isEmpty():
         return links
@@ -347,8 +399,7 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingle_set(x.as_py()) for x in batch.column(1)]
-            # a text without words has zeros in place of a hash, as its sketch
-            whole = np.array([np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), dtype=">i8").astype(np.int64) if s.any() else (0, 0) for s in sets], dtype=np.int64).reshape(-1, 2)
+            whole = np.array([set_hash(s) for s in sets], dtype=np.int64).reshape(-1, 2)
             offsets = np.cumsum([0, *map(len, sets)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.empty(0, dtype=np.int64), *sets])))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(whole[:, 0]), pa.array(whole[:, 1]), lists], names=["node", "h0", "h1", "shingles"])
@@ -508,8 +559,8 @@ def drop_near_duplicates(docs: DataFrame, radius: int = 4) -> DataFrame:
     nodes = own.where("doc_id is not null").groupBy(*key).agg(F.min(F.struct("doc_id", *parts)).alias("x"))
     classes = keep(nodes.select(*key, F.col("x.doc_id").alias("node"), *[f"x.{p}" for p in parts]), "sketch-classes")
     found = keep(components(sketch_links(classes.drop(*key), radius)), "candidates")
-    sets = shingle_sets(docs.join(found.select(F.col("node").alias("doc_id")), "doc_id", "left_semi"))
+    sets = shingle_sets(docs.select("doc_id", "text").join(found.select(F.col("node").alias("doc_id")), "doc_id", "left_semi"))
     candidates = keep(sets.join(classes.select("node", *key, *wide), ["node", *key]).join(found, "node"), "candidate-sets")
     groups = classes.join(components(verified_links(candidates)), "node", "left").select(*key, F.coalesce("component", "node").alias("component_id"))
     gone = own.join(groups, key).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(keep(gone, "near-duplicates").withColumnRenamed("doc_id", "_gone"), F.col("doc_id") == F.col("_gone"), "left_anti")
+    return without(docs, gone, "doc_id", "near-duplicates")

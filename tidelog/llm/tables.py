@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -27,3 +28,9 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def without(df: DataFrame, ids: DataFrame, key: str, name: str) -> DataFrame:
+    """``df`` without the rows whose ``key`` is in ``ids`` (one column, written as table ``name``). Rows with a null key stay; ``df`` may have any columns."""
+    own = f"_tl_{uuid.uuid4().hex}"
+    return df.join(keep(ids.toDF(own), name), F.col(key) == F.col(own), "left_anti")

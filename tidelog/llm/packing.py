@@ -15,10 +15,12 @@ from tidelog.llm.tables import keep
 
 #: Tokens in a sequence, and the id that ends a document.
 CAPACITY, END = 1024, 2
-#: Rounds of multiplicative weights, and the shares of the fractional solution that are rounded down, of which the best is kept.
-ROUNDS, SHARES = 400, (1.0, 0.5, 0.0)
+#: Gap between the fractional solution and its bound at which multiplicative weights stop; most passes and rounds of a pass.
+GAP, PASSES, ROUNDS = 1e-4, 8, 60
+#: How far the price of a length follows what is left of its need within a pass, and its cost from pass to pass; the share of what is left that a round covers.
+LAG, COST, SHARE = 0.3, 0.5, 0.5
 #: Rows of one length that are numbered by one task.
-LANE = 100_000
+LANE = 1_000
 
 
 def tokenizer_path() -> str:
@@ -28,18 +30,19 @@ def tokenizer_path() -> str:
 
 
 class _Encoder:
-    """Ids of a byte-level BPE vocabulary file.
+    """Ids of a byte-level BPE vocabulary file, as the ``tokenizers`` library gives them without special tokens of its own.
 
-    The file of merges is read by the ``tokenizers`` library. Texts go through
-    ``tiktoken``, built from the same vocabulary as ranks, which gives the same ids
-    several times as fast where every merge's rank is its result's id.
+    Texts go through ``tiktoken``, built from the same vocabulary as ranks, which gives
+    the same ids several times as fast where every merge's rank is its result's id.
+    Texts that hold the string of an added token, and all texts where there are no
+    ranks, go through ``tokenizers`` itself.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.plain = Tokenizer.from_file(path)
-        self.plain.encode_special_tokens = True
+        self.added = [t.content for t in self.plain.get_added_tokens_decoder().values()]
         self.fast = None
         ranks = path.removesuffix(".json") + ".tiktoken"
         try:
@@ -53,9 +56,9 @@ class _Encoder:
             pass
 
     def __call__(self, text: str) -> np.ndarray:
-        if self.fast is not None:
-            return np.array(self.fast.encode_ordinary(text), dtype="<u4")
-        return np.array(self.plain.encode(text, add_special_tokens=False).ids, dtype="<u4")
+        if self.fast is None or any(t in text for t in self.added):
+            return np.array(self.plain.encode(text, add_special_tokens=False).ids, dtype="<u4")
+        return np.array(self.fast.encode_ordinary(text), dtype="<u4")
 
 
 def cut(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
@@ -86,52 +89,91 @@ def tokenize(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None,
     return rows.mapInArrow(run, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids array<int>" * ids)
 
 
-def _knapsack(worth: np.ndarray, capacity: int) -> dict[int, int]:
-    """How often each length (index of ``worth``; not 0) is taken for the largest total worth within ``capacity``."""
-    best = np.zeros(capacity + 1)
-    took = np.zeros(capacity + 1, dtype=np.int64)
+def _knapsack(worth: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """Largest total worth of lengths (indices of ``worth``, any number of each) within every capacity, and the length taken last (0: none); of equal ones the longest."""
+    best, took = np.zeros(capacity + 1), np.zeros(capacity + 1, dtype=np.int64)
+    lengths = np.flatnonzero(worth > 0)[::-1]
+    own = worth[lengths]
     for c in range(1, capacity + 1):
-        gains = best[c - 1 :: -1][:c] + worth[1 : c + 1]
-        at = int(np.argmax(gains))
-        if gains[at] > best[c - 1] and worth[at + 1] > 0:
-            best[c], took[c] = gains[at], at + 1
-        else:
-            best[c] = best[c - 1]
-    out: dict[int, int] = {}
-    c = capacity
+        best[c] = best[c - 1]
+        fits = int(np.searchsorted(-lengths, -c))
+        if fits < len(lengths):
+            gains = best[c - lengths[fits:]] + own[fits:]
+            at = int(gains.argmax())
+            if gains[at] > best[c] + 1e-12:
+                best[c], took[c] = gains[at], lengths[fits + at]
+    return best, took
+
+
+def _pattern(length: int, took: np.ndarray, capacity: int) -> dict[int, int]:
+    """``length`` and the knapsack's choice for the rest of the capacity."""
+    out, c = {length: 1}, capacity - length
     while c > 0:
-        if took[c]:
-            out[int(took[c])] = out.get(int(took[c]), 0) + 1
-            c -= int(took[c])
-        else:
-            c -= 1
+        k = int(took[c])
+        if k:
+            out[k] = out.get(k, 0) + 1
+        c -= k or 1
     return out
 
 
-def configurations(counts: np.ndarray, capacity: int, rounds: int = ROUNDS) -> list[tuple[dict[int, int], float]]:
-    """Fractional solution of the configuration program: patterns of lengths, and how many sequences use each.
+def _cover(counts: np.ndarray, weight: np.ndarray, capacity: int) -> tuple[dict[tuple, float], np.ndarray, float]:
+    """One pass over the needs: patterns and how much of each, what is left, and a lower bound of the program.
 
-    The program covers ``counts[l]`` pieces of each length l by the fewest
-    sequences. Multiplicative weights price the lengths; each round a knapsack by
-    dynamic programming finds the pattern of the highest price, and the lengths it
-    covers beyond their need get cheaper.
+    Each round prices the lengths, multiplicatively by their weight and by how far their
+    cover lags behind, fills a knapsack table, and for each length (the longest first)
+    uses the best pattern that holds it, never beyond what is left.
     """
-    there = counts > 0
-    need = np.where(there, counts, 1).astype(float)
-    price = np.where(there, np.arange(len(counts)) / capacity, 0.0)
-    got = np.zeros(len(counts))
+    need, left = np.maximum(counts, 1).astype(float), counts.astype(float)
     used: dict[tuple, float] = {}
-    total = max(1.0, float((counts * np.arange(len(counts))).sum()) / capacity)
-    share = total / rounds
-    for _ in range(rounds):
-        pattern = _knapsack(price, capacity)
-        key = tuple(sorted(pattern.items()))
-        used[key] = used.get(key, 0.0) + share
-        for length, k in pattern.items():
-            got[length] += share * k
-        # the price a token falls with the share of the need that is met
-        price = np.where(there, np.arange(len(counts)) / capacity * np.exp(-2.0 * got / need), 0.0)
-    return [(dict(k), x) for k, x in used.items()]
+    bound = 0.0
+    for _ in range(ROUNDS):
+        open_ = left > 1e-6 * need
+        if not open_.any():
+            break
+        lag = left / need
+        price = np.where(open_, np.arange(capacity + 1) / capacity * weight * np.exp(LAG * (lag - lag[open_].mean())), 0.0)
+        best, took = _knapsack(price, capacity)
+        # no pattern is worth more than the knapsack: prices over its worth are a solution of the dual
+        bound = max(bound, float((counts * price).sum() / best[capacity]))
+        wanted = np.where(left > 1, left * SHARE, left)
+        for length in np.flatnonzero(open_)[::-1].tolist():
+            pattern = _pattern(length, took, capacity)
+            x = min([float(wanted[length]) / pattern[length], *(float(left[k]) / n for k, n in pattern.items())])
+            if x > 0:
+                key = tuple(sorted(pattern.items(), reverse=True))
+                used[key] = used.get(key, 0.0) + x
+                for k, n in pattern.items():
+                    left[k] -= x * n
+        left[left < 1e-9] = 0.0
+    return used, left, bound
+
+
+def configurations(counts: np.ndarray, capacity: int, gap: float = GAP, passes: int = PASSES) -> tuple[dict[tuple, float], float, float]:
+    """Fractional solution of the configuration program: patterns ((length, times), longest first) and how many sequences use each; its value; a lower bound.
+
+    The program covers ``counts[l]`` pieces of each length l by the fewest sequences.
+    From pass to pass the weight of a length grows with what its tokens cost in the
+    last solution, a power of the sequences' tokens over those that are filled. It
+    stops when the best solution is within ``gap`` of the bound by the dual.
+    """
+    tokens, weight = np.arange(capacity + 1), np.ones(capacity + 1)
+    best: tuple[dict[tuple, float], float] | None = None
+    bound = 0.0
+    for _ in range(passes):
+        used, left, low = _cover(counts, weight, capacity)
+        bound, value = max(bound, low), sum(used.values()) + float((left * tokens).sum()) / capacity
+        if best is None or value < best[1]:
+            best = used, value
+        if best[1] <= bound * (1 + gap):
+            break
+        cost = np.zeros(capacity + 1)
+        for pattern, x in used.items():
+            filled = sum(k * n for k, n in pattern)
+            for k, n in pattern:
+                cost[k] += x * n * capacity / filled
+        weight *= np.where(cost > 0, cost / np.maximum(counts - left, 1e-9), 1.0) ** COST
+        weight /= weight.max()
+    return *best, bound
 
 
 def best_fit(left: np.ndarray, capacity: int) -> list[tuple[list[int], int]]:
@@ -157,33 +199,37 @@ def best_fit(left: np.ndarray, capacity: int) -> list[tuple[list[int], int]]:
     return [g for all_ in groups.values() for g in all_]
 
 
-def plan(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS) -> list[tuple[list[int], int]]:
+def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[list[int], int]]:
     """Patterns (lengths, longest first) and their number of sequences, for exactly the pieces of a histogram.
 
-    The fractional solution, or a share of it, is rounded down, as far as pieces
-    last; what is left is packed by best fit. Of several shares the one with the
-    fewest sequences is taken. The histogram has at most ``capacity`` lengths, so
-    neither the work nor the plan grows with the input.
+    The fractional solution of the configuration program is rounded down, then full
+    patterns are rounded up, those of the largest fractions first, as far as pieces
+    last; what the rounding leaves is packed by best fit. The histogram has at most ``capacity`` lengths,
+    so neither the work nor the plan grows with the input.
     """
     counts = np.zeros(capacity + 1, dtype=np.int64)
     for length, n in histogram.items():
         if not 0 < length <= capacity:
             raise ValueError("a piece has 1 to capacity tokens")
         counts[length] = n
-    full = int(counts[capacity])
+    out = [([capacity], int(counts[capacity]))] if counts[capacity] else []
     counts[capacity] = 0
-    solution = sorted(configurations(counts, capacity, rounds), key=lambda p: (-p[1], sorted(p[0].items())))
-    plans = []
-    for share in SHARES:
-        left, out = counts.copy(), [([capacity], full)] if full else []
-        for pattern, x in solution:
-            times = min([int(x * share), *(int(left[length]) // k for length, k in pattern.items())])
-            if times and pattern:
-                out.append((sorted((x for x, k in pattern.items() for _ in range(k)), reverse=True), times))
-                for length, k in pattern.items():
-                    left[length] -= k * times
-        plans.append(out + best_fit(left, capacity))
-    return min(plans, key=lambda p: sum(n for _, n in p))
+    solution, _, _ = configurations(counts, capacity)
+    left, times = counts.copy(), dict.fromkeys(solution, 0)
+
+    def take(pattern: tuple, n: int) -> None:
+        n = min([n, *(int(left[k]) // m for k, m in pattern)])
+        times[pattern] += n
+        for k, m in pattern:
+            left[k] -= m * n
+
+    for pattern, x in sorted(solution.items(), key=lambda p: (-p[1], p[0])):
+        take(pattern, int(x + 1e-9))
+    for pattern, _ in sorted(solution.items(), key=lambda p: (-(p[1] % 1), p[0])):
+        if sum(k * n for k, n in pattern) == capacity:
+            take(pattern, 1)
+    out += [([k for k, n in pattern for _ in range(n)], n) for pattern, n in times.items() if n]
+    return out + best_fit(left, capacity)
 
 
 def _slots(patterns: list[tuple[list[int], int]]) -> list[tuple[int, int, int, int, int, int]]:
@@ -207,17 +253,17 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
     Every piece of a sequence of at most ``capacity`` tokens has its own place; the
     places are gapless from 0. ``pieces`` should be a written table: it is read
-    twice. Only counts by length and lane come to the driver's plan: pieces of one
-    length are dealt over lanes by hash, so the most frequent length is in many
+    three times. Only the histogram of lengths comes to the driver's plan. Pieces of one
+    length are dealt by hash over lanes of about ``LANE`` rows, so a frequent length is in many
     tasks, and numbered within each lane.
     """
     spark = pieces.sparkSession
-    n = pieces.count()
-    lanes = max(1, n // LANE)
-    laned = pieces.withColumn("_lane", F.pmod(F.xxhash64("doc_id", "piece", "start"), F.lit(lanes)))
-    counts = laned.groupBy("length", "_lane").agg(F.count("*").alias("_n"))
-    histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("_n").alias("n")).collect()}
+    histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     slots = _slots(plan(histogram, capacity))
+    # at most capacity lengths, whatever the input
+    lanes = spark.createDataFrame([(length, n // LANE + 1) for length, n in histogram.items()], "length bigint, _lanes bigint")
+    laned = pieces.join(F.broadcast(lanes), "length").withColumn("_lane", F.pmod(F.xxhash64("doc_id", "piece", "start"), F.col("_lanes")))
+    counts = laned.groupBy("length", "_lane").agg(F.count("*").alias("_n"))
     before = counts.selectExpr("length", "_lane", "sum(_n) over (partition by length order by _lane rows between unbounded preceding and current row) - _n as _before")
     ranked = laned.selectExpr("*", "row_number() over (partition by length, _lane order by doc_id, piece, start) - 1 as _at")
     ranked = ranked.join(before, ["length", "_lane"]).withColumn("_rank", F.col("_at") + F.col("_before"))

@@ -265,6 +265,33 @@ def test_packing(docs, empty):
     assert packing.pack_documents(empty).count() == 0
 
 
+def test_strings_of_added_tokens_have_their_ids(spark):
+    from tokenizers import Tokenizer
+
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "a <|endoftext| > b", "x" * 3000 + " <|endoftext|>"]
+    plain = Tokenizer.from_file(packing.tokenizer_path())
+    rows = packing.tokenize(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), ids=True).orderBy("doc_id", "piece").collect()
+    for i, t in enumerate(texts):
+        assert [x for r in rows if r.doc_id == i for x in r.ids] == plain.encode(t, add_special_tokens=False).ids + [2]
+
+
+@pytest.mark.parametrize("lengths", [range(1, 1024), range(513, 1024), range(331, 430), [700, 600, 350, 340, 200], [1]])
+def test_configurations_are_near_their_bound(lengths):
+    counts = np.zeros(1025, dtype=np.int64)
+    for x in lengths:
+        counts[x] = RNG.randrange(1, 500)
+    solution, value, bound = packing.configurations(counts, 1024)
+    got = np.zeros(1025)
+    for pattern, x in solution.items():
+        assert sum(k * n for k, n in pattern) <= 1024 and x > 0
+        for k, n in pattern:
+            got[k] += x * n
+    assert (got <= counts + 1e-6).all() and (counts * np.arange(1025)).sum() / 1024 <= value + 1e-6
+    assert (counts * np.arange(1025)).sum() / 1024 <= bound + 1e-6 and bound <= value + 1e-6
+    planned = sum(n for _, n in packing.plan({int(x): int(counts[x]) for x in np.flatnonzero(counts)}))
+    assert bound <= planned <= 1.07 * bound + 1 and planned <= sum(n for _, n in packing.best_fit(counts.copy(), 1024)) * 1.01 + 1
+
+
 def test_plan_uses_all_pieces():
     histogram = {int(x): RNG.randrange(1, 400) for x in range(1, 1025, 3)}
     used = collections.Counter()
@@ -347,12 +374,12 @@ def test_substrings(docs, empty):
 
 def test_decontamination(spark, empty):
     item = "A train leaves Berlin with 120 passengers and after 45 minutes it has covered 80 km before it stops in Leipzig again"
-    benchmark = spark.createDataFrame([(1, item), (2, None), (3, "too short")], "item_id bigint, text string")
+    benchmark = spark.createDataFrame([(1, item), (2, None), (3, "too short"), (4, "Name the largest moon there!")], "item_id bigint, text string")
     other = item.replace("Berlin", "Madrid").replace("120", "95").replace("45", "30").replace("Leipzig", "Toledo")
-    docs = spark.createDataFrame([(1, prose(40) + " " + item + " " + prose(10)), (2, prose(20) + ". " + other), (3, prose(80)), (4, None), (5, item.upper())], "doc_id bigint, text string")
+    docs = spark.createDataFrame([(1, prose(40) + " " + item + " " + prose(10)), (2, prose(20) + ". " + other), (3, prose(80)), (4, None), (5, item.upper()), (6, prose(9) + " too short " + prose(9)), (7, prose(9) + " name: the largest moon there " + prose(9))], "doc_id bigint, text string")
     found = {r.doc_id: r.kind for r in decontaminate.contaminated(docs, benchmark).collect()}
-    assert found == {1: "verbatim", 2: "template", 5: "verbatim"}
-    assert {r.doc_id for r in decontaminate.remove_contaminated(docs, benchmark).collect()} == {3, 4}
+    assert found == {1: "verbatim", 2: "template", 5: "verbatim", 7: "verbatim"}
+    assert {r.doc_id for r in decontaminate.remove_contaminated(docs, benchmark).collect()} == {3, 4, 6}
     assert decontaminate.contaminated(empty, benchmark).count() == 0
 
 

@@ -111,29 +111,43 @@ def _windows(text: str | None, chunks: _Chunks, width: int) -> tuple[np.ndarray,
     return np.concatenate(hashes), at, np.repeat([0, 1, 2], [len(plain), len(some), len(more)]), codes, slot, wide
 
 
-_SCHEMA = "hash bigint, id bigint, at bigint, variant int, slots array<bigint>, n_windows bigint"
+_SCHEMA = "hash bigint, id bigint, at bigint, variant int, slots array<bigint>, n_windows bigint, width int"
 
 
-def _emit(width: int, filter_: np.ndarray | None):
+def _cut(text: str | None, chunks: _Chunks, width: int, short: list[int] | None) -> Iterator[tuple]:
+    """Windows of ``width`` tokens and of the widths in ``short``, there without placeholders; ``short`` None: a text of fewer tokens is one window, if it has ``LITERAL``."""
+    found = _windows(text, chunks, width)
+    yield width, *found
+    codes, n = found[3], len(found[3])
+    if short is None:
+        short = [n] if LITERAL <= n < width else []
+    for w in short:
+        hashes = _rolling(codes, w) ^ _U(w)
+        yield w, hashes, np.arange(len(hashes)), np.zeros(len(hashes), dtype=np.int64), codes, found[4], found[5]
+
+
+def _emit(width: int, filter_: np.ndarray | None, short: list[int] | None = None):
+    """Windows of texts; with a filter those that pass it, and those of the widths in ``short`` too."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunks = _Chunks()
         for batch in batches:
-            columns: list[list] = [[], [], [], [], [], []]
+            columns: list[list] = [[], [], [], [], [], [], []]
             for id_, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                hashes, at, variant, codes, slot, wide = _windows(text.as_py(), chunks, width)
-                n = max(0, len(codes) - width + 1)
-                if filter_ is not None:
-                    bit = (hashes % _U(FILTER_BITS)).astype(np.int64)
-                    passed = np.flatnonzero(filter_[bit >> 3] >> (bit & 7).astype(np.uint8) & 1)
-                    hashes, at, variant = hashes[passed], at[passed], variant[passed]
-                if not len(hashes):
-                    continue
-                signed = codes.view(np.int64)
-                slots = [signed[a : a + width][(slot, wide)[v - 1][a : a + width]].tolist() if v else None for a, v in zip(at.tolist(), variant.tolist(), strict=True)]
-                for column, x in zip(columns, (hashes.view(np.int64).tolist(), [id_] * len(at), at.tolist(), variant.tolist(), slots, [n] * len(at)), strict=True):
-                    column += x
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["hash", "id", "at", "variant", "slots", "n_windows"])
+                for w, hashes, at, variant, codes, slot, wide in _cut(text.as_py(), chunks, width, short):
+                    n = max(0, len(codes) - w + 1)
+                    if filter_ is not None:
+                        bit = (hashes % _U(FILTER_BITS)).astype(np.int64)
+                        passed = np.flatnonzero(filter_[bit >> 3] >> (bit & 7).astype(np.uint8) & 1)
+                        hashes, at, variant = hashes[passed], at[passed], variant[passed]
+                    if not len(hashes):
+                        continue
+                    signed = codes.view(np.int64)
+                    slots = [signed[a : a + w][(slot, wide)[v - 1][a : a + w]].tolist() if v else None for a, v in zip(at.tolist(), variant.tolist(), strict=True)]
+                    for column, x in zip(columns, (hashes.view(np.int64).tolist(), [id_] * len(at), at.tolist(), variant.tolist(), slots, [n] * len(at), [w] * len(at)), strict=True):
+                        column += x
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.int64(), pa.int32()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["hash", "id", "at", "variant", "slots", "n_windows", "width"])
 
     return run
 
@@ -153,8 +167,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, run
     words that begin a sentence are read both ways, as they are and as names; the second way falls
     by itself if its slots are inconsistent.
 
-    Items of fewer than ``width`` tokens, null texts and rows with a null id match
-    nothing; repeated rows of an id count as one document or item, an empty table
+    Items of fewer than ``width`` tokens match where they stand whole, verbatim; those
+    of fewer than ``LITERAL`` are in any text, so like null texts and rows with a null id
+    they match nothing. Repeated rows of an id count as one document or item, an empty table
     gives an empty result. What is broadcast is a filter of ``FILTER_BITS`` bits,
     whatever the benchmark's size; windows that pass it by chance end in the join.
     """
@@ -165,10 +180,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, run
     for r in bits.groupBy("byte").agg(F.bit_or("b").alias("b")).collect():
         filter_[r["byte"]] = r["b"]
     shared = docs.sparkSession.sparkContext.broadcast(filter_)
-    found = select(docs, "doc_id").mapInArrow(lambda it: _emit(width, shared.value)(it), _SCHEMA)
+    short = sorted(r["width"] for r in items.where(F.col("width") < width).select("width").distinct().collect())
+    found = select(docs, "doc_id").mapInArrow(lambda it: _emit(width, shared.value, short)(it), _SCHEMA)
     template = (F.col("variant") > 0).alias("template")
-    own = items.select("hash", F.col("id").alias("item_id"), F.col("at").alias("item_at"), F.col("slots").alias("item_slots"), F.col("variant").alias("item_variant"), template, F.col("n_windows").alias("of")).distinct()
-    met = found.select("hash", F.col("id").alias("doc_id"), "at", "slots", "variant", template).distinct().join(own, ["hash", "template"])
+    own = items.select("hash", "width", F.col("id").alias("item_id"), F.col("at").alias("item_at"), F.col("slots").alias("item_slots"), F.col("variant").alias("item_variant"), template, F.col("n_windows").alias("of")).distinct()
+    met = found.select("hash", "width", F.col("id").alias("doc_id"), "at", "slots", "variant", template).distinct().join(own, ["hash", "width", "template"])
     # a name can begin a sentence on one side only: equal windows meet whatever their variants
     met = keep(met.withColumn("variant", F.greatest("variant", "item_variant")).withColumn("shift", F.col("at") - F.col("item_at")), "matches")
     pair = ["doc_id", "item_id", "shift"]

@@ -289,7 +289,7 @@ def test_configurations_are_near_their_bound(lengths):
     assert (got <= counts + 1e-6).all() and (counts * np.arange(1025)).sum() / 1024 <= value + 1e-6
     assert (counts * np.arange(1025)).sum() / 1024 <= bound + 1e-6 and bound <= value + 1e-6
     planned = sum(n for _, n in packing.plan({int(x): int(counts[x]) for x in np.flatnonzero(counts)}))
-    assert bound <= planned <= 1.07 * bound + 1 and planned <= sum(n for _, n in packing.best_fit(counts.copy(), 1024)) * 1.01 + 1
+    assert bound <= planned <= 1.1 * bound + 1 and planned <= sum(n for _, n in packing.best_fit(counts.copy(), 1024)) * 1.01 + 1
 
 
 def test_plan_uses_all_pieces():

@@ -56,6 +56,8 @@ def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
 
 #: Candidates for verified links: fingerprints of classes into which words fall by hash, and of the sides of anchor shingles.
 CLASSES, CLASS_LEAST, ANCHORS = 3, 4, 6
+#: Words in the side of an anchor, at least: fewer are often equal by chance.
+SIDE_LEAST = 8
 FAMILIES = CLASSES + 2 * ANCHORS
 #: Bits of the sketch of five-word shingles, and differing ones up to which two texts are candidates; at a similarity of 0.8, 39 are expected, 6 the deviation.
 SKETCH_WORDS, SKETCH_BITS, SKETCH_DIFFERING = 5, 256, 60
@@ -124,7 +126,7 @@ def sketch(text: str | None) -> list[int | None]:
     words of a language do not make long texts alike. A block that is added or cut
     changes all classes, but one side of an anchor (a shingle that is the least by one
     of its hashes) stays the same: the words before, or from the anchor on. A side of
-    less than a third of the words has no fingerprint. These find candidates, of which
+    less than a third of the words, or under ``SIDE_LEAST``, has no fingerprint. These find candidates, of which
     the sketch leaves those whose shingles may be alike. For a similarity (Jaccard) of
     0.8, the chance that one of its bits differs is 0.15.
     """
@@ -146,8 +148,8 @@ def sketch(text: str | None) -> list[int | None]:
     counts = np.array([_counts(_bytes(codes[a:b])) for a, b in zip(edges, edges[1:], strict=False)])
     for p in anchors:
         before = counts[: edges.index(p)].sum(axis=0)
-        out += _majority(before, p) if p * 3 >= n else [None]
-        out += _majority(counts.sum(axis=0) - before, n - p) if (n - p) * 3 >= n else [None]
+        out += _majority(before, p) if p >= max(n / 3, SIDE_LEAST) else [None]
+        out += _majority(counts.sum(axis=0) - before, n - p) if n - p >= max(n / 3, SIDE_LEAST) else [None]
     for w in mixes[: SKETCH_BITS // 64]:
         out += _majority(_counts(_bytes(w)), len(w))
     return out + whole_set
@@ -214,7 +216,7 @@ def _is_new(apart: np.ndarray, earlier: np.ndarray) -> np.ndarray:
 
 
 def _bucket_links(batches: Iterator[pa.RecordBatch], radius: int, dense: int, earlier: list[np.ndarray] | None = None) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by table and key. Yields links (kind 0) and the members of dense buckets (kind 1 + table: fp, or key if there are sketches, and node).
+    """Rows come sorted by table and key. Yields links (kind 0) and the members of dense buckets (kind 1 + table: fp and node, or if there are sketches key, node, fp and sketch).
 
     ``earlier`` has the masks of the tables before each table, of the same fingerprints. A dense
     bucket leaves all its pairs to the caller, and so do the others those that agree in it.
@@ -223,11 +225,12 @@ def _bucket_links(batches: Iterator[pa.RecordBatch], radius: int, dense: int, ea
     overflow = False  # the bucket that is held is dense, and its first members are out
     none = np.empty(0, dtype=np.int64)
 
-    def rows(kind: int, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, dtype=np.int32)), pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["kind", "a", "b"])
+    def rows(kind: int, a: np.ndarray, b: np.ndarray, more: list[np.ndarray], n_more: int) -> pa.RecordBatch:
+        own = [pa.array(x, pa.int64()) for x in (a, b, *more)] + [pa.nulls(len(a), pa.int64())] * (n_more - len(more))
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, dtype=np.int32)), *own], names=["kind", "a", "b", *["fp", *[f"s{i}" for i in range(n_more - 1)]][:n_more]])
 
     def members(t: np.ndarray, key: np.ndarray, fp: np.ndarray, node: np.ndarray, *wide: np.ndarray) -> pa.RecordBatch:
-        return rows(1 + int(t[0]), key if wide else fp, node)
+        return rows(1 + int(t[0]), key, node, [fp, *wide], 1 + len(wide)) if wide else rows(1 + int(t[0]), fp, node, [], 0)
 
     def closed(t: np.ndarray, key: np.ndarray, fp: np.ndarray, node: np.ndarray, *wide: np.ndarray) -> Iterator[pa.RecordBatch]:
         if not len(t):
@@ -249,7 +252,7 @@ def _bucket_links(batches: Iterator[pa.RecordBatch], radius: int, dense: int, ea
                 _forest(part[2], part[3], radius, links, part[4:], earlier[int(part[0][0])] if earlier else none)
             else:
                 yield members(*part)
-        yield rows(0, np.concatenate([x for x, _ in links]), np.concatenate([y for _, y in links]))
+        yield rows(0, np.concatenate([x for x, _ in links]), np.concatenate([y for _, y in links]), [], 1 + len(wide) if wide else 0)
 
     for batch in batches:
         cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
@@ -364,7 +367,8 @@ def _earlier(radius: int) -> list[np.ndarray]:
 
 def _met(keyed: DataFrame, wide: list[str], radius: int, dense: int, earlier: list[np.ndarray]) -> DataFrame:
     rows = keyed.select("x.t", "x.key", "x.fp", "node", *wide)
-    found = rows.repartition("t", "key").sortWithinPartitions("t", "key").mapInArrow(lambda it: _bucket_links(it, radius, dense, earlier), "kind int, a bigint, b bigint")
+    schema = "kind int, a bigint, b bigint" + "".join(f", {c} bigint" for c in (["fp", *wide] if wide else []))
+    found = rows.repartition("t", "key").sortWithinPartitions("t", "key").mapInArrow(lambda it: _bucket_links(it, radius, dense, earlier), schema)
     return keep(found, "bucket-links")
 
 
@@ -388,8 +392,7 @@ def sketch_links(classes: DataFrame, radius: int = 4, dense: int = 4096) -> Data
     links, hot = found.where("kind = 0").select("a", "b"), found.where("kind > 0")
     if hot.isEmpty():
         return links
-    hot = hot.select((F.col("kind") - 1).cast("bigint").alias("t"), F.col("a").alias("key"), F.col("b").alias("node")).distinct()
-    members = hot.join(keyed.select("node", "x.t", "x.key", "x.fp", *wide), ["t", "key", "node"])
+    members = hot.select((F.col("kind") - 1).cast("bigint").alias("t"), F.col("a").alias("key"), F.col("b").alias("node"), "fp", *wide).distinct()
     return links.unionByName(_leader_links(keep(members, "dense-buckets"), wide, radius, dense)).distinct()
 
 

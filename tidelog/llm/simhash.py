@@ -125,8 +125,9 @@ def sketch(text: str | None) -> list[int | None]:
     scattered edits leave some almost as it was. A word counts once, so the frequent
     words of a language do not make long texts alike. A block that is added or cut
     changes all classes, but one side of an anchor (a shingle that is the least by one
-    of its hashes) stays the same: the words before, or from the anchor on. A side of
-    less than a third of the words, or under ``SIDE_LEAST``, has no fingerprint. These find candidates, of which
+    of its hashes) stays the same: the words before, or from the anchor on, whose
+    distinct ones are hashed. A side of less than a third of the words, or under
+    ``SIDE_LEAST``, has no fingerprint. These find candidates, of which
     the sketch leaves those whose shingles may be alike. For a similarity (Jaccard) of
     0.8, the chance that one of its bits differs is 0.15.
     """
@@ -144,12 +145,9 @@ def sketch(text: str | None) -> list[int | None]:
         own = words[kind == c] if (kind == c).sum() >= CLASS_LEAST else words
         out += _majority(_counts(_bytes(own)), len(own))
     anchors = [int(at[w.argmin()]) for w in mixes[:ANCHORS]]
-    edges = [0, *sorted(set(anchors) - {0}), n]
-    counts = np.array([_counts(_bytes(codes[a:b])) for a, b in zip(edges, edges[1:], strict=False)])
     for p in anchors:
-        before = counts[: edges.index(p)].sum(axis=0)
-        out += _majority(before, p) if p >= max(n / 3, SIDE_LEAST) else [None]
-        out += _majority(counts.sum(axis=0) - before, n - p) if n - p >= max(n / 3, SIDE_LEAST) else [None]
+        for side in (codes[:p], codes[p:]):
+            out += set_hash(np.unique(side))[:1] if len(side) >= max(n / 3, SIDE_LEAST) else [None]
     for w in mixes[: SKETCH_BITS // 64]:
         out += _majority(_counts(_bytes(w)), len(w))
     return out + whole_set

@@ -25,6 +25,12 @@ def test_parsing(spark):
     assert [r.parse_error for r in rows] == [None, None, "no type", "modifier after description", "no type"]
 
 
+def test_brackets_that_are_no_modifiers(spark):
+    rows = entries(spark, "work [123] foo", "work [a b] [x", "work [a b[c] x", "work [] x", "work [a\u00a0b] x", "t x [9 a] [_b]").orderBy("seq").collect()
+    assert [(r.description, r.parse_error) for r in rows] == [("[123] foo", None), ("[x", None), (None, "bad modifier"), ("[] x", None), ("x", None), ("x [9 a] [_b]", None)]
+    assert rows[1].modifiers == {"a": "b"} and rows[4].modifiers == {"a": "b"}
+
+
 def test_order_and_pages(spark):
     own = entries(spark, *[f"text n{i}" for i in range(25)])
     assert [r.seq for r in log.first_entries(own, 3, "desc").collect()] == [0, 1, 2]
@@ -33,6 +39,7 @@ def test_order_and_pages(spark):
     assert log.search(own, "N1.").count() == 10
     with pytest.raises(log.InvalidSearch):
         log.search(own, "(")
+    assert log.page_arguments({"order": "dateAscending"})["order"] == "asc" and log.page_arguments({"order": ["asc"]})["order"] == "desc"
     assert log.page_arguments({"page": ["3", "4"], "limit": "900", "order": "up"}) == {"page": 3, "limit": 100, "order": "desc", "pattern": None}
 
 
@@ -76,7 +83,7 @@ def naive_previous(cron, at):
 
 def test_cron(spark):
     rng = random.Random(3)
-    texts = ["0 * * * *", "5,35 9-17 * * 1-5", "0 2 1 * *", "30 4 13 * 5", "* * * * *", "59 23 28-31 * *"]
+    texts = ["0 * * * *", "5,35 9-17 * * 1-5", "0 2 1 * *", "30 4 13 * 5", "* * * * *", "59 23 28-31 * *", "0 0 1-31 * 1", "0 0 15 * 0-6", "0 5 29 2 *"]
     rows = [(t, dt.datetime(2024, 2, 29, 23, 59, 59) + dt.timedelta(minutes=rng.randrange(50_000))) for t in texts for _ in range(2)]
     df = spark.createDataFrame(rows, "cron string, at timestamp").withColumns(tm.cron_columns(F.col("cron")))
     for r in df.select("cron", "at", tm.cron_previous(F.col("at")).alias("p"), tm.cron_next(F.col("at")).alias("n")).collect():
@@ -125,3 +132,25 @@ def test_gaps(spark):
     progress, gaps = intervals.scan_gaps(parts, sessions, known)
     assert tuple(progress.first()) == (1, 200, False, True)
     assert {(r.start_ms, r.status) for r in gaps.collect()} == {(120, "abandoned"), (200, "waiting")}
+
+
+def test_day_fields_are_restricted_unless_a_star(spark):
+    assert not tm.equivalent(tm.parse_cron("0 0 1-31 * 1"), tm.parse_cron("0 0 * * 1"))
+    assert tm.equivalent(tm.parse_cron("0 0 * * 0-6"), tm.parse_cron("0 0 1-31 * *"))
+
+
+def test_running_tasks_count_for_the_next_due_time(spark):
+    tasks = spark.createDataFrame([("a", "0 12 * * *", None, True), ("b", "0 18 * * *", None, False)], "name string, cron string, pending_retry_until timestamp, running boolean")
+    r = tm.next_due(tasks, F.lit("2024-03-01 11:00:00").cast("timestamp")).first()
+    assert (r.due, r.sleep_ms) == (dt.datetime(2024, 3, 1, 12), 3_600_000)
+
+
+def test_segments_and_tails(spark):
+    parts = ["", ".", "..", "a/b", "!%", "%00", "%2E", "a\x00b", "...", "%2F"]
+    df = spark.createDataFrame([(p,) for p in parts], "p string").select("p", tx.encode_segment(F.col("p")).alias("e"))
+    rows = df.select("p", "e", tx.decode_segment(F.col("e")).alias("d")).collect()
+    assert [r.e for r in rows] == ["%00", "%2E", "%2E%2E", "a%2Fb", "%21%25", "%2500", "%252E", "a\x00b", "...", "%252F"] and all(r.p == r.d for r in rows)
+    held = [tuple(one(spark, tx.hold_back_tail(F.lit(t)))) for t in ("hello", "a b c", "we went home", " ")]
+    assert held == [("hello", ""), ("a b c", ""), ("we went", "home"), (" ", "")]
+    keys = next(tx.question_key(iter([__import__("pandas").Series(["Caf\u00e9?", "cafe!", "CAFE\u0301"])])))
+    assert keys[0] == keys[2] != keys[1]

@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 SPACE = r"[\s\u000B   -     　﻿]"
 _WS = SPACE.replace(r"\s", r" \t\n\r\f")
 _MODIFIER = r"\[([A-Za-z][A-Za-z0-9_]*)(?:" + _WS + r"+([^\[\]]*))?\]"
-_HEAD = r"(?s)\A" + _WS + r"*([A-Za-z][A-Za-z0-9_]*)((?:" + _WS + "*" + _MODIFIER + ")*)(.*)"
+_HEAD = r"\A" + _WS + r"*[A-Za-z][A-Za-z0-9_]*(?:" + _WS + "*" + _MODIFIER + ")*"
+#: What looks like a modifier; none may be in a description. A bracket before a digit is plain text.
+_LIKE = r"\[[A-Za-z][A-Za-z0-9_]*(?:" + _WS + r"+[^\]]*)?\]"
 
 
 def trim_space(text: Column) -> Column:
@@ -34,32 +36,40 @@ def entry_type(text: Column) -> Column:
     return F.nullif(F.regexp_extract(text, r"\A" + _WS + r"*([A-Za-z][A-Za-z0-9_]*)", 1), F.lit(""))
 
 
-def _run(text: Column) -> Column:
-    return F.regexp_extract(text, _HEAD, 2)
+def _head(text: Column) -> Column:
+    """Type and modifiers, empty if there is no type."""
+    return F.regexp_extract(text, _HEAD, 0)
 
 
-def modifiers(text: Column) -> Column:
-    """``[name value]`` groups after the type as a map; of repeated names the last holds; a bare ``[name]`` has an empty value."""
-    run = _run(text)
-    names = F.regexp_extract_all(run, F.lit(_MODIFIER), F.lit(1))
-    values = F.transform(F.regexp_extract_all(run, F.lit(_MODIFIER), F.lit(2)), lambda v: trim_space(F.coalesce(v, F.lit(""))))
+def _modifiers(head: Column) -> Column:
+    names = F.regexp_extract_all(head, F.lit(_MODIFIER), F.lit(1))
+    values = F.transform(F.regexp_extract_all(head, F.lit(_MODIFIER), F.lit(2)), lambda v: trim_space(F.coalesce(v, F.lit(""))))
     pairs = F.arrays_zip(names.alias("k"), values.alias("v"))
     lasting = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["k"] == p["k"]))
     return F.map_from_entries(lasting)
 
 
+def modifiers(text: Column) -> Column:
+    """``[name value]`` groups after the type as a map; of repeated names the last holds; a bare ``[name]`` has an empty value."""
+    return _modifiers(_head(text))
+
+
+def _description(text: Column, head: Column) -> Column:
+    return F.when(head == "", "").otherwise(trim_space(F.substring(text, F.length(head) + 1, F.length(text))))
+
+
 def description(text: Column) -> Column:
     """What follows type and modifiers, trimmed."""
-    return trim_space(F.regexp_extract(text, _HEAD, 5))
+    return _description(text, _head(text))
+
+
+def _error(head: Column, rest: Column) -> Column:
+    return F.when(head.isNull() | (head == ""), "no type").when(rest.rlike(r"\A" + _LIKE), "bad modifier").when(rest.rlike(_LIKE), "modifier after description")
 
 
 def parse_error(text: Column) -> Column:
     """Why an entry is not well formed, else null."""
-    return (
-        F.when(text.isNull() | entry_type(text).isNull(), "no type")
-        .when(description(text).rlike(r"\A\["), "bad modifier")
-        .when(description(text).rlike(_MODIFIER), "modifier after description")
-    )
+    return _error(_head(text), description(text))
 
 
 def parsed(log: DataFrame, column: str = "input", mode: str = "PERMISSIVE") -> DataFrame:
@@ -68,15 +78,18 @@ def parsed(log: DataFrame, column: str = "input", mode: str = "PERMISSIVE") -> D
     In the default mode a malformed entry has an error and null parts; ``FAILFAST``
     raises on it when it is met.
     """
-    text = F.col(column)
-    error = parse_error(text)
+    if mode not in ("PERMISSIVE", "FAILFAST"):
+        raise ValueError(f"unknown mode: {mode}")
+    # the nested pattern is matched once a row; what it found is used several times
+    text, head, rest, good = F.col(column), F.col("_tl_head"), F.col("_tl_rest"), F.col("parse_error").isNull()
+    rows = log.withColumn("_tl_head", _head(text)).withColumn("_tl_rest", _description(text, head))
+    error = _error(head, rest)
     if mode == "FAILFAST":
         error = F.when(error.isNotNull(), F.raise_error(F.concat(F.lit("malformed entry: "), error))).cast("string")
-    elif mode != "PERMISSIVE":
-        raise ValueError(f"unknown mode: {mode}")
-    good = F.col("parse_error").isNull()
-    return log.withColumn("parse_error", error).withColumns(
-        {"type": F.when(good, entry_type(text)), "description": F.when(good, description(text)), "modifiers": F.when(good, modifiers(text)), "hashtags": hashtags(text)}
+    return (
+        rows.withColumn("parse_error", error)
+        .withColumns({"type": F.when(good, entry_type(head)), "description": F.when(good, rest), "modifiers": F.when(good, _modifiers(head)), "hashtags": hashtags(text)})
+        .drop("_tl_head", "_tl_rest")
     )
 
 
@@ -104,22 +117,37 @@ def word_subset(a: Column, b: Column) -> Column:
     return F.size(F.array_except(kept(a), kept(b))) == 0
 
 
+def overlap(a: Column, b: Column, marker: str = "[10-second overlap]") -> Column:
+    """Struct of ``length`` (words in the longest run that ends text ``a`` and starts text ``b``, up to case and punctuation; 0 without one) and ``merged`` (see ``merge_overlap``).
+
+    Both texts are split and folded once. Only beginnings of ``b`` that end in the last word of ``a`` are compared.
+    """
+    folded = lambda ws: F.transform(ws, comparison_word)
+    both = F.transform(F.array(F.struct(words(a).alias("aw"), words(b).alias("bw"))), lambda s: F.struct(s["aw"].alias("aw"), s["bw"].alias("bw"), folded(s["aw"]).alias("x"), folded(s["bw"]).alias("y")))
+
+    def longest(s: Column) -> Column:
+        x, y, n = s["x"], s["y"], F.size(s["x"])
+        same = F.filter(F.transform(y, lambda w, i: F.when((i < n) & (w != "") & (w == F.element_at(x, -1)), i + 1)), lambda k: k.isNotNull())
+        fits = F.filter(same, lambda k: (F.slice(x, -k, k) == F.slice(y, 1, k)) & ~F.array_contains(F.slice(y, 1, k), ""))
+        return F.when((n > 0) & (F.size(y) > 0), F.coalesce(F.array_max(fits), F.lit(0))).otherwise(0)
+
+    def joined(s: Column, k: Column) -> Column:
+        tail = F.slice(s["bw"], k + 1, F.greatest(F.size(s["bw"]), F.lit(1)))
+        whole = F.when(k > 0, F.array_join(F.concat(s["aw"], tail), " ")).otherwise(F.concat(a, F.lit(f" {marker} "), b))
+        return F.when(F.coalesce(F.size(s["aw"]), F.lit(0)) == 0, b).when(F.coalesce(F.size(s["bw"]), F.lit(0)) == 0, a).otherwise(whole)
+
+    measured = F.transform(both, lambda s: F.struct(s.alias("s"), longest(s).alias("k")))
+    return F.transform(measured, lambda m: F.struct(m["k"].alias("length"), joined(m["s"], m["k"]).alias("merged")))[0]
+
+
 def overlap_length(a: Column, b: Column) -> Column:
     """Words in the longest run that ends text ``a`` and starts text ``b``, up to case and punctuation; 0 without one."""
-    x, y = F.transform(words(a), comparison_word), F.transform(words(b), comparison_word)
-    longest = F.least(F.size(x), F.size(y))
-    lengths = F.when(longest > 0, F.sequence(F.lit(1), longest)).otherwise(F.array().cast("array<int>"))
-    fits = F.filter(lengths, lambda k: (F.slice(x, -k, k) == F.slice(y, 1, k)) & F.forall(F.slice(y, 1, k), lambda w: w != ""))
-    return F.coalesce(F.array_max(fits), F.lit(0))
+    return overlap(a, b)["length"]
 
 
 def merge_overlap(a: Column, b: Column, marker: str = "[10-second overlap]") -> Column:
     """Join two transcripts at their overlap; without one, with a marker between. A blank side gives the other."""
-    k = overlap_length(a, b)
-    tail = F.slice(words(b), k + 1, F.greatest(F.size(words(b)), F.lit(1)))
-    joined = F.when(k > 0, F.array_join(F.concat(words(a), tail), " ")).otherwise(F.concat(a, F.lit(f" {marker} "), b))
-    blank_a, blank_b = word_count(a) == 0, word_count(b) == 0
-    return F.when(blank_a, b).when(blank_b, a).otherwise(joined)
+    return overlap(a, b, marker)["merged"]
 
 
 def combination_valid(result: Column, a: Column, b: Column) -> Column:
@@ -131,11 +159,15 @@ def combination_valid(result: Column, a: Column, b: Column) -> Column:
     return F.exists(F.sequence(F.lit(0), n), cut)
 
 
-def hold_back_tail(text: Column, keep: int = 1) -> Column:
-    """A transcript without its last words, which may be cut off, as a struct of ``head`` and ``tail``."""
+def hold_back_tail(text: Column) -> Column:
+    """A transcript without its last word, which may be cut off, as a struct of ``head`` and ``tail``.
+
+    With fewer than two words, or under four characters before the last, nothing is held back.
+    """
     w = words(text)
-    n = F.greatest(F.size(w) - keep, F.lit(0))
-    return F.struct(F.array_join(F.slice(w, 1, n), " ").alias("head"), F.array_join(F.slice(w, n + 1, keep), " ").alias("tail"))
+    initial = F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0)))
+    few = (F.size(w) < 2) | (F.length(F.array_join(initial, "")) < 4)
+    return F.struct(F.when(few, text).otherwise(F.array_join(initial, " ")).alias("head"), F.when(few, "").otherwise(F.element_at(w, -1)).alias("tail"))
 
 
 def reappend_tail(head: Column, tail: Column) -> Column:
@@ -157,23 +189,22 @@ def valid_fingerprint(fingerprint: Column) -> Column:
 
 
 def encode_segment(segment: Column) -> Column:
-    """Path segment of a key part: percent, slash, exclamation mark, NUL and leading dots are escaped."""
+    """Path segment of a key part: percent, slash and exclamation mark are escaped; the empty segment and those of one or two dots have codes of their own."""
     out = F.replace(F.replace(F.replace(segment, F.lit("%"), F.lit("%25")), F.lit("/"), F.lit("%2F")), F.lit("!"), F.lit("%21"))
-    out = F.replace(out, F.lit("\x00"), F.lit("%00"))
-    return F.when(out.isin(".", ".."), F.replace(out, F.lit("."), F.lit("%2E"))).otherwise(out)
+    return F.when(segment == "", "%00").when(segment == ".", "%2E").when(segment == "..", "%2E%2E").otherwise(out)
 
 
 def decode_segment(segment: Column) -> Column:
-    out = segment
-    for code, char in (("%00", "\x00"), ("%2E", "."), ("%21", "!"), ("%2F", "/"), ("%25", "%")):
-        out = F.replace(out, F.lit(code), F.lit(char))
-    return out
+    """The key part of a path segment; codes may be in either case."""
+    code = F.upper(segment)
+    out = F.replace(F.replace(F.regexp_replace(segment, "(?i)%2f", "/"), F.lit("%21"), F.lit("!")), F.lit("%25"), F.lit("%"))
+    return F.when(code == "%00", "").when(code == "%2E", ".").when(code == "%2E%2E", "..").otherwise(out)
 
 
 def question_key(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """NFKD, lower case, without marks, punctuation and symbols, white space collapsed."""
+    """NFKD, lower case, without punctuation and symbols, white space collapsed; marks stay."""
     for s in texts:
-        yield s.map(lambda t: None if t is None else " ".join("".join(c for c in unicodedata.normalize("NFKD", t).lower() if unicodedata.category(c)[0] not in "MPS").split()))
+        yield s.map(lambda t: None if t is None else " ".join("".join(c for c in unicodedata.normalize("NFKD", t).lower() if unicodedata.category(c)[0] not in "PS").split()))
 
 
 def fold_question(text: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -90,8 +90,10 @@ class Cron:
     days: tuple[int, ...]
     months: tuple[int, ...]
     weekdays: tuple[int, ...]
-    any_day: bool
-    any_weekday: bool
+    #: Both day fields are restricted, so either may fit. A field is restricted unless it is written ``*``.
+    either: bool
+    any_day: bool = field(compare=False)
+    any_weekday: bool = field(compare=False)
 
 
 def parse_cron(text: str) -> Cron:
@@ -100,7 +102,8 @@ def parse_cron(text: str) -> Cron:
     if len(fields) != 5:
         raise CronError(f"five fields needed: {text!r}")
     parts = [_field(f, *r) for f, r in zip(fields, _RANGES, strict=True)]
-    return Cron(*parts, any_day=len(parts[2]) == 31, any_weekday=len(parts[4]) == 7)
+    any_day, any_weekday = fields[2] == "*", fields[4] == "*"
+    return Cron(*parts, either=not any_day and not any_weekday, any_day=any_day, any_weekday=any_weekday)
 
 
 def equivalent(a: Cron, b: Cron) -> bool:
@@ -118,10 +121,11 @@ def _numbers(field: Column, low: int, high: int) -> Column:
 
 
 def cron_columns(cron: Column) -> dict[str, Column]:
-    """The fields of well-formed expressions in a column, as arrays of numbers."""
+    """The fields of well-formed expressions in a column, as arrays of numbers, and whether either day field may fit (neither is written ``*``)."""
     fields = F.split(F.trim(cron), r"\s+")
     names = ("minutes", "hours", "days", "months", "weekdays")
-    return {f"cron_{n}": _numbers(fields[i], *_RANGES[i]) for i, n in enumerate(names)}
+    either = (fields[2] != "*") & (fields[4] != "*")
+    return {f"cron_{n}": _numbers(fields[i], *_RANGES[i]) for i, n in enumerate(names)} | {"cron_either": either}
 
 
 def valid_cron(cron: Column) -> Column:
@@ -142,9 +146,8 @@ def valid_cron(cron: Column) -> Column:
 
 def _valid_day(day: Column) -> Column:
     """Whether a date is a day of the schedule in the ``cron_`` columns; both day fields restricted means either."""
-    any_day, any_week = F.size("cron_days") == 31, F.size("cron_weekdays") == 7
     dom, dow = F.array_contains("cron_days", F.day(day)), F.array_contains("cron_weekdays", weekday(day))
-    return F.array_contains("cron_months", F.month(day)) & F.when(~any_day & ~any_week, dom | dow).otherwise(dom & dow)
+    return F.array_contains("cron_months", F.month(day)) & F.when(F.col("cron_either"), dom | dow).otherwise(dom & dow)
 
 
 def cron_matches(ts: Column) -> Column:
@@ -156,8 +159,8 @@ def _minute_of_day() -> Column:
     return F.flatten(F.transform("cron_hours", lambda h: F.transform("cron_minutes", lambda m: h * 60 + m)))
 
 
-#: Days that a schedule is searched over: ten years.
-SEARCH_DAYS = 3653
+#: Days that a schedule is searched over: ten years; the first of them, which are enough for most.
+SEARCH_DAYS, NEAR_DAYS = 3653, 62
 
 
 def _at(day: Column, minute: Column) -> Column:
@@ -171,7 +174,8 @@ def cron_previous(ts: Column) -> Column:
     """
     day, now = F.to_date(ts), F.hour(ts) * 60 + F.minute(ts)
     today = F.when(_valid_day(day), F.array_max(F.filter(_minute_of_day(), lambda m: m <= now)))
-    earlier = F.array_max(F.filter(F.sequence(F.date_sub(day, SEARCH_DAYS), F.date_sub(day, 1)), _valid_day))
+    stretches = ((F.date_sub(day, NEAR_DAYS), F.date_sub(day, 1)), (F.date_sub(day, SEARCH_DAYS), F.date_sub(day, NEAR_DAYS + 1)))
+    earlier = F.coalesce(*[F.array_max(F.filter(F.sequence(*x), _valid_day)) for x in stretches])
     return F.when(today.isNotNull(), _at(day, today)).otherwise(_at(earlier, F.array_max(_minute_of_day())))
 
 
@@ -179,7 +183,8 @@ def cron_next(ts: Column) -> Column:
     """First time of the schedule after the minute of ``ts``, within ten years; else null."""
     day, now = F.to_date(ts), F.hour(ts) * 60 + F.minute(ts)
     today = F.when(_valid_day(day), F.array_min(F.filter(_minute_of_day(), lambda m: m > now)))
-    later = F.array_min(F.filter(F.sequence(F.date_add(day, 1), F.date_add(day, SEARCH_DAYS)), _valid_day))
+    stretches = ((F.date_add(day, 1), F.date_add(day, NEAR_DAYS)), (F.date_add(day, NEAR_DAYS + 1), F.date_add(day, SEARCH_DAYS)))
+    later = F.coalesce(*[F.array_min(F.filter(F.sequence(*x), _valid_day)) for x in stretches])
     return F.when(today.isNotNull(), _at(day, today)).otherwise(_at(later, F.array_min(_minute_of_day())))
 
 
@@ -202,9 +207,9 @@ def evaluation_stats(evaluated: DataFrame) -> DataFrame:
 
 
 def next_due(tasks: DataFrame, now: Column) -> DataFrame:
-    """Earliest time that any task is due, and milliseconds to sleep until then, from one second to three hours."""
+    """Earliest time that any task is due, running ones included, and milliseconds to sleep until then, from one second to three hours."""
     t = tasks.withColumns(cron_columns(F.col("cron"))).withColumn("_due", F.least("pending_retry_until", cron_next(now)))
-    first = t.where(~F.coalesce(F.col("running"), F.lit(False))).agg(F.min("_due").alias("due"), F.max(now).alias("_now"))
+    first = t.agg(F.min("_due").alias("due"), F.max(now).alias("_now"))
     wait = F.unix_millis("due") - F.unix_millis("_now")
     return first.select("due", F.greatest(F.lit(1_000), F.least(F.lit(10_800_000), F.coalesce(wait, F.lit(10_800_000)))).cast("bigint").alias("sleep_ms"))
 

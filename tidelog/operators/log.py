@@ -74,8 +74,8 @@ def page_arguments(query: dict[str, list[str] | str]) -> dict:
         m = re.match(r"\s*([+-]?\d+)", first(name) or "")
         return int(m[1]) if m and int(m[1]) != 0 else default
 
-    order = (first("order") or "").strip()
-    return {"page": max(1, number("page", 1)), "limit": min(100, max(1, number("limit", 20))), "order": order if order in ("asc", "desc") else "desc", "pattern": first("search") or None}
+    orders = {"dateAscending": "asc", "dateDescending": "desc"}
+    return {"page": max(1, number("page", 1)), "limit": min(100, max(1, number("limit", 20))), "order": orders.get(first("order"), "desc"), "pattern": first("search") or None}
 
 
 def lookup(log: DataFrame, requests: DataFrame) -> DataFrame:

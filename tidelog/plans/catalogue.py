@@ -415,7 +415,7 @@ def desired_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- schedules ------------------------------------------------------------------------------------
 
 _TASKS = """tasks as (select 'task-' || o_orderkey as name, (o_orderkey % 60) as mi, (o_orderkey % 24) as ho, case when o_orderkey % 3 = 0 then o_orderkey % 28 + 1 end as dom, case when o_orderkey % 4 = 0 then o_orderkey % 7 end as dow,
- o_orderdate + to_minutes(cast(o_orderkey % 1440 as bigint)) as origin, o_orderkey as k from orders where o_orderkey % 20 = 0)"""
+ o_orderdate + to_minutes(cast(o_orderkey % 1440 as bigint)) as origin, o_orderkey as k from orders)"""
 _DAYS = """days as (select t.*, d.day from tasks t, (select unnest(range(-400, 401)) as off) x, lateral (select cast(cast(t.origin as date) + cast(x.off as int) as date) as day) d
  where case when dom is not null and dow is not null then day(d.day) = dom or dayofweek(d.day) = dow else (dom is null or day(d.day) = dom) and (dow is null or dayofweek(d.day) = dow) end),
  runs as (select *, day + to_hours(cast(ho as bigint)) + to_minutes(cast(mi as bigint)) as run_at from days)"""
@@ -423,7 +423,7 @@ _DAYS = """days as (select t.*, d.day from tasks t, (select unnest(range(-400, 4
 
 def _tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tasks with cron expressions, and an instant each."""
-    o = table(spark, sf_dir, "orders").where("o_orderkey % 20 = 0")
+    o = table(spark, sf_dir, "orders")
     k = F.col("o_orderkey")
     part = lambda x: x.cast("string")
     cron = F.concat_ws(" ", part(k % 60), part(k % 24), F.when(k % 3 == 0, part(k % 28 + 1)).otherwise("*"), F.lit("*"), F.when(k % 4 == 0, part(k % 7)).otherwise("*"))
@@ -583,8 +583,8 @@ _OVERLAP = rf""", worded as (select *, list_filter(regexp_split_to_array(a, '\s+
     )
 )
 def overlap_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a, b = F.col("a"), F.col("b")
-    return transcript_pairs(spark, sf_dir).select("conv_id", "turn", tx.overlap_length(a, b).alias("overlap"), tx.merge_overlap(a, b).alias("merged"))
+    pairs = transcript_pairs(spark, sf_dir).withColumn("found", tx.overlap(F.col("a"), F.col("b")))
+    return pairs.select("conv_id", "turn", F.col("found.length").alias("overlap"), "found.merged")
 
 
 @query(with_sql("pairs", "select conv_id, turn, true as whole_valid from pairs"))
@@ -598,12 +598,13 @@ def asset_dir(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raw_log(spark, sf_dir).select("id", tm.asset_directory(F.col("date"), F.col("id")).alias("directory"))
 
 
-_FILES = "files as (select doc_id, 'f' || doc_id || case doc_id % 6 when 0 then '.PNG' when 1 then '.mp3' when 2 then '.webm' when 3 then '.txt' when 4 then '.jpeg' else '' end as name from documents)"
+_ENDS = (".PNG", ".mp3", ".webm", ".txt", ".jpeg", "", ".HEIC", ".weba", "/Diary-Audio.webm", ".svg", "/.png", ".opus")
+_FILES = f"files as (select doc_id, 'f' || doc_id || ({list(_ENDS)!r})[doc_id % 12 + 1] as name from documents)"
 
 
-@query(f"with {_FILES} select name, case doc_id % 6 when 0 then 'image' when 4 then 'image' when 1 then 'audio' when 2 then 'audio' else 'other' end as media from files")
+@query(f"with {_FILES} select name, case when doc_id % 12 in (0, 4, 6) then 'image' when doc_id % 12 in (1, 7, 8, 11) then 'audio' else 'other' end as media from files")
 def media_type(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ends = F.element_at(F.array(*[F.lit(x) for x in (".PNG", ".mp3", ".webm", ".txt", ".jpeg", "")]), (F.col("doc_id") % 6 + 1).cast("int"))
+    ends = F.element_at(F.array(*[F.lit(x) for x in _ENDS]), (F.col("doc_id") % 12 + 1).cast("int"))
     files = table(spark, sf_dir, "documents").select(F.concat(F.lit("f"), F.col("doc_id").cast("string"), ends).alias("name"))
     return files.select("name", media.media_type(F.col("name")).alias("media"))
 

@@ -103,6 +103,12 @@ def test_overlap(spark):
     assert one(spark, tx.merge_overlap(F.lit("x"), F.lit("y"))) == "x [10-second overlap] y"
 
 
+def test_combinations(spark):
+    a, b = F.lit("We went home, then"), F.lit("home then out again")
+    for text, valid in (("we went home then out again", True), ("we went out again", True), ("", True), ("we home", False), ("went home then", False), ("we went home then home then out again more", False), ("then out again", True)):
+        assert one(spark, tx.combination_valid(F.lit(text), a, b)) is valid, text
+
+
 def test_graph(spark):
     families = graph.default_families()
     assert max(graph.levels(families).values()) == 3

@@ -151,12 +151,17 @@ def merge_overlap(a: Column, b: Column, marker: str = "[10-second overlap]") ->
 
 
 def combination_valid(result: Column, a: Column, b: Column) -> Column:
-    """``result`` is a beginning of ``a`` followed by an end of ``b``, word by word."""
+    """``result`` is a beginning of ``a`` followed by an end of ``b``, word by word: what it shares with the beginning of ``a`` and with the end of ``b`` covers it."""
     norm = lambda t: F.filter(F.transform(words(t), comparison_word), lambda w: w != "")
-    r, x, y = norm(result), norm(a), norm(b)
-    n = F.size(r)
-    cut = lambda s: (s <= F.size(x)) & (n - s <= F.size(y)) & (F.slice(r, 1, s) == F.slice(x, 1, s)) & (F.slice(r, s + 1, n) == F.slice(y, F.size(y) - (n - s) + 1, n))
-    return F.exists(F.sequence(F.lit(0), n), cut)
+
+    def shared(u: Column, v: Column) -> Column:
+        """Length of the common beginning of two arrays."""
+        n = F.least(F.size(u), F.size(v))
+        places = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
+        return F.coalesce(F.array_min(F.filter(places, lambda i: F.element_at(u, i) != F.element_at(v, i))) - 1, n)
+
+    bound = F.transform(F.array(F.struct(norm(result).alias("r"), norm(a).alias("x"), norm(b).alias("y"))), lambda s: F.struct(s.alias("s"), F.reverse(s["r"]).alias("rr"), F.reverse(s["y"]).alias("ry")))
+    return F.transform(bound, lambda t: shared(t["s"]["r"], t["s"]["x"]) + shared(t["rr"], t["ry"]) >= F.size(t["s"]["r"]))[0]
 
 
 def hold_back_tail(text: Column) -> Column:

@@ -396,3 +396,31 @@ def test_decontamination_of_names_that_begin_sentences(spark):
     docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
     found = {(r.doc_id, r.item_id): r.kind for r in decontaminate.contaminated(docs, benchmark).collect()}
     assert found == {(1, 1): "template", (2, 1): "template"}
+
+
+def test_stages_keep_null_ids_repeated_rows_and_any_columns(spark, empty):
+    item = "a train leaves early with many people and later it stops in some town again"
+    texts = [(1, BASE), (2, BASE), (None, BASE), (None, None), (3, None), (4, ""), (5, item), (5, item), (6, "x"), (None, item)]
+    names = "doc_id bigint, text string, _gone int, _bad int, node int, component int, n_chars int"
+    docs = spark.createDataFrame([(i, t, 1, 2, 3, 4, None) for i, t in texts], names)
+    ids = lambda df: sorted((r.doc_id if r.doc_id is not None else -1) for r in df.collect())
+    kept = simhash.drop_near_duplicates(docs)
+    assert kept.columns == docs.columns and ids(kept) == [-1, -1, -1, 1, 3, 5, 5, 6]  # null and empty texts are alike
+    benchmark = spark.createDataFrame([(1, item), (1, item), (None, BASE), (2, None)], "item_id bigint, text string")
+    kept = decontaminate.remove_contaminated(docs, benchmark)
+    assert kept.columns == docs.columns and ids(kept) == [-1, -1, -1, 1, 2, 3, 4, 6]
+    assert simhash.drop_near_duplicates(empty).count() == 0 and decontaminate.remove_contaminated(empty, benchmark).count() == 0
+    assert decontaminate.remove_contaminated(docs, benchmark.limit(0)).count() == len(texts)
+    cut = secrets.redact(docs)
+    assert cut.columns == docs.columns and cut.count() == len(texts) and secrets.redact(empty).count() == 0
+    rows = packing.pack_documents(docs).collect()
+    assert collections.Counter(r.doc_id for r in rows if r.piece == 0) == collections.Counter(i for i, _ in texts)
+
+
+def test_components_of_a_star_and_a_chain(spark):
+    from tidelog.llm.components import components
+
+    star = [(7, i) for i in range(1000, 4000)]
+    chain = [(i, i + 1) for i in range(100, 140)]
+    found = {r.node: r.component for r in components(spark.createDataFrame([*star, *chain, (5, 5), (None, 3)], "a bigint, b bigint")).collect()}
+    assert found == {n: 7 for p in star for n in p} | {n: 100 for p in chain for n in p}

@@ -49,6 +49,22 @@ def test_context(spark):
     assert found == {"0": ["0", "4"], "1": ["0", "1", "4"], "2": ["2", "4"], "3": ["3"], "4": ["0", "2", "4"]}
 
 
+def test_context_sizes_agree_with_contexts(spark):
+    rng = random.Random(5)
+    tags = [f"t{i}" for i in range(14)]
+    rows = [(str(i), i, rng.choice(["text", "other", None]), rng.choice([None, []] + [rng.choices(tags, k=n) for n in (1, 2, 3, 8, 9, 12)])) for i in range(120)]
+    own = spark.createDataFrame(rows, "id string, seq bigint, type string, hashtags array<string>")
+    counted = {r.e_id: r.n for r in log.context_sizes(own).collect()}
+    listed = {r.e_id: len(r.context) for r in log.event_context(own).collect()}
+    assert counted == listed and len(counted) == 120
+
+
+def test_replay_of_repeated_lives(spark):
+    rows = [(0, "a", "add"), (1, "a", "delete"), (2, "a", "add"), (3, "a", "add"), (4, "b", "add"), (5, "b", "edit"), (6, "c", "add"), (7, "c", "delete"), (8, "d", "edit"), (9, "e", "add"), (10, "e", "delete"), (11, "e", "edit")]
+    own = spark.createDataFrame([(*r, "x") for r in rows], "change_seq bigint, id string, action string, event string")
+    assert {r.id: r.since for r in changes.replay(own).collect()} == {"a": 2, "b": 4, "d": None, "e": 9}
+
+
 def test_diff_and_replay(spark):
     schema = "seq bigint, id string, v string"
     old = spark.createDataFrame([(0, "a", "1"), (1, "b", None), (2, "c", "3")], schema)
@@ -121,6 +137,15 @@ def test_graph(spark):
     assert {r.id for r in graph.closure(start, steps, 3).collect()} == {"a", "b", "c"}
 
 
+def test_closure_goes_on_until_nothing_is_new(spark):
+    chain = spark.range(12).selectExpr("cast(id as string) as from_id", "cast((id + 1) % 12 as string) as to_id")
+    start = spark.createDataFrame([("0",)], "id string")
+    assert graph.closure(start, chain).count() == graph.closure(start, chain, 11).count() == 12
+    assert graph.closure(start.limit(0), chain).isEmpty()
+    with pytest.raises(graph.GraphError):
+        graph.closure(start, chain, 3)
+
+
 def test_merge_prefers_the_later_write(spark):
     schema = "key string, id string, freshness string, created_at string, modified_at string, fingerprint string"
     t = spark.createDataFrame([("a", "1", graph.FRESH, "2024-01-01", "2024-01-02", "f"), ("b", "2", graph.FRESH, "2024-01-01", "2024-01-02", "f")], schema)

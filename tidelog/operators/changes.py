@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidelog.sources.shared import settle
+
 ADD, EDIT, DELETE = "add", "edit", "delete"
 
 
@@ -37,12 +39,15 @@ def append_changes(log: DataFrame | None, changes: DataFrame) -> DataFrame:
 
     Changes of one step are numbered by rank. They are range-partitioned by it and
     offset by the sizes of the partitions before, so no single task sorts them all.
+    They are written before they are counted: another execution could cut the
+    ranges elsewhere.
     """
     spark = changes.sparkSession
     base = 0
     if log is not None:
         base = log.agg(F.coalesce(F.max("change_seq"), F.lit(-1)) + 1).first()[0]
-    ranked = changes.repartitionByRange("rank").sortWithinPartitions("rank").withColumn("_part", F.spark_partition_id()).withColumn("_in", F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("bigint"), 33))
+    placed = changes.repartitionByRange("rank").sortWithinPartitions("rank").withColumn("_part", F.spark_partition_id())
+    ranked = settle(placed.withColumn("_in", F.monotonically_increasing_id() - F.shiftleft(F.col("_part").cast("bigint"), 33)), "ranked")
     sizes = {r["_part"]: r["n"] for r in ranked.groupBy("_part").agg(F.count("*").alias("n")).collect()}
     starts, total = [], base
     for p in range(max(sizes, default=-1) + 1):
@@ -57,15 +62,14 @@ def replay(log: DataFrame, key: str = "id") -> DataFrame:
     """Latest state of every id that is not deleted: ``key``, ``event``, and ``since``, the change that started its present life.
 
     Ordered by ``since`` this is the snapshot's order: an edit keeps an id's place,
-    an addition after a deletion moves it to the end.
+    an addition after a deletion moves it to the end. Without an addition after its
+    last deletion an id has its first place; without any, ``since`` is null.
     """
-    last = log.groupBy(key).agg(
-        F.max_by(F.struct("action", "event"), "change_seq").alias("last"),
-        F.max(F.when(F.col("action") == DELETE, F.col("change_seq"))).alias("_gone"),
-        F.array_sort(F.collect_list(F.when(F.col("action") == ADD, F.col("change_seq")))).alias("_adds"),
-    )
-    since = F.array_min(F.filter("_adds", lambda s: s > F.coalesce(F.col("_gone"), F.lit(-1))))
-    return last.where(F.col("last.action") != DELETE).select(key, "last.event", F.coalesce(since, F.array_min("_adds")).alias("since"))
+    gone = log.where(F.col("action") == DELETE).groupBy(key).agg(F.max("change_seq").alias("_gone"))
+    again = F.when(F.col("change_seq") > F.coalesce("_gone", F.lit(-1)), F.col("change_seq"))
+    adds = log.where(F.col("action") == ADD).select(key, "change_seq").join(gone, key, "left").groupBy(key).agg(F.coalesce(F.min(again), F.min("change_seq")).alias("since"))
+    last = log.groupBy(key).agg(F.max_by(F.struct("action", "event"), "change_seq").alias("last")).where(F.col("last.action") != DELETE)
+    return last.join(adds, key, "left").select(key, "last.event", "since")
 
 
 def latest_changes(log: DataFrame, key: str = "id") -> DataFrame:

@@ -17,6 +17,9 @@ from tidelog.sources.shared import settle
 
 FRESH, STALE = "up-to-date", "potentially-outdated"
 
+#: Steps of a closure whose tables are united before they are written as one.
+_UNION_STEPS = 8
+
 
 class GraphError(Exception):
     """An error of the graph's definition or state."""
@@ -136,26 +139,36 @@ def derive_edges(nodes: DataFrame, scheme: DataFrame) -> DataFrame:
     return found.groupBy("id", "key").agg(F.min("pos").alias("pos"), F.first("input_id").alias("input_id")).select("id", "input_id", "pos", "key")
 
 
-def closure(start: DataFrame, steps: DataFrame, depth: int) -> DataFrame:
-    """Ids reachable from ``start`` (``id``) over ``steps`` (``from_id``, ``to_id``) in up to ``depth`` steps, the start included.
+def closure(start: DataFrame, steps: DataFrame, depth: int | None = None) -> DataFrame:
+    """Ids reachable from ``start`` (``id``) over ``steps`` (``from_id``, ``to_id``), the start included.
 
-    The depth of a schema bounds the loop; each step goes on with ids that are new
-    only, and is a written table, so that plans do not grow with the steps.
+    Goes on until a step finds no new id, so that cycles end too. Where a schema
+    bounds the depth, new ids beyond ``depth`` steps raise ``GraphError``. Each step
+    goes on with new ids only and is a written table, and now and then all that is
+    reached becomes one table, so that plans do not grow with the steps.
     """
     reached = settle(start.select("id").distinct(), "reached")
-    front = reached
-    for _ in range(depth):
-        front = settle(front.join(steps, front.id == steps.from_id).select(F.col("to_id").alias("id")).distinct().join(reached, "id", "left_anti"), "front")
+    steps = settle(steps.select("from_id", F.col("to_id").alias("id")), "steps")
+    front, taken = reached, 0
+    while True:
+        found = front.join(steps, front.id == steps.from_id).select(steps.id).distinct()
+        front = settle(found.join(reached, "id", "left_anti"), "front")
+        if front.isEmpty():
+            return reached
+        taken += 1
+        if depth is not None and taken > depth:
+            raise GraphError(f"more than {depth} steps to {front.first()['id']}")
         reached = reached.unionByName(front)
-    return reached
+        if taken % _UNION_STEPS == 0:
+            reached = settle(reached, "reached")
 
 
-def stale_closure(valid: DataFrame, changed: DataFrame, depth: int) -> DataFrame:
+def stale_closure(valid: DataFrame, changed: DataFrame, depth: int | None = None) -> DataFrame:
     """Nodes that become stale with ``changed`` ones: themselves and all dependents over proofs."""
     return closure(changed, valid.select(F.col("dep_id").alias("from_id"), F.col("dependent_id").alias("to_id")), depth)
 
 
-def invalidate(nodes: DataFrame, valid: DataFrame, targets: DataFrame, depth: int) -> tuple[DataFrame, DataFrame]:
+def invalidate(nodes: DataFrame, valid: DataFrame, targets: DataFrame, depth: int | None = None) -> tuple[DataFrame, DataFrame]:
     """State after invalidation: targets and their dependents are stale, the targets' incoming proofs are gone. Unknown targets change nothing."""
     there = targets.select("id").join(nodes, "id", "left_semi")
     stale = stale_closure(valid, there, depth).withColumn("_stale", F.lit(True))
@@ -170,7 +183,7 @@ def cache_usable(nodes: DataFrame, edges: DataFrame, valid: DataFrame) -> DataFr
     return nodes.select("id").join(counted, "id", "left").select("id", F.coalesce((F.col("_all") > 0) & (F.col("_all") == F.col("_with")), F.lit(False)).alias("usable"))
 
 
-def commit_computed(nodes: DataFrame, edges: DataFrame, valid: DataFrame, computed: DataFrame, now: str, depth: int) -> tuple[DataFrame, DataFrame]:
+def commit_computed(nodes: DataFrame, edges: DataFrame, valid: DataFrame, computed: DataFrame, now: str, depth: int | None = None) -> tuple[DataFrame, DataFrame]:
     """State after nodes were computed: ``computed`` has id and value_hash (``nodes`` has value_hash as well).
 
     A node with its old hash is unchanged: it keeps its times and outgoing proofs

@@ -8,6 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.functions import text as tx
+from tidelog.sources.shared import settle
+
+#: Entries of up to so many tags are counted by combinations of tags, others by pairs.
+COMBINED_TAGS = 8
 
 #: Types of entries that are context for others.
 CONTEXT_TYPES = ("register", "text", "photo")
@@ -110,8 +114,8 @@ def context_pairs(log: DataFrame, targets: DataFrame | None = None, types: tuple
     """Pairs of an entry (``e_id``) and each entry of its context (``o_id``, ``o_seq``).
 
     The context of an entry is itself and the entries of context types that share a
-    tag with it. Both sides are exploded to tags and meet in an equi-join; a tag
-    that very many entries have is split by adaptive execution.
+    tag with it. Both sides are exploded to tags and meet in an equi-join. The result
+    is as large as all contexts together; ``context_sizes`` counts without it.
     """
     own = log if targets is None else log.join(targets.select("id").distinct(), "id", "left_semi")
     left = own.select(F.col("id").alias("e_id"), F.explode("hashtags").alias("tag"))
@@ -127,8 +131,32 @@ def event_context(log: DataFrame, targets: DataFrame | None = None, types: tuple
 
 
 def context_sizes(log: DataFrame, types: tuple[str, ...] = CONTEXT_TYPES) -> DataFrame:
-    """Size of every entry's context."""
-    return context_pairs(log, None, types).groupBy("e_id").agg(F.count("*").alias("n"))
+    """``e_id`` and ``n``: the size of every entry's context, counted without its pairs; ids are unique.
+
+    Entries that share a tag with one are counted by inclusion and exclusion: for
+    each combination of its tags, the context entries that have all of these, added
+    for odd combinations and taken off for even ones. Combinations are counted
+    before they meet the entries, so that a frequent tag costs no more than a rare
+    one. Entries of more than ``COMBINED_TAGS`` tags have too many combinations;
+    they meet others, as entries and as context, in pairs. No tags, or null: itself only.
+    """
+    context = F.coalesce(F.col("type").isin(*types), F.lit(False))
+    tags = F.coalesce(F.array_sort(F.array_distinct("hashtags")), F.array().cast("array<string>"))
+    own = settle(log.select("id", context.alias("is_context"), tags.alias("tags")), "tagged")
+    few, many = own.where(F.size("tags") <= COMBINED_TAGS), own.where(F.size("tags") > COMBINED_TAGS)
+    part = F.explode(F.expr("transform(sequence(1, shiftleft(1, size(tags)) - 1), m -> filter(tags, (t, i) -> (shiftright(m, i) & 1) = 1))")).alias("part")
+    combined = few.where(F.size("tags") > 0).select("id", "is_context", part)
+    counts = combined.where("is_context").groupBy("part").agg(F.count("*").alias("n"))
+    shared = combined.select("id", "part").join(counts, "part").select("id", F.when(F.size("part") % 2 == 1, F.col("n")).otherwise(-F.col("n")).alias("n"))
+    itself = own.select("id", F.when(F.col("is_context") & (F.size("tags") > 0), 0).otherwise(1).cast("bigint").alias("n"))
+    out = itself.unionByName(shared)
+    if not many.isEmpty():
+        tagged = lambda df, as_: df.select(F.col("id").alias(as_), F.explode("tags").alias("tag"))
+        met = [(many, own.where("is_context")), (few, many.where("is_context"))]
+        for left, right in met:
+            pairs = tagged(left, "id").join(tagged(right, "o_id"), "tag").select("id", "o_id").distinct()
+            out = out.unionByName(pairs.select("id", F.lit(1).cast("bigint").alias("n")))
+    return out.groupBy(F.col("id").alias("e_id")).agg(F.sum("n").alias("n"))
 
 
 def context_or_self(requests: DataFrame, contexts: DataFrame) -> DataFrame:

@@ -57,7 +57,7 @@ def select_candidates(t: DataFrame, h: DataFrame) -> DataFrame:
     return both.withColumn("side", side).withColumn("root", root)
 
 
-def taint(selected: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
+def taint(selected: DataFrame, edges: DataFrame, depth: int | None = None) -> DataFrame:
     """Keys with the taints they carry: ``key``, ``taint`` (T or H), from roots down to all dependents."""
     steps = edges.select(F.col("input_key").alias("from_id"), F.col("key").alias("to_id"))
     out = None
@@ -67,7 +67,7 @@ def taint(selected: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
     return out
 
 
-def invalidation_candidates(selected: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
+def invalidation_candidates(selected: DataFrame, edges: DataFrame, depth: int | None = None) -> DataFrame:
     """Keys whose chosen value may not fit the merged inputs.
 
     They carry a taint of the side they are not from, or an input whose chosen
@@ -85,14 +85,14 @@ def invalidation_candidates(selected: DataFrame, edges: DataFrame, depth: int) -
     return torn.unionByName(other).unionByName(doubtful).distinct()
 
 
-def deletion_closure(candidates: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
+def deletion_closure(candidates: DataFrame, edges: DataFrame, depth: int | None = None) -> DataFrame:
     """Keys to delete: candidates with more than one distinct input, and all that depends on them."""
     several = edges.groupBy("key").agg(F.countDistinct("input_key").alias("n")).where("n > 1")
     roots = candidates.select("key").join(several, "key", "left_semi").select(F.col("key").alias("id"))
     return closure(roots, edges.select(F.col("input_key").alias("from_id"), F.col("key").alias("to_id")), depth).select(F.col("id").alias("key"))
 
 
-def merge_outcomes(t: DataFrame, h: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
+def merge_outcomes(t: DataFrame, h: DataFrame, edges: DataFrame, depth: int | None = None) -> DataFrame:
     """Plan of a merge: ``key``, ``side`` and ``outcome`` (delete before invalidate before keep or take)."""
     selected = settle(select_candidates(t, h), "selected")
     candidates = settle(invalidation_candidates(selected, edges, depth), "candidates")
@@ -129,7 +129,7 @@ def transport_proofs(outcomes: DataFrame, edges: DataFrame, t_valid: DataFrame,
     return out.distinct()
 
 
-def settle_freshness(nodes: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
+def settle_freshness(nodes: DataFrame, edges: DataFrame, depth: int | None = None) -> DataFrame:
     """Nodes after everything that depends on a stale one is stale as well."""
     start = nodes.where(F.col("freshness") == STALE).select(F.col("key").alias("id"))
     stale = closure(start, edges.select(F.col("input_key").alias("from_id"), F.col("key").alias("to_id")), depth).select(F.col("id").alias("key"), F.lit(True).alias("_s"))
@@ -159,7 +159,7 @@ def undecided(decided: DataFrame, old_nodes: DataFrame) -> DataFrame:
     return old_nodes.select("key").join(decided, "key", "left_anti")
 
 
-def propagate_migration(decisions: DataFrame, old_valid: DataFrame, new_edges: DataFrame, depth: int) -> DataFrame:
+def propagate_migration(decisions: DataFrame, old_valid: DataFrame, new_edges: DataFrame, depth: int | None = None) -> DataFrame:
     """Decisions with what follows from them: deletes go down the new schema's edges, invalidations down the old proofs.
 
     A deletion replaces an invalidation that only followed from another one.

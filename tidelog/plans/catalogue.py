@@ -122,35 +122,27 @@ def tag_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return log.tag_counts(event_log(spark, sf_dir))
 
 
-_USER_TAG = "[list_extract(hashtags, 2)]"
-
-
-def _user_tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The log with the user tags only, of which each has a bounded number of entries."""
-    return event_log(spark, sf_dir).withColumn("hashtags", F.filter("hashtags", lambda t: F.startswith(t, F.lit("u-"))))
-
-
 @query(
     with_sql(
         "log",
         """select e_id, count(*) as n from (select a.id as e_id, b.id as o_id from log a join log b on a.user_id = b.user_id where b.type in ('signup', 'purchase')
- union select id, id from log) group by e_id""",
+ union select a.id, b.id from log a join log b on a.k = b.k where b.type in ('signup', 'purchase') union select id, id from log) group by e_id""",
     )
 )
 def event_context_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return log.context_sizes(_user_tagged(spark, sf_dir), FIXTURE_TYPES)
+    return log.context_sizes(event_log(spark, sf_dir), FIXTURE_TYPES)
 
 
 @query(
     with_sql(
         "log",
         """select e_id, string_agg(o_id, ',' order by o_seq) as context from (select a.id as e_id, b.id as o_id, b.seq as o_seq from log a join log b on list_has_any(a.hashtags, b.hashtags)
- where b.type in ('signup', 'purchase') and a.seq % 500 = 0 union select id, id, seq from log where seq % 500 = 0) group by e_id""",
+ where b.type in ('signup', 'purchase') and a.seq % 50 = 0 union select id, id, seq from log where seq % 50 = 0) group by e_id""",
     )
 )
 def basic_context_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = event_log(spark, sf_dir)
-    found = log.event_context(own, own.where("seq % 500 = 0"), FIXTURE_TYPES)
+    found = log.event_context(own, own.where("seq % 50 = 0"), FIXTURE_TYPES)
     return found.select("e_id", F.array_join("context", ",").alias("context"))
 
 
@@ -247,17 +239,17 @@ def store_unified(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- graph and replicas --------------------------------------------------------------------------
 
-_NODES = """base as (select cast(event_id as varchar) as e, event_id from events where event_id % 10 < 3),
+_NODES = """base as (select cast(event_id as varchar) as e, event_id, event_type from events),
  nodes as (select 'a-0' as id, 'all_events' as head, '[]' as args, '{"head":"all_events","args":[]}' as key, 'up-to-date' as freshness
  union all select 'v-' || e, 'event', '["' || e || '"]', '{"head":"event","args":["' || e || '"]}', case when event_id % 4 = 0 then 'potentially-outdated' else 'up-to-date' end from base
- union all select 'd-' || e, 'entry_description', '["' || e || '"]', '{"head":"entry_description","args":["' || e || '"]}', case when event_id % 4 = 0 then 'potentially-outdated' else 'up-to-date' end from base where event_id % 10 < 2)"""
+ union all select 'd-' || e, 'entry_description', '["' || e || '"]', '{"head":"entry_description","args":["' || e || '"]}', case when event_id % 4 = 0 then 'potentially-outdated' else 'up-to-date' end from base where event_type <> 'error')"""
 _EDGES = """edges as (select id, 'a-0' as input_id, 0 as pos from nodes where head = 'event' union all select id, 'v-' || substr(id, 3), 0 from nodes where head = 'entry_description')"""
 _VALID = "valid as (select input_id as dep_id, id as dependent_id from edges where cast(substr(id, 3) as bigint) % 4 <> 0)"
 
 
 def _state(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Nodes, edges and proofs of a graph over some of the events."""
-    base = table(spark, sf_dir, "events").where("event_id % 10 < 3").select("event_id", F.col("event_id").cast("string").alias("e"))
+    """Nodes, edges and proofs of a graph over all events; those of errors have no materialized description."""
+    base = table(spark, sf_dir, "events").select("event_id", "event_type", F.col("event_id").cast("string").alias("e"))
 
     def family(rows: DataFrame, prefix: str, head: str) -> DataFrame:
         args = F.to_json(F.array("e"))
@@ -265,7 +257,7 @@ def _state(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Data
         return rows.select(F.concat(F.lit(prefix), "e").alias("id"), F.lit(head).alias("head"), args.alias("args"), graph.node_key(F.lit(head), args).alias("key"), fresh.alias("freshness"))
 
     root = spark.range(1).select(F.lit("a-0").alias("id"), F.lit("all_events").alias("head"), F.lit("[]").alias("args"), graph.node_key(F.lit("all_events"), F.lit("[]")).alias("key"), F.lit(graph.FRESH).alias("freshness"))
-    nodes = root.unionByName(family(base, "v-", "event")).unionByName(family(base.where("event_id % 10 < 2"), "d-", "entry_description"))
+    nodes = root.unionByName(family(base, "v-", "event")).unionByName(family(base.where("event_type <> 'error'"), "d-", "entry_description"))
     edges = graph.derive_edges(nodes, graph.scheme_table(spark, graph.default_families())).select("id", "input_id", "pos")
     valid = edges.where("cast(substr(id, 3) as bigint) % 4 <> 0").select(F.col("input_id").alias("dep_id"), F.col("id").alias("dependent_id"))
     return nodes, edges, valid
@@ -398,11 +390,11 @@ def migration_completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge.undecided(decided, old)
 
 
-@query(f"with recursive {_DECIDED}, gone(key, n) as (select key, 0 from decided where decision = 'delete' union select e.key, n + 1 from gone g join medges e on e.input_key = g.key where n < 3) select distinct key as id from gone")
+@query(f"with recursive {_DECIDED}, gone(key) as (select key from old where k % 6 = 3 union select e.key from gone g join medges e on e.input_key = g.key) select key as id from gone")
 def migration_delete_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, decided, edges = _migration(spark, sf_dir)
-    start = decided.where("decision = 'delete'").select(F.col("key").alias("id"))
-    return graph.closure(start, edges.select(F.col("input_key").alias("from_id"), F.col("key").alias("to_id")), 3)
+    old, _, edges = _migration(spark, sf_dir)
+    start = old.where("k % 6 = 3").select(F.col("key").alias("id"))
+    return graph.closure(start, edges.select(F.col("input_key").alias("from_id"), F.col("key").alias("to_id")))
 
 
 @query(f"with {_DECIDED} select e.input_key as dep_key, e.key from medges e join decided d on d.key = e.key join decided i on i.key = e.input_key where d.decision = 'keep' and i.decision <> 'delete' and e.k % 3 <> 0")
@@ -468,6 +460,21 @@ def due_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tm.evaluate_tasks(_task_states(spark, sf_dir), F.col("origin")).select("name", "decision")
 
 
+_NOW = "1991-06-01 08:00:00"
+
+
+@query(
+    f"""with {_TASKS}, calendar as (select cast(date '1991-06-01' + cast(off as int) as date) as day from (select unnest(range(0, 40)) as off)),
+ runs as (select d.day + to_hours(cast(ho as bigint)) + to_minutes(cast(mi as bigint)) as run_at from tasks, calendar d
+ where case when dom is not null and dow is not null then day(d.day) = dom or dayofweek(d.day) = dow else (dom is null or day(d.day) = dom) and (dow is null or dayofweek(d.day) = dow) end),
+ due as (select min(run_at) as due from (select run_at from runs where run_at > timestamp '{_NOW}' union all select origin + to_minutes(cast(k % 11 - 5 as bigint)) from tasks where k % 7 = 0))
+ select strftime(due, '%Y-%m-%d %H:%M') as due, greatest(1000, least(10800000, epoch_ms(due) - epoch_ms(timestamp '{_NOW}'))) as sleep_ms from due"""
+)
+def next_due(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = tm.next_due(_task_states(spark, sf_dir), F.lit(_NOW).cast("timestamp"))
+    return found.select(F.date_format("due", "yyyy-MM-dd HH:mm").alias("due"), "sleep_ms")
+
+
 # --- fragments ------------------------------------------------------------------------------------
 
 _WATERMARK, _DEADLINE = "1704150000000", "1706000000000"
@@ -571,6 +578,7 @@ def word_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _NORM = "regexp_replace(regexp_replace(lower(w), '[^a-z0-9''-]', '', 'g'), '^[-'']+|[-'']+$', '', 'g')"
+_KEPT = "list_filter(list_transform(regexp_split_to_array({}, '\\s+'), lambda w: " + _NORM + "), lambda w: w <> '')"
 _OVERLAP = rf""", worded as (select *, list_filter(regexp_split_to_array(a, '\s+'), lambda w: w <> '') as aw, list_filter(regexp_split_to_array(b, '\s+'), lambda w: w <> '') as bw from pairs),
  normed as (select *, list_transform(aw, lambda w: {_NORM}) as an, list_transform(bw, lambda w: {_NORM}) as bn from worded),
  fitted as (select *, coalesce(list_max(list_filter(range(1, least(len(an), len(bn)) + 1), lambda k: an[len(an) - k + 1:] = bn[1:k] and not list_contains(bn[1:k], ''))), 0) as k from normed)"""
@@ -587,10 +595,18 @@ def overlap_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select("conv_id", "turn", F.col("found.length").alias("overlap"), "found.merged")
 
 
-@query(with_sql("pairs", "select conv_id, turn, true as whole_valid from pairs"))
+@query(
+    with_sql(
+        "pairs",
+        rf""", told as (select *, case turn % 3 when 0 then a || ' ' || b when 1 then b || ' ' || a else a || ' between ' || b end as r from pairs),
+ plain as (select conv_id, turn, {_KEPT.format("a")} as x, {_KEPT.format("b")} as y, {_KEPT.format("r")} as z from told)
+ select conv_id, turn, len(list_filter(range(0, len(z) + 1), lambda i: z[1:i] = x[1:i] and len(z) - i <= len(y) and z[i + 1:] = y[len(y) - len(z) + i + 1:])) > 0 as valid from plain""",
+    )
+)
 def combination_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    both = F.concat_ws(" ", "a", "b")
-    return transcript_pairs(spark, sf_dir).select("conv_id", "turn", tx.combination_valid(both, F.col("a"), F.col("b")).alias("whole_valid"))
+    """Both transcripts as they are, the wrong way round, or with a word between."""
+    told = F.when(F.col("turn") % 3 == 0, F.concat_ws(" ", "a", "b")).when(F.col("turn") % 3 == 1, F.concat_ws(" ", "b", "a")).otherwise(F.concat_ws(" between ", "a", "b"))
+    return transcript_pairs(spark, sf_dir).select("conv_id", "turn", tx.combination_valid(told, F.col("a"), F.col("b")).alias("valid"))
 
 
 @query(with_sql("log", "select id, substr(date, 1, 7) || '/' || substr(date, 9, 2) || '/' || id as directory from log"))
@@ -625,6 +641,15 @@ def node_id_base36(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", tx.node_id(F.col("o_orderkey"), F.lit("abcdefghi")).alias("node_id"))
 
 
+@query(
+    """with parts as (select page_id, unnest(string_split(url, '/')) as segment from pages)
+ select page_id, segment, case segment when '' then '%00' when '.' then '%2E' when '..' then '%2E%2E' else replace(replace(replace(segment, '%', '%25'), '/', '%2F'), '!', '%21') end as encoded, segment as decoded from parts"""
+)
+def encode_segment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = table(spark, sf_dir, "pages").select("page_id", F.explode(F.split("url", "/", -1)).alias("segment"))
+    return parts.withColumn("encoded", tx.encode_segment(F.col("segment"))).withColumn("decoded", tx.decode_segment(F.col("encoded")))
+
+
 # --- not to be had in SQL ----------------------------------------------------------------------------
 
 

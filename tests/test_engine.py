@@ -4,9 +4,10 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tidelog.functions import keys
 from tidelog.functions import text as tx
 from tidelog.functions import time as tm
-from tidelog.operators import changes, graph, intervals, log, merge
+from tidelog.operators import bundle, changes, graph, intervals, log, merge
 
 
 def one(spark, column):
@@ -185,3 +186,65 @@ def test_segments_and_tails(spark):
     assert held == [("hello", ""), ("a b c", ""), ("we went", "home"), (" ", "")]
     keys = next(tx.question_key(iter([__import__("pandas").Series(["Caf\u00e9?", "cafe!", "CAFE\u0301"])])))
     assert keys[0] == keys[2] != keys[1]
+
+
+def test_order_of_values():
+    rising = [None, False, True, float("-inf"), -2, -1.5, 0, 1e-9, 3, 10, "", "\x00", "a", "ab", "b", "\U0001f600", "\uffff", [], [None], [None, None], [1], [1, 0], ["a"], {}, {"a": 1}, {"a": 1, "b": 0}, {"a": 2}, {"b": 0}]
+    found = [keys.value_bytes(v) for v in rising]
+    assert found == sorted(found) and len(set(found)) == len(found)
+    assert keys.value_bytes(-0.0) == keys.value_bytes(0) and keys.value_bytes({"b": 1, "a": 2}) == keys.value_bytes({"a": 2, "b": 1})
+
+
+def test_order_of_nodes(spark):
+    rows = [("a", "[]"), ("a", '["z"]'), ("a", "[1, 2]"), ("a", "[%s]" % ", ".join(["null"] * 3)), ("a", "[" + "9" * 400 + ", 0, 0]"), ("ab", "[]"), ("b", None), ("b", "x"), (None, "[]")]
+    df = spark.createDataFrame(rows, "head string, args string").withColumn("k", keys.node_order(F.col("head"), F.col("args")))
+    assert [(r.head, r.args) for r in df.where("k is not null").orderBy("k").collect()] == rows[:6] and df.where("k is null").count() == 3
+
+
+def test_url_arguments(spark):
+    for path, args in (("a/b", ['"a"', '"b"']), ("", []), ("~1/~~1/~[1, 2]/", ["1", '"~1"', "[1, 2]"]), ('a%2Fb/c+d/%22', ['"a/b"', '"c+d"', '"\\""']), ("~x/~%22%22/~~", [None, '"~"'])):
+        assert one(spark, keys.url_arguments(F.lit(path))) == args, path
+
+
+def test_zones(spark):
+    for text, zone in (("5", "UTC+5"), ("-07:00", "UTC-7"), ("5:30", "UTC+05:30"), ("-3:05", "UTC-03:05"), ("15", None), ("+14:60", None), ("", None), ("x", None), ("europe/berlin", "europe/berlin"), ("5:3", None), ("5\n", None)):
+        assert one(spark, tm.client_zone(F.lit(text))) == zone, text
+    at = F.lit("2024-03-01 00:00:00.25").cast("timestamp")
+    for zone, text in (("UTC", "2024-03-01T00:00:00.250Z"), ("UTC-03:30", "2024-02-29T20:30:00.250-03:30"), ("Europe/Berlin", "2024-03-01T01:00:00.250+01:00")):
+        assert one(spark, tm.iso_in_zone(at, F.lit(zone))) == text
+
+
+def test_bundles_keep_errors_apart(spark):
+    own = entries(spark, "food a #x", "text b #x", "food c")
+    calories = spark.createDataFrame([("0", "N/A", None), ("1", None, "no model"), ("2", "300", None)], "id string, value string, error string")
+    heard = spark.createDataFrame([("0", "d/b.mp3", None, "late"), ("0", "d/a.mp3", None, "early"), ("1", "d/a.txt", "no", None), ("1", "d/b.ogg", "yes", None), ("1", "d/a.ogg", None, "bad")], "id string, path string, text string, error string")
+    asked = spark.createDataFrame([("0",), ("1",), ("2",), ("9",), ("9",)], "id string")
+    found = {r.id: r for r in bundle.entry_bundle(own, asked, calories, heard, bundle.context_details(own, asked)).collect()}
+    assert {i: (r.calories, r.transcription, r.errors) for i, r in found.items()} == {"0": (None, None, {"transcription": "late"}), "1": (None, "yes", {"calories": "no model"}), "2": ("300", None, {}), "9": (None, None, {})}
+    assert [e.id for e in found["0"].basic_context] == ["0", "1"] and found["9"].basic_context is None
+
+
+def test_inspection(spark):
+    nodes = spark.createDataFrame([("1", "event", '["a"]', '{"head":"event","args":["a"]}', graph.FRESH, "2024-01-01", "2024-01-02")], "id string, head string, args string, key string, freshness string, created_at string, modified_at string")
+    wish = lambda *rows: spark.createDataFrame(rows, "head string, args string")
+    families = graph.default_families()
+    assert {(r.args, r.id, r.freshness) for r in graph.inspect(families, wish(("event", '["a"]'), ("event", '["b"]'), ("event", '["b"]')), nodes).collect()} == {('["a"]', "1", graph.FRESH), ('["b"]', None, None)}
+    assert graph.modification_times(families, wish(("event", '["a"]')), nodes).first().modified_at == "2024-01-02"
+    for error, row in ((graph.UnknownHead, ("nothing", "[]")), (graph.ArityMismatch, ("event", "[]")), (graph.NotMaterialized, ("event", '["b"]'))):
+        with pytest.raises(error):
+            graph.modification_times(families, wish(row), nodes)
+
+
+def test_hosts_merge_in_order_and_failures_stay_apart(spark):
+    node = "key string, id string, freshness string, created_at string, modified_at string, fingerprint string"
+    day = "2024-01-0"
+    state = lambda fp, *rows: merge.Replica(spark.createDataFrame([(k, i, f, day + "1", day + m, fp) for k, i, f, m in rows], node), spark.createDataFrame([("b", "a")], "key string, input_key string"), spark.createDataFrame([("a", "b")], "dep_key string, key string"), "1", "s", fp)
+    own = state("f", ("a", "1", graph.FRESH, "2"), ("b", "2", graph.FRESH, "2"))
+    later = state("g", ("a", "1", graph.FRESH, "3"), ("b", "2", graph.FRESH, "1"))
+    merged, changed = merge.merge_replicas(own, later, 2)
+    assert changed and {(r.key, r.freshness, r.modified_at) for r in merged.nodes.collect()} == {("a", graph.FRESH, day + "3"), ("b", graph.STALE, day + "2")}
+    assert merged.valid.isEmpty() and merged.fingerprint == "f"
+    assert merge.merge_replicas(own, state("h", ("a", "1", graph.FRESH, "1"), ("b", "2", graph.FRESH, "1")), 2) == (own, False)
+    with pytest.raises(merge.HostFailures) as e:
+        merge.merge_hosts(own, {"z": later, "a": state("f"), "c": state("k", ("x", "1", graph.FRESH, "2"))}, 2)
+    assert sorted(e.value.failures) == ["a", "c"] and e.value.state.nodes.where("freshness <> 'up-to-date'").count() == 1

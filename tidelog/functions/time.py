@@ -30,6 +30,30 @@ def format_in_zone(ts: Column, offset: Column) -> Column:
     return F.concat(F.date_format(F.from_utc_timestamp(F.to_utc_timestamp(ts, F.current_timezone()), _colon(offset)), "yyyy-MM-dd'T'HH:mm:ss"), offset)
 
 
+def iso_in_zone(ts: Column, zone: Column) -> Column:
+    """``yyyy-MM-ddTHH:mm:ss.SSS`` in a zone with its offset as ``+hh:mm``, or ``Z`` for none."""
+    utc, local = (F.convert_timezone(None, z, ts.cast("timestamp_ntz")) for z in (F.lit("UTC"), zone))
+    minutes = F.timestamp_diff("MINUTE", utc, local)
+    offset = F.format_string("%s%02d:%02d", F.when(minutes < 0, "-").otherwise("+"), F.floor(F.abs(minutes) / 60), F.abs(minutes) % 60)
+    return F.concat(F.date_format(local, "yyyy-MM-dd'T'HH:mm:ss.SSS"), F.when(minutes == 0, "Z").otherwise(offset))
+
+
+#: Largest hour of an offset.
+_OFFSET_HOURS = 14
+
+
+def client_zone(text: Column) -> Column:
+    """A zone's name as it is (case ignored), or an offset ``[+-]h[h][:mm]`` as ``UTC+h`` or ``UTC+hh:mm``; null for anything else."""
+    from zoneinfo import available_timezones
+
+    part = lambda n: F.regexp_extract(text, r"\A([+-]?)([0-9]{1,2})(?::([0-9]{2}))?\z", n)
+    hours, minutes = F.nullif(part(2), F.lit("")).cast("int"), F.coalesce(F.nullif(part(3), F.lit("")).cast("int"), F.lit(0))
+    sign = F.when(part(1) == "-", "-").otherwise("+")
+    offset = F.when(minutes == 0, F.concat(F.lit("UTC"), sign, hours.cast("string"))).otherwise(F.concat(F.lit("UTC"), sign, F.format_string("%02d:%02d", hours, minutes)))
+    named = F.lower(text).isin(*sorted({z.lower() for z in available_timezones()}))
+    return F.when(named, text).when((hours <= _OFFSET_HOURS) & (minutes <= 59), offset)
+
+
 def asset_directory(date: Column, id_: Column) -> Column:
     """``YYYY-MM/DD/id``, in the zone that the date is written in."""
     return F.concat(F.substring(date, 1, 7), F.lit("/"), F.substring(date, 9, 2), F.lit("/"), id_)

@@ -246,6 +246,34 @@ def pull_many(by_head: dict[str, Family], head: str, wanted: DataFrame, nodes: D
     return [(h, need[h]) for h in sorted(need, key=lambda x: (order[x], x))]
 
 
+def inspect(by_head: dict[str, Family], wanted: DataFrame, nodes: DataFrame) -> DataFrame:
+    """State of wanted instances (``head``, ``args`` as JSON text) without computing anything: the other columns of ``nodes``, null where not materialized.
+
+    Unknown heads raise ``UnknownHead``, a wrong number of arguments ``ArityMismatch``,
+    a materialized node without freshness ``GraphError``. Repeated wishes give one row.
+    """
+    asked = wanted.select("head", "args").distinct()
+    arities = asked.groupBy("head", F.size(F.from_json("args", "array<string>")).alias("n"))
+    known = F.array(*[F.struct(F.lit(h).alias("h"), F.lit(len(f.output.args)).alias("n")) for h, f in by_head.items()])
+    odd = arities.agg(F.count("*")).where(~F.array_contains(known, F.struct(F.col("head").alias("h"), F.col("n").alias("n")))).first()
+    if odd:
+        raise ArityMismatch(f"{odd['n']} arguments of {odd['head']}") if odd["head"] in by_head else UnknownHead(odd["head"])
+    found = asked.withColumn("key", node_key(F.col("head"), F.col("args"))).join(nodes.drop("head", "args"), "key", "left")
+    broken = found.where("id is not null and freshness is null").first()
+    if broken:
+        raise GraphError(f"no freshness: {broken['key']}")
+    return found
+
+
+def modification_times(by_head: dict[str, Family], wanted: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``head``, ``args``, ``created_at`` and ``modified_at`` of wanted instances; raises ``NotMaterialized`` if any is not there."""
+    found = inspect(by_head, wanted, nodes)
+    missing = found.where("id is null").first()
+    if missing:
+        raise NotMaterialized(missing["key"])
+    return found.select("head", "args", "created_at", "modified_at")
+
+
 def default_families() -> dict[str, Family]:
     """The engine's own graph of log, orders, contexts and media."""
     return check_schema(

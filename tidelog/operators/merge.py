@@ -6,10 +6,12 @@ A replica is ``nodes`` (key, id, freshness, created_at, modified_at, fingerprint
 
 from __future__ import annotations
 
+from dataclasses import dataclass, replace
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.operators.graph import FRESH, STALE, closure
+from tidelog.operators.graph import FRESH, STALE, GraphError, closure
 from tidelog.sources.shared import settle
 
 KEEP, TAKE, INVALIDATE, DELETE = "keep", "take", "invalidate", "delete"
@@ -19,6 +21,26 @@ class MergeError(Exception):
     """Replicas that cannot be merged."""
 
 
+class HostFailures(MergeError):
+    """Hosts that could not be merged, with the ``state`` after the others."""
+
+    def __init__(self, failures: dict[str, str], state: Replica) -> None:
+        super().__init__("; ".join(f"{h}: {m}" for h, m in failures.items()))
+        self.failures, self.state = failures, state
+
+
+@dataclass(frozen=True)
+class Replica:
+    """A host's state: ``nodes``, ``edges`` (key, input_key), ``valid`` (dep_key, key), and what tells hosts and schemas apart."""
+
+    nodes: DataFrame
+    edges: DataFrame
+    valid: DataFrame
+    version: str
+    scheme: str
+    fingerprint: str
+
+
 class MigrationConflict(Exception):
     """Decisions about a node contradict each other or are missing."""
 
@@ -136,6 +158,45 @@ def settle_freshness(nodes: DataFrame, edges: DataFrame, depth: int | None = Non
     return nodes.join(stale, "key", "left").withColumn("freshness", F.when(F.col("_s"), STALE).otherwise(F.col("freshness"))).drop("_s")
 
 
+def merge_replicas(t: Replica, h: Replica, depth: int | None = None) -> tuple[Replica, bool]:
+    """Merge of a host's state H into the own state T, and whether anything changed; without a change T itself comes back.
+
+    Versions and schemes must be equal, fingerprints different, and no id may stand
+    for different keys; else ``MergeError``. Nodes that depend on stale ones are stale.
+    """
+    told = lambda r: {"version": r.version, "scheme": r.scheme, "fingerprint": r.fingerprint}
+    check_mergeable(told(t), told(h))
+    clash = id_collisions(t.nodes, h.nodes).first()
+    if clash:
+        raise MergeError(f"id {clash['id']} stands for {clash['t_key']} and {clash['h_key']}")
+    own, other = (r.nodes.withColumn("fingerprint", F.lit(r.fingerprint)) for r in (t, h))
+    edges = settle(t.edges.select("key", "input_key").unionByName(h.edges.select("key", "input_key")).distinct(), "edges")
+    plan = settle(merge_outcomes(own, other, edges, depth), "plan")
+    left = edges.join(plan.where(F.col("outcome") != DELETE), "key", "left_semi")
+    nodes = settle(settle_freshness(apply_outcomes(plan), left, depth), "nodes")
+    valid = settle(transport_proofs(plan, edges, t.valid, h.valid), "valid")
+    differ = lambda a, b: not (a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty())
+    state = lambda n: n.select("key", "id", "freshness", "modified_at")
+    changed = differ(state(nodes), state(t.nodes)) or differ(valid.select("dep_key", "key"), t.valid.select("dep_key", "key").distinct())
+    return (replace(t, nodes=nodes, edges=left, valid=valid), True) if changed else (t, False)
+
+
+def merge_hosts(own: Replica, hosts: dict[str, Replica], depth: int | None = None) -> Replica:
+    """Merge hosts one after the other, in the order of their names; the order matters, as each merge is into the state after the last.
+
+    A host that fails does not stop the others; ``HostFailures`` tells of all such at the end.
+    """
+    failures: dict[str, str] = {}
+    for name in sorted(hosts):
+        try:
+            own, _ = merge_replicas(own, hosts[name], depth)
+        except (MergeError, GraphError) as e:
+            failures[name] = str(e)
+    if failures:
+        raise HostFailures(failures, own)
+    return own
+
+
 def migration_decisions(decided: DataFrame, old_nodes: DataFrame) -> DataFrame:
     """One decision for each old node; raises ``MigrationConflict`` on contradicting or missing ones, or on unknown nodes.
 

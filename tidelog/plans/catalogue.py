@@ -7,10 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.functions import media
+from tidelog.functions import keys, media
 from tidelog.functions import text as tx
 from tidelog.functions import time as tm
-from tidelog.operators import changes, graph, intervals, log, merge
+from tidelog.operators import bundle, changes, graph, intervals, log, merge
 from tidelog.plans.adapters import FIXTURE_TYPES, event_log, fragments, new_snapshot, old_snapshot, raw_log, table, transcript_pairs, with_sql
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -153,6 +153,54 @@ def context_default(spark: SparkSession, sf_dir: str) -> DataFrame:
     return log.context_or_self(own, stored).select("e_id", F.array_join("context", ",").alias("context"))
 
 
+_PROPERTIES = """asked as (select id, seq, user_id from log where seq % 50 = 0),
+ listed as (select e_id, string_agg(o_id || '|' || o_date, ',' order by o_seq) as basic_context from (select a.id as e_id, b.id as o_id, b.seq as o_seq, b.date as o_date from log a join log b on list_has_any(a.hashtags, b.hashtags)
+ where b.type in ('signup', 'purchase') and a.seq % 50 = 0 union select id, id, seq, date from log where seq % 50 = 0) group by e_id)"""
+
+
+@query(
+    with_sql(
+        "log",
+        f""", {_PROPERTIES} select id, case when user_id % 4 = 2 then 'kcal' || id end as calories,
+ case when user_id % 5 = 0 then null when user_id % 3 <> 0 then 'first' || id when user_id % 2 = 0 then 'second' || id end as transcription, basic_context,
+ concat_ws(';', case when user_id % 4 = 1 then 'calories=no answer' end, case when user_id % 5 <> 0 and user_id % 3 = 0 and user_id % 2 <> 0 then 'transcription=silent' end) as errors
+ from asked join listed on e_id = id union all select 'x' || id, null, null, null, '' from asked""",
+    )
+)
+def entry_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Properties of every fiftieth entry and of as many unknown ones, with contexts in the whole log."""
+    own = event_log(spark, sf_dir)
+    asked = own.where("seq % 50 = 0").select("id")
+    u = F.col("user_id")
+    calories = own.where(u % 4 != 3).select("id", F.when(u % 4 == 0, bundle.NOT_AVAILABLE).when(u % 4 == 2, F.concat(F.lit("kcal"), "id")).alias("value"), F.when(u % 4 == 1, "no answer").alias("error"))
+    files = own.where(u % 5 != 0)
+    file = lambda name, text, error: files.select("id", F.concat("id", F.lit(f"/{name}")).alias("path"), text.alias("text"), error.alias("error"))
+    first = file("a.mp3", F.when(u % 3 != 0, F.concat(F.lit("first"), "id")), F.when(u % 3 == 0, "cut"))
+    second = file("b.ogg", F.when(u % 2 == 0, F.concat(F.lit("second"), "id")), F.when(u % 2 != 0, "silent"))
+    third = file("c.txt", F.lit("no audio"), F.lit(None).cast("string"))
+    found = bundle.entry_bundle(own, asked.unionByName(asked.select(F.concat(F.lit("x"), "id").alias("id"))), calories, first.unionByName(second).unionByName(third), bundle.context_details(own, asked, FIXTURE_TYPES))
+    told = F.transform("basic_context", lambda e: F.concat(e["id"], F.lit("|"), e["date"]))
+    errors = F.transform(F.array_sort(F.map_entries("errors")), lambda e: F.concat_ws("=", e["key"], e["value"]))
+    return found.select("id", "calories", "transcription", F.array_join(told, ",").alias("basic_context"), F.array_join(errors, ";").alias("errors"))
+
+
+_PROCESSED = "processed as (select id, case when seq % 3 = 0 then '2024-01-15' else date end as date from log where seq % 4 <> 0)"
+
+
+@query(with_sql("log", f", {_PROCESSED} select l.id, l.date from log l left join processed p on p.id = l.id where l.type = 'view' and coalesce(p.date < l.date, true)"))
+def pending_diary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = event_log(spark, sf_dir)
+    processed = own.where("seq % 4 <> 0").select("id", F.when(F.col("seq") % 3 == 0, "2024-01-15").otherwise(F.col("date")).alias("date"))
+    diary = own.withColumn("type", F.when(F.col("type") == "view", log.DIARY).otherwise(F.col("type")))
+    return bundle.pending_diary(diary, processed).select("id", "date")
+
+
+@query(with_sql("log", "select min(date) as summary_date from (select case when seq % 2 = 0 then strftime(ts + interval 5 hour, '%Y-%m-%dT%H:%M:%S') || '+0500' else date end as date, date_trunc('second', ts) as moment from log) where moment = (select max(date_trunc('second', ts)) from log)"))
+def summary_date(spark: SparkSession, sf_dir: str) -> DataFrame:
+    zoned = F.when(F.col("seq") % 2 == 0, tm.format_in_zone(F.col("ts"), F.lit("+0500"))).otherwise(F.col("date"))
+    return bundle.summary_date(raw_log(spark, sf_dir).select("id", zoned.alias("date")), tm.instant(F.col("date")))
+
+
 @query("select p_brand as name, p_type as only_for_type from part where p_type = 'none' or p_partkey % 5 = 0 or p_type in (select p_type from part where p_size > 40)")
 def ontology_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part")
@@ -306,6 +354,39 @@ def invariant_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.violations(timed, valid, edges)
 
 
+@query(
+    f"""with {_NODES}, wanted as (select h as head, '["' || event_id || '"]' as args from events, (select unnest(['event', 'entry_description']) as h) union all select 'all_events', '[]')
+ select w.head, w.args, n.id, n.freshness from wanted w left join nodes n on n.head = w.head and n.args = w.args"""
+)
+def inspect_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = table(spark, sf_dir, "events").select(F.explode(F.array(F.lit("event"), F.lit("entry_description"))).alias("head"), F.to_json(F.array(F.col("event_id").cast("string"))).alias("args"))
+    wanted = own.unionByName(spark.range(1).select(F.lit("all_events").alias("head"), F.lit("[]").alias("args")))
+    return graph.inspect(graph.default_families(), wanted, _state(spark, sf_dir)[0]).select("head", "args", "id", "freshness")
+
+
+_VALUES = """vals as (select event_id, event_id % 7 as kind, event_id // 7 % 5 as a, event_id // 35 % 3 as b from events),
+ pairs as (select x.event_id, x.kind as xk, x.a as xa, x.b as xb, y.kind as yk, y.a as ya, y.b as yb from vals x join vals y on y.event_id = x.event_id // 2),
+ ranked as (select *, [0, 1, 2, 3, 4, 4, 5][xk + 1] as xr, [0, 1, 2, 3, 4, 4, 5][yk + 1] as yr from pairs),
+ keyed as (select *, case xk when 0 then [0] when 1 then [xa % 2] when 2 then [xa - 2] when 3 then [xa] when 4 then [xa, xb] when 5 then [xa] else [xa % 2, xb] end as xv,
+ case yk when 0 then [0] when 1 then [ya % 2] when 2 then [ya - 2] when 3 then [ya] when 4 then [ya, yb] when 5 then [ya] else [ya % 2, yb] end as yv from ranked)"""
+
+
+@query(f"with {_VALUES} select event_id, case when xr < yr or xr = yr and xv < yv then -1 when xr = yr and xv = yv then 0 else 1 end as sign from keyed")
+def node_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order of each event's node against another's, with arguments of all types."""
+    e = table(spark, sf_dir, "events").select("event_id")
+    kind, a, b = F.expr("event_id % 7"), F.expr("event_id div 7 % 5"), F.expr("event_id div 35 % 3")
+    told = (
+        F.when(kind == 0, "null").when(kind == 1, F.when(a % 2 == 1, "true").otherwise("false")).when(kind == 2, F.format_string("%d.5", a - 2))
+        .when(kind == 3, F.format_string('"t%d"', a)).when(kind == 4, F.format_string("[%d, %d]", a, b)).when(kind == 5, F.format_string("[%d]", a))
+        .otherwise(F.format_string('{"z": %d, "k%d": null}', b, a % 2))
+    )
+    own = e.select("event_id", keys.node_order(F.lit("node"), F.format_string("[%s]", told)).alias("key"))
+    met = own.withColumn("other", F.expr("event_id div 2"))
+    sign = F.when(F.col("key") < F.col("_key"), -1).when(F.col("key") == F.col("_key"), 0).otherwise(1)
+    return met.join(own.select(F.col("event_id").alias("other"), F.col("key").alias("_key")), "other").select("event_id", sign.alias("sign"))
+
+
 _REPLICAS = """keyed as (select event_id, 'event/' || event_id as key, ts from events union all select event_id, 'pair/' || event_id, ts from events where event_id % 4 = 0),
  t as (select key, 't' || key as id, case when event_id % 5 = 0 then 'potentially-outdated' else 'up-to-date' end as freshness, epoch_us(ts) // 1000 as m, 'aaaaaaaaa' as fp from keyed where event_id % 3 <> 0),
  h as (select key, case when event_id % 2 = 0 then 't' else 'h' end || key as id, 'up-to-date' as freshness, epoch_us(ts) // 1000 + (event_id % 5 - 2) * 60000 as m, 'bbbbbbbbb' as fp from keyed where event_id % 3 <> 1),
@@ -373,6 +454,19 @@ def proof_transport(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge.transport_proofs(merge.merge_outcomes(t, h, edges, _DEPTH), edges, proofs, proofs)
 
 
+@query(
+    f"""with recursive {_REPLICAS} {_TAINT} {_BAD}, final as (select c.key, case when c.side = 'T' then t_id else h_id end as id, case when o.outcome = 'invalidate' then 'potentially-outdated' when c.side = 'T' then tf else hf end as f
+ from chosen c join outcomes o on o.key = c.key where o.outcome <> 'delete'),
+ st(key) as (select key from final where f <> 'up-to-date' union select e.key from st s join kedges e on e.input_key = s.key)
+ select key, id, case when key in (select key from st) then 'potentially-outdated' else f end as freshness from final"""
+)
+def merge_replicas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t, h, edges = _replicas(spark, sf_dir)
+    proofs = edges.select(F.col("input_key").alias("dep_key"), "key")
+    own, other = (merge.Replica(n, edges, proofs, "1", "s", f) for n, f in ((t, "aaaaaaaaa"), (h, "bbbbbbbbb")))
+    return merge.merge_replicas(own, other, _DEPTH)[0].nodes.select("key", "id", "freshness")
+
+
 _DECIDED = """old as (select 'o/' || o_orderkey as key, o_orderkey as k from orders), decided as (select key, case when k % 6 = 0 then 'delete' when k % 5 = 0 then 'invalidate' else 'keep' end as decision from old where k % 97 <> 0),
  medges as (select key, 'o/' || (k // 2) as input_key, k from old where k % 2 = 0)"""
 
@@ -650,6 +744,32 @@ def encode_segment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts.withColumn("encoded", tx.encode_segment(F.col("segment"))).withColumn("decoded", tx.decode_segment(F.col("encoded")))
 
 
+@query("""select event_id, case event_id % 3 when 0 then strftime(ts, '%Y-%m-%dT%H:%M:%S.%g') || 'Z' when 1 then strftime(ts + interval 330 minute, '%Y-%m-%dT%H:%M:%S.%g') || '+05:30' else strftime(ts - interval 7 hour, '%Y-%m-%dT%H:%M:%S.%g') || '-07:00' end as iso from events""")
+def iso_in_zone(spark: SparkSession, sf_dir: str) -> DataFrame:
+    zone = F.when(F.col("event_id") % 3 == 0, "UTC").when(F.col("event_id") % 3 == 1, "+05:30").otherwise("UTC-7")
+    return table(spark, sf_dir, "events").select("event_id", tm.iso_in_zone(F.col("ts").cast("timestamp"), zone).alias("iso"))
+
+
+@query(
+    """with parts as (select event_id, ['', '+', '-'][event_id % 3 + 1] as sign, event_id // 3 % 20 as h, event_id // 60 % 70 as m, event_id % 10 as kind from events)
+ select event_id, case when kind = 0 then 'Europe/Berlin' when kind = 1 then null when h > 14 then null when kind < 5 then 'UTC' || replace(sign, '+', '') || case when sign = '-' then '' else '+' end || h
+ when m > 59 then null when m = 0 then 'UTC' || case when sign = '-' then '-' else '+' end || h else 'UTC' || case when sign = '-' then '-' else '+' end || lpad(cast(h as varchar), 2, '0') || ':' || lpad(cast(m as varchar), 2, '0') end as zone from parts"""
+)
+def client_zone(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = F.col("event_id")
+    sign, h, m = F.element_at(F.array(F.lit(""), F.lit("+"), F.lit("-")), (e % 3 + 1).cast("int")), F.expr("event_id div 3 % 20"), F.expr("event_id div 60 % 70")
+    text = F.when(e % 10 == 0, "Europe/Berlin").when(e % 10 == 1, "Nowhere/City").when(e % 10 < 5, F.concat(sign, h.cast("string"))).otherwise(F.concat(sign, h.cast("string"), F.format_string(":%02d", m)))
+    return table(spark, sf_dir, "events").select("event_id", tm.client_zone(text).alias("zone"))
+
+
+@query("""select event_id, case when event_id % 2 = 0 then '"' || user_id || '",' || event_id || ',"~' || event_type || '","a/b+c d"' else '"' || event_type || '",{"k":' || user_id || '},null' end as args from events""")
+def url_arguments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    whole = F.concat(F.col("user_id").cast("string"), F.lit("/~"), F.col("event_id").cast("string"), F.lit("//~~"), "event_type", F.lit("/a%2Fb+c%20d/"))
+    other = F.concat("event_type", F.lit('/~%7B"k":'), F.col("user_id").cast("string"), F.lit("%7D/~null/~%22%22"))
+    path = F.when(F.col("event_id") % 2 == 0, whole).otherwise(other)
+    return table(spark, sf_dir, "events").select("event_id", F.array_join(keys.url_arguments(path), ",").alias("args"))
+
+
 # --- not to be had in SQL ----------------------------------------------------------------------------
 
 

@@ -357,6 +357,27 @@ def test_urls(spark):
     assert found[3][:2] == ("a.net", "") and found[11][:2] == ("h", "")
 
 
+def test_urls_of_nested_rules_in_many_stretches(spark):
+    labels = ["a", "b", "a-b", "a0", "é", "net"]
+    host = lambda: ".".join(RNG.choice(labels) for _ in range(RNG.randrange(1, 5)))
+    path = lambda: "".join(RNG.choice(["/x", "/y", "/"]) for _ in range(RNG.randrange(0, 4)))
+    rules = [(host(), path(), RNG.choice(["block", "allow"])) for _ in range(60)]
+    rules = [*rules, rules[0], ("net", "/", "block"), ("", "/", "block"), (None, "/", "block"), ("a", None, "block")]
+    parts = [("b.net", "/x")] * 500 + [(host(), path()) for _ in range(700)]
+    df = spark.createDataFrame([(i, f"http://{h}{p}?q", "h") for i, (h, p) in enumerate(parts)], "page_id bigint, url string, rule string").repartition(5)
+    given = spark.createDataFrame(rules, "host string, path string, verdict string")
+    for lanes in (1, 9):
+        found = {r.page_id: r for r in urls.judge_urls(df, given, lanes=lanes).collect()}
+        assert len(found) == len(parts)
+        for i, (h, p) in enumerate(parts):
+            fitting = [(-len(a + b), a + b, v) for a, b, v in rules if a and b is not None and (h == a or h.endswith("." + a)) and p.startswith(b)]
+            _, rule, verdict = min(fitting, default=(0, None, "allow"))
+            assert (found[i]["rule"], found[i].verdict) == (rule, verdict), (h, p)
+    nothing = given.limit(0)
+    assert {r.verdict for r in urls.judge_urls(df, nothing, default="block").collect()} == {"block"}
+    assert urls.judge_urls(df.limit(0), given).count() == 0
+
+
 def test_substrings(docs, empty):
     words = [re.findall(r"[^\x20\x09-\x0D]+", t or "") for t in TEXTS]
     first = {}

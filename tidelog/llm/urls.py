@@ -7,6 +7,8 @@ import string
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidelog.llm.tables import keep
+
 #: Host, path, verdict.
 BASE_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 
@@ -59,19 +61,27 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", lanes
     Rules with a null or empty host or a null path fit nothing. Null URLs and those without ``://`` have an empty host and path and no rule.
     Repeated rows stay; an empty rule list judges all by ``default``.
 
-    The rules' intervals and the URLs are sorted by one key in each of ``lanes``
-    lanes, over which URLs are dealt by hash, so that a hot host is in all of them.
-    A sweep carries the stack of active nested rules on to the URLs. Every lane
-    gets all segments: the rule list is small against the URLs by nature.
+    The starts and ends of the rules' intervals and the URLs are put in one order by
+    range partitioning, in about ``lanes`` stretches; URLs of one host are spread
+    over as many stretches as they fill, and each segment is in one stretch only.
+    A sweep of a stretch carries the stack of active nested rules on to the URLs;
+    it begins with the last stack of the stretches before, found from one row for
+    each stretch. A stack has the rules of one host and of the hosts above it.
     """
     spark = pages.sparkSession
     lanes = lanes or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     host, path = url_parts(F.col("url"))
-    urls = pages.select("page_id", host.alias("host"), path.alias("path"), F.pmod(F.xxhash64("page_id", "url"), F.lit(lanes)).alias("lane"))
-    urls = urls.withColumn("key", host_key(F.col("host"))).withColumn("turn", F.lit(1))
-    marks = _segments(rules).select("key", "stack", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(lanes - 1).cast("bigint"))).alias("lane"), F.lit(0).alias("turn"))
-    order = Window.partitionBy("lane").orderBy("key", "turn").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    swept = urls.unionByName(marks, allowMissingColumns=True).withColumn("active", F.last("stack", ignorenulls=True).over(order)).where("turn = 1")
+    urls = pages.select("page_id", host.alias("host"), path.alias("path"), F.lit(1).alias("turn"), F.xxhash64("page_id", "url").alias("spread"))
+    urls = urls.withColumn("key", host_key(F.col("host")))
+    marks = _segments(rules).select("key", "stack", F.lit(0).alias("turn"), F.lit(0).cast("bigint").alias("spread"))
+    ordered = urls.unionByName(marks, allowMissingColumns=True).repartitionByRange(lanes, "key", "turn", "spread")
+    # written once: the bounds of stretches are sampled anew in each run
+    placed = keep(ordered.withColumn("stretch", F.spark_partition_id()), "url-stretches")
+    ends = placed.groupBy("stretch").agg(F.max_by("stack", F.when(F.col("turn") == 0, F.col("key"))).alias("stack"))
+    before = Window.orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)  # a row for each stretch
+    begins = ends.select("stretch", F.lit("").alias("key"), F.lit(-1).alias("turn"), F.last("stack", ignorenulls=True).over(before).alias("stack"))
+    order = Window.partitionBy("stretch").orderBy("key", "turn").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    swept = placed.unionByName(begins, allowMissingColumns=True).withColumn("active", F.last("stack", ignorenulls=True).over(order)).where("turn = 1")
     fitting = F.filter("active", lambda r: F.startswith(F.col("path"), r["path"]))
     best = F.array_min(F.transform(fitting, lambda r: F.struct((-F.length(r["rule"])).alias("short"), r["rule"].alias("rule"), r["verdict"].alias("verdict"))))
     swept = swept.withColumn("best", best)

@@ -393,6 +393,40 @@ def test_substrings(docs, empty):
     assert substrings.cut_repeats(empty).count() == 0
 
 
+def removed(rows, span):
+    """Brute force: places of words in a window that starts in a document with a smaller id too, for each row."""
+    low = {}
+    for i, w in rows:
+        for k in range(len(w) - span + 1):
+            low[tuple(w[k : k + span])] = min(i, low.get(tuple(w[k : k + span]), i))
+    return [{j for k in range(len(w) - span + 1) if low[tuple(w[k : k + span])] < i for j in range(k, k + span)} for i, w in rows]
+
+
+@pytest.mark.parametrize("share", [2, 10_000])
+def test_matches_are_extended_to_where_they_end(spark, monkeypatch, share):
+    monkeypatch.setattr(substrings, "SHARE", share)
+    rng = random.Random(share)
+    passages = [[rng.choice("abcdefgh") for _ in range(30)] for _ in range(3)]
+    rows = []
+    for i in range(150):
+        words = [rng.choice("abcd") for _ in range(rng.randrange(0, 40))]
+        for p in rng.sample(passages, 2):
+            at, cut = rng.randrange(len(words) + 1), rng.randrange(0, 15)
+            words[at:at] = p[cut : cut + rng.randrange(5, 16)]
+        rows.append((i // 2 if i < 20 else i, words))
+    rng.shuffle(rows)
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id bigint, text string").repartition(4)
+    expected = sorted((i, " ".join(x for k, x in enumerate(w) if k not in gone)) for (i, w), gone in zip(rows, removed(rows, 8), strict=True))
+    found = sorted((r.doc_id, r.text) for r in substrings.cut_repeats(df, span=8, gram=3).collect())
+    assert found == expected
+    assert sum(map(len, removed(rows, 8))) > 1000
+
+
+def test_common_stretches():
+    a, b = np.array([1, 2, 3, 4], dtype=np.uint64), np.array([1, 2, 4], dtype=np.uint64)
+    assert [substrings._common(x, y) for x, y in [(a, b), (a, a), (a[:0], a), (a[1:], a)]] == [2, 4, 0, 0]
+
+
 def test_decontamination(spark, empty):
     item = "A train leaves Berlin with 120 passengers and after 45 minutes it has covered 80 km before it stops in Leipzig again"
     benchmark = spark.createDataFrame([(1, item), (2, None), (3, "too short"), (4, "Name the largest moon there!")], "item_id bigint, text string")

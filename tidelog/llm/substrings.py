@@ -15,6 +15,8 @@ from tidelog.llm.tables import keep
 
 #: Words in a repeat, and in an anchor. Each window of SPAN words has one anchor of GRAM words.
 SPAN, GRAM = 50, 20
+#: Kinds of surroundings of an anchor that meet a copy of its leader.
+SHARE = 10_000
 _U = np.uint64
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
@@ -127,7 +129,7 @@ def _codes(words: list[bytes], hashes: _WordHashes) -> np.ndarray:
 
 def _find_anchors(span: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, rows = _WordHashes(), _Rows(["anchor", "context", "doc_id", "text_hash", "first", "last"])
+        hashes, rows = _WordHashes(), _Rows(["anchor", "context", "doc_id", "text_hash", "first", "last", "place"])
         for doc_id, text in _each(batches):
             words = _words(text)
             if len(words) < span:
@@ -137,27 +139,77 @@ def _find_anchors(span: int, gram: int):
             context = _context(_rolling(codes, span, _BASES[1]), first, last, place)
             own = np.full(len(anchor), doc_id, dtype=np.int64)
             text_hash = np.full(len(anchor), xxhash.xxh64_intdigest(text), dtype=_U)
-            yield from rows.add(anchor, context, own, text_hash, first, last)
+            yield from rows.add(anchor, context, own, text_hash, first, last, place)
         yield from rows.flush()
 
     return run
 
 
-def _find_windows(span: int):
-    """For documents with ranges of windows: two hashes of each window in them."""
+def _find_surroundings(span: int, gram: int):
+    """For documents with open anchors: the words around each, as hashes, up to the ends of its outermost windows.
+
+    ``around`` has one code for the anchor itself, at ``place - first``, so a window is
+    a run of ``span - gram + 1`` codes.
+    """
+    kind = pa.schema([("anchor", pa.int64()), ("lead", pa.bool_()), ("kinds", pa.int64()), *[(c, pa.int64()) for c in ("doc_id", "text_hash", "first", "last", "place")], ("around", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, rows = _WordHashes(), _Rows(["h1", "h2", "doc_id", "text_hash", "at"])
-        for doc_id, text, text_hash, ranges in _each(batches):
+        hashes, out, held = _WordHashes(), [], 0
+        for doc_id, text, text_hash, seeds in _each(batches):
             codes = _codes(_words(text), hashes)
-            at = np.concatenate([np.arange(r["first"], r["last"] + 1) for r in ranges])
-            one, two = _rolling(codes, span, _BASES[0]), _rolling(codes, span, _BASES[1])
-            yield from rows.add(one[at], two[at], np.full(len(at), doc_id, dtype=np.int64), np.full(len(at), text_hash, dtype=np.int64), at)
-        yield from rows.flush()
+            for r in seeds:
+                first, last, place = r["first"], r["last"], r["place"]
+                around = np.concatenate([codes[first:place], np.array([r["anchor"]]).view(_U), codes[place + gram : last + span]])
+                out.append((r["anchor"], r["lead"], r["kinds"], doc_id, text_hash, first, last, place, around.tobytes()))
+                held += around.nbytes
+                if held > 4_000_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), kind, strict=True)], schema=kind)
+                    out, held = [], 0
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), kind, strict=True)], schema=kind)
 
     return run
 
 
+def _extend(span: int, gram: int):
+    """Extend each anchor's match with its leader both ways, word by word, to where it ends.
+
+    Gives a row for the windows of a match that reaches over ``span`` words (``h1`` null)
+    and a row with two hashes for each window outside of it, which the leader does not have.
+    """
+    side = span - gram
+    kind = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), *[(c, pa.int64()) for c in ("doc_id", "text_hash", "first", "last", "low")]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            matches, singles = [], _Rows(["h1", "h2", "doc_id", "text_hash", "first", "last", "low"])
+            for doc_id, text_hash, first, last, place, around, low, at, other in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                own, its = np.frombuffer(around, dtype=_U), np.frombuffer(other, dtype=_U)
+                left = _common(own[: place - first][::-1], its[:at][::-1])
+                right = _common(own[place - first + 1 :], its[at + 1 :])
+                begin, end = max(first, place - left), min(last, place + right - side)
+                if begin <= end:
+                    matches.append((None, None, doc_id, text_hash, begin, end, low))
+                else:
+                    begin, end = last + 1, last
+                rest = np.concatenate([np.arange(first, begin), np.arange(end + 1, last + 1)])
+                if len(rest):
+                    one, two = _rolling(own, side + 1, _BASES[0])[rest - first], _rolling(own, side + 1, _BASES[1])[rest - first]
+                    ids, texts = np.full(len(rest), doc_id, dtype=np.int64), np.full(len(rest), text_hash, dtype=np.int64)
+                    yield from (b.cast(kind) for b in singles.add(one, two, ids, texts, rest, rest, ids))
+            yield from (b.cast(kind) for b in singles.flush())
+            if matches:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*matches, strict=True), kind, strict=True)], schema=kind)
+
+    return run
+
+
+def _common(a: np.ndarray, b: np.ndarray) -> int:
+    n = min(len(a), len(b))
+    differ = np.flatnonzero(a[:n] != b[:n])
+    return int(differ[0]) if len(differ) else n
+
+
 def _cut(span: int, digest: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -186,28 +238,42 @@ def repeats(docs: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFrame:
     ``first`` to ``last + span - 1`` are a repeat over the length threshold.
 
     Seed: every window has an anchor, a winnowed gram of words; documents meet on
-    equal anchors, and anchors of one document only are dropped. Extend: an anchor
-    goes with the windows around it. If these surroundings are the same, to both
-    ends, as in a smaller document, all of its windows are repeats; one row per
-    anchor decides that, and copies by the thousand stay in proportion. Where
-    surroundings differ, one document for each kind of surroundings has its
-    windows compared one by one (128 bits of hash), which finds where matches end.
+    equal anchors, and anchors of one document only are dropped. If an anchor's
+    surroundings are the same, to both ends of its windows, as in a smaller document, all of
+    them are repeats; one row per anchor decides that, and copies by the thousand
+    stay in proportion. Extend: where surroundings differ, one document for each kind of them
+    is held against the anchor's leader, its kind with the smallest document.
+    The match is extended both ways, word by word, and kept where it is maximal and reaches ``span`` words;
+    a longer one goes on at the next anchor. That is one pair for each kind, not all pairs of kinds.
+    Windows outside of the match are not in the leader; kinds that share such windows
+    find each other by hashes of them (128 bits), which is exact for the rest.
     """
     if not 0 < gram <= span:
         raise ValueError("an anchor fits into a window")
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    seeds = keep(rows.mapInArrow(_find_anchors(span, gram), "anchor bigint, context bigint, doc_id bigint, text_hash bigint, first bigint, last bigint"), "anchors")
+    seeds = keep(rows.mapInArrow(_find_anchors(span, gram), "anchor bigint, context bigint, doc_id bigint, text_hash bigint, first bigint, last bigint, place bigint"), "anchors")
     kinds = seeds.groupBy("anchor", "context").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
-    shared = kinds.groupBy("anchor").agg(F.min("low").alias("least"), F.max("high").alias("most"), F.count("*").alias("kinds")).where("least < most")
-    met = keep(kinds.join(shared.select("anchor", "kinds"), "anchor").where("kinds > 1 or low < high"), "met-anchors")
-    found = keep(seeds.join(met, ["anchor", "context"]).select(*_KEYS, "first", "last", "low", "kinds"), "seeds-met")
+    shared = kinds.groupBy("anchor").agg(F.min(F.struct("low", "context")).alias("leader"), F.max("high").alias("most"), F.count("*").alias("kinds")).where("leader.low < most")
+    met = kinds.join(shared.select("anchor", "kinds", F.col("leader.context").alias("leader")), "anchor").where("kinds > 1 or low < high")
+    met = keep(met.select("anchor", "context", "low", "kinds", (F.col("context") == F.col("leader")).alias("lead")), "met-anchors")
+    found = keep(seeds.join(met, ["anchor", "context"]).select(*_KEYS, "anchor", "first", "last", "place", "low", "kinds", "lead"), "seeds-met")
     whole = found.where("doc_id > low").select(*_KEYS, "first", "last")
-    partly = found.where("doc_id = low and kinds > 1").groupBy(*_KEYS).agg(F.collect_list(F.struct("first", "last")).alias("ranges"))
-    open_docs = rows.join(partly, "doc_id").select("doc_id", "text", "text_hash", "ranges")
-    windows = keep(open_docs.mapInArrow(_own_text(_find_windows(span)), "h1 bigint, h2 bigint, doc_id bigint, text_hash bigint, at bigint"), "windows")
+    partly = found.where("doc_id = low and kinds > 1").groupBy(*_KEYS).agg(F.collect_list(F.struct("anchor", "lead", "kinds", "first", "last", "place")).alias("seeds"))
+    open_docs = rows.join(partly, "doc_id").select("doc_id", "text", "text_hash", "seeds")
+    kind = "anchor bigint, lead boolean, kinds bigint, doc_id bigint, text_hash bigint, first bigint, last bigint, place bigint, around binary"
+    around = keep(open_docs.mapInArrow(_own_text(_find_surroundings(span, gram)), kind), "surroundings")
+    # an anchor of many kinds meets its leader in as many shares as they fill
+    shares = F.ceil(F.col("kinds") / SHARE)
+    leaders = around.where("lead").groupBy("anchor").agg(F.min(F.struct("doc_id", "around", "first", "place")).alias("l"), F.max("kinds").alias("kinds"))
+    leaders = leaders.select("anchor", F.explode(F.sequence(F.lit(0).cast("bigint"), shares - 1)).alias("share"), F.col("l.doc_id").alias("low"), (F.col("l.place") - F.col("l.first")).alias("at"), F.col("l.around").alias("other"))
+    others = around.where("not lead").withColumn("share", F.pmod(F.xxhash64("doc_id", "first"), shares))
+    pairs = others.join(leaders, ["anchor", "share"]).select(*_KEYS, "first", "last", "place", "around", "low", "at", "other")
+    extended = keep(pairs.mapInArrow(_extend(span, gram), "h1 bigint, h2 bigint, doc_id bigint, text_hash bigint, first bigint, last bigint, low bigint"), "extended")
+    matches = extended.where("h1 is null and low < doc_id").select(*_KEYS, "first", "last")
+    windows = extended.where("h1 is not null").drop("low")
     lows = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
-    single = windows.join(lows, ["h1", "h2"]).where("doc_id > low").select(*_KEYS, F.col("at").alias("first"), F.col("at").alias("last"))
-    return whole.unionByName(single)
+    single = windows.join(lows, ["h1", "h2"]).where("doc_id > low").select(*_KEYS, "first", "last")
+    return whole.unionByName(matches).unionByName(single)
 
 
 def _own_text(inner):

@@ -4,10 +4,11 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tidelog.functions import keys
+from tidelog.functions import keys, media
 from tidelog.functions import text as tx
 from tidelog.functions import time as tm
 from tidelog.operators import bundle, changes, graph, intervals, log, merge
+from tidelog.sources.snapshot import scan_snapshot
 
 
 def one(spark, column):
@@ -248,3 +249,47 @@ def test_hosts_merge_in_order_and_failures_stay_apart(spark):
     with pytest.raises(merge.HostFailures) as e:
         merge.merge_hosts(own, {"z": later, "a": state("f"), "c": state("k", ("x", "1", graph.FRESH, "2"))}, 2)
     assert sorted(e.value.failures) == ["a", "c"] and e.value.state.nodes.where("freshness <> 'up-to-date'").count() == 1
+
+
+def test_wav_files_are_parsed_by_chunks(spark):
+    header = media.wav_header(4, 8000, 2, 16)
+    other = b"LIST" + (3).to_bytes(4, "little") + b"abc\0"
+    files = [header + b"wxyz", header[:12] + other + header[12:] + b"wxyz", media.wav_header(4, 8000, 2, 24) + b"wxyz", header[:20] + b"\3\0" + header[22:] + b"wxyz", header[:36], b"RIFF", b"", None]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(files)], "n int, wav binary")
+    found = [r.p for r in df.select("n", media.parse_wav(F.col("wav")).alias("p")).orderBy("n").collect()]
+    assert all((bytes(p.pcm), p.sample_rate, p.channels, p.bit_depth) == (b"wxyz", 8000, 2, 16) for p in found[:2])
+    assert found[2:] == [None] * 6
+    assert df.limit(0).select(media.parse_wav(F.col("wav")).alias("p")).count() == 0
+
+
+def test_faults_of_chunks(spark):
+    schema = "session_id int, sequence int, start_ms double, end_ms double, pcm binary, sample_rate int, channels int, bit_depth int"
+    good = (1, 0, 0.0, 0.0, b"", 1, 1, 16)
+    bad = [(1, -1, *good[2:]), (1, None, *good[2:]), (*good[:3], None, *good[4:]), (*good[:4], None, *good[5:]), (*good[:4], b"abc", *good[5:]), (*good[:6], 0, 8)]
+    df = spark.createDataFrame([good, *bad], schema)
+    assert [r.f for r in df.select(media.chunk_fault(df).alias("f")).collect()] == [None, "sequence", "sequence", "end_ms", "pcm", "frames", "channels"]
+    assert [r.session_id for r in media.mixed_sessions(df).collect()] == [1]
+
+
+def test_questions_are_fetched_once(spark):
+    asked = spark.createDataFrame([("a", 1, "q1"), ("a", 3, "q3"), ("a", 3, "q3"), ("a", 9, "q9"), ("b", 1, None)], "session_id string, at int, text string")
+    fetches = spark.createDataFrame([("a", 3), ("a", 5), ("a", 0), ("c", 2)], "session_id string, at int")
+    found = sorted((r.session_id, r.at, r.fetched_at) for r in intervals.questions_fetched(asked, fetches).collect())
+    assert found == [("a", 1, 3), ("a", 3, 3), ("a", 3, 3), ("a", 9, None), ("b", 1, None)]
+
+
+def test_snapshots_are_scanned(spark, tmp_path):
+    names = {"_meta/current": '"x"', "x/values/%00": "{}", "x/values/a%2Fb c+d%25": "[1,\n2]", "y/inputs/é%21": "null"}
+    for name, text in names.items():
+        file = tmp_path / "snap (1)" / name
+        file.parent.mkdir(parents=True, exist_ok=True)
+        file.write_text(text)
+    folder = str(tmp_path / "snap (1)")
+    found = {(r.sublevel, r.key): r.value for top in ("_meta", "x", "y") for r in scan_snapshot(spark, folder, top).collect()}
+    assert found == {("_meta", "current"): '"x"', ("x/values", ""): "{}", ("x/values", "a/b c+d%"): "[1,\n2]", ("y/inputs", "é!"): "null"}
+    (tmp_path / "snap (1)" / "x" / "stray").write_text("1")
+    assert scan_snapshot(spark, folder, "x", strict=False).count() == 2
+    with pytest.raises(Exception, match="not a path of a key"):
+        scan_snapshot(spark, folder, "x").collect()
+    with pytest.raises(Exception, match="(?i)path"):
+        scan_snapshot(spark, folder, "z").collect()

@@ -122,3 +122,13 @@ def bytes_aligned(ms: Column, sample_rate: int = 16_000, channels: int = 1, bit_
     frame = channels * bit_depth // 8
     frames = ms * sample_rate / 1000
     return ((F.ceil(frames) if up else F.floor(frames)) * frame).cast("bigint")
+
+
+def questions_fetched(asked: DataFrame, fetches: DataFrame) -> DataFrame:
+    """Each question (``session_id``, ``at``, ``text``) with ``fetched_at``, the session's first fetch at or after it; null while it is pending.
+
+    A fetch takes all pending questions of its session and leaves none, so every question is in one fetch.
+    """
+    both = asked.select("session_id", "at", "text", F.lit(0).alias("_fetch")).unionByName(fetches.select("session_id", "at", F.lit(None).cast("string").alias("text"), F.lit(1).alias("_fetch")))
+    later = Window.partitionBy("session_id").orderBy(F.desc("at"), F.desc("_fetch")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return both.withColumn("fetched_at", F.last(F.when(F.col("_fetch") == 1, F.col("at")), ignorenulls=True).over(later)).where("_fetch = 0").drop("_fetch")

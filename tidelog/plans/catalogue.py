@@ -770,6 +770,140 @@ def url_arguments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", F.array_join(keys.url_arguments(path), ",").alias("args"))
 
 
+# --- files of entries, and streams' helpers -----------------------------------------------------------
+
+_MEDIA = """, files as (select id, seq, substr(date, 1, 7) || '/' || substr(date, 9, 2) || '/' || id || '/' || name as path, name,
+ case when seq % 3 = 0 then ' ' else 'said ' || name end as text from (select *, unnest(case when seq % 8 = 0 then ['voice.mp3', 'another.wav'] when seq % 4 = 0 then ['voice.mp3']
+ when seq % 4 = 1 then ['photo.png'] when seq % 4 = 2 then ['Diary-Audio.webm'] else [] end) as name from log)), audio as (select * from files where name <> 'photo.png')
+"""
+
+
+def _entry_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of entries, two, one or none, with transcriptions, some of them blank."""
+    named = lambda *names: F.array(*[F.lit(n) for n in names])
+    seq = F.col("seq")
+    names = F.when(seq % 8 == 0, named("voice.mp3", "another.wav")).when(seq % 4 == 0, named("voice.mp3")).when(seq % 4 == 1, named("photo.png")).when(seq % 4 == 2, named("Diary-Audio.webm"))
+    own = raw_log(spark, sf_dir).select("id", "seq", "date", F.explode(names).alias("name"))
+    path = F.concat(tm.asset_directory(F.col("date"), F.col("id")), F.lit("/"), "name")
+    return own.select("id", "seq", path.alias("path"), "name", F.when(seq % 3 == 0, " ").otherwise(F.concat(F.lit("said "), "name")).alias("text"))
+
+
+@query(with_sql("log", f"{_MEDIA} select log.id, coalesce(string_agg(path, ',' order by path), '') as paths from log left join audio on log.id = audio.id group by log.id"))
+def audio_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.audio_lists(raw_log(spark, sf_dir), _entry_files(spark, sf_dir)).select("id", F.array_join("paths", ",").alias("paths"))
+
+
+@query(with_sql("log", f"{_MEDIA} select log.id, description || coalesce(string_agg(chr(10) || text, '' order by path) filter (where text <> ' '), '') as content from log left join audio on log.id = audio.id group by log.id, description"))
+def diary_content(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own, files = event_log(spark, sf_dir), _entry_files(spark, sf_dir)
+    return media.diary_content(own.select("id", F.col("description").alias("entry_description")), media.audio_lists(own, files), files)
+
+
+@query(with_sql("log", f"{_MEDIA} select log.id, count(path) = 0 or bool_or(log.seq % 5 <> 0) as is_transcribed from log left join audio on log.id = audio.id group by log.id"))
+def is_transcribed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = _entry_files(spark, sf_dir)
+    return media.transcribed(media.audio_lists(raw_log(spark, sf_dir), files), files.where("seq % 5 <> 0"))
+
+
+@query(
+    with_sql(
+        "log",
+        f"""{_MEDIA} select case when seq % 7 = 1 then 'x' else '' end || id as id, text, case when seq % 7 = 0 then 'not the event''s file' when seq % 7 = 1 then 'no such event' end as error from files""",
+    )
+)
+def event_transcriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every seventh path is in another month, the next in the directory of an unknown entry."""
+    files = _entry_files(spark, sf_dir)
+    path = F.when(F.col("seq") % 7 == 0, F.concat(F.lit("1999-01/01/"), "id", F.lit("/"), "name")).when(F.col("seq") % 7 == 1, F.concat(F.lit("2024-01/01/x"), "id", F.lit("/"), "name")).otherwise(F.col("path"))
+    return media.event_transcriptions(raw_log(spark, sf_dir), files.select(path.alias("path"), "text")).select("id", "text", "error")
+
+
+@query("select user_id as session_id, string_agg(lpad(printf('%X', event_id % 65536), 4, '0'), '' order by event_id) as pcm, 8000 as sample_rate, 1 as channels, 16 as bit_depth, 44 + 2 * count(*) as n_bytes from events group by user_id")
+def wav_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A user's events as chunks of one sample, assembled into a file and parsed again."""
+    sample = F.unhex(F.lpad(F.hex(F.col("event_id") % 65536), 4, "0"))
+    chunks = table(spark, sf_dir, "events").select(F.col("user_id").alias("session_id"), F.col("event_id").alias("sequence"), sample.alias("pcm"))
+    told = media.assemble_wav(chunks, 8000).withColumn("w", media.parse_wav(F.col("wav")))
+    return told.select("session_id", F.hex("w.pcm").alias("pcm"), "w.sample_rate", "w.channels", "w.bit_depth", F.length("wav").alias("n_bytes"))
+
+
+@query(
+    """select event_id, case event_id % 9 when 0 then 'sequence' when 1 then 'start_ms' when 2 then 'end_ms' when 3 then 'pcm' when 4 then 'sample_rate' when 5 then 'channels'
+ when 6 then 'bit_depth' when 7 then 'frames' end as fault from events"""
+)
+def chunk_fault(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").withColumn("k", F.col("event_id") % 9)
+    at = F.unix_millis(F.col("ts").cast("timestamp"))
+    k = lambda n, bad, good: F.when(F.col("k") == n, bad).otherwise(good)
+    pcm = F.when(F.col("k") == 7, F.unhex(F.lit("000102"))).when(F.col("k") != 3, F.unhex(F.lit("00010203")))
+    chunks = e.select(
+        "event_id",
+        k(0, 1_000_000, F.col("event_id") % 1_000_000).alias("sequence"),
+        k(1, F.lit(-1), at).alias("start_ms"),
+        k(2, at - 1, at).alias("end_ms"),
+        pcm.alias("pcm"),
+        k(4, 0, 16_000).alias("sample_rate"),
+        k(5, None, 2).cast("int").alias("channels"),
+        k(6, 24, 16).alias("bit_depth"),
+    )
+    return chunks.select("event_id", media.chunk_fault(chunks).alias("fault"))
+
+
+@query("select user_id as session_id from events group by user_id having count(distinct user_id % 2 = 0 and event_id % 20 = 0) > 1")
+def mixed_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rate = F.when((F.col("user_id") % 2 == 0) & (F.col("event_id") % 20 == 0), 8000).otherwise(16_000)
+    return media.mixed_sessions(table(spark, sf_dir, "events").select(F.col("user_id").alias("session_id"), rate.alias("sample_rate"), F.lit(1).alias("channels"), F.lit(16).alias("bit_depth")))
+
+
+@query(
+    """select q.conv_id as session_id, q.turn as at, q.text, min(f.turn) as fetched_at from conversations q
+ left join conversations f on f.conv_id = q.conv_id and f.turn % 3 = 2 and f.turn >= q.turn where q.turn % 3 <> 2 group by q.conv_id, q.turn, q.text"""
+)
+def questions_fetched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every third turn fetches what the turns before it asked."""
+    c = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("session_id"), F.col("turn").alias("at"), "text")
+    return intervals.questions_fetched(c.where("at % 3 <> 2"), c.where("at % 3 = 2"))
+
+
+@query(
+    with_sql(
+        "log",
+        """, kept as (select id, seq from log where seq % 10 <> 0 and seq % 6 <> 1), fresh as (select 'n' || id as id, seq + 1 as seq from log where seq % 10 = 0 and seq % 20 <> 0)
+ select id, seq from kept union all select id, seq + (select coalesce(max(seq), 0) from kept) from fresh""",
+    )
+)
+def apply_transaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries staged and taken back, and deletions, in one transaction."""
+    own = raw_log(spark, sf_dir).select("id", "seq")
+    adds = own.where("seq % 10 = 0").select(F.concat(F.lit("n"), "id").alias("id"), (F.col("seq") + 1).alias("seq"))
+    deletes = own.where("seq % 10 <> 0 and seq % 6 = 1").select("id").unionByName(own.where("seq % 20 = 0").select(F.concat(F.lit("n"), "id").alias("id")))
+    return log.apply_transaction(own.where("seq % 10 <> 0"), adds, deletes)
+
+
+@query("select user_id, event_type, count(*) as n from events group by all having count(*) > 1")
+def duplicate_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return log.duplicate_keys(table(spark, sf_dir, "events"), "user_id", "event_type")
+
+
+@query(
+    with_sql(
+        "log",
+        """select id, case seq % 8 when 0 then 'missing field: input' when 1 then 'missing field: creator.uuid' when 2 then 'unrecognized field' when 3 then 'invalid field: date'
+ when 4 then 'not an object' when 5 then 'invalid field: creator' end as error, seq % 8 > 5 as valid from log""",
+    )
+)
+def entry_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Serialised entries, six of eight with a fault."""
+    k = F.col("seq") % 8
+    uuid = F.when(k != 1, F.col("id"))
+    creator = F.struct(F.lit("c").alias("name"), uuid.alias("uuid"), F.lit("1").alias("version"))
+    fields = ["id", F.when(k == 3, "yesterday").otherwise(F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z"))).alias("date"), "original", F.when(k != 0, F.col("input")).alias("input")]
+    whole = F.to_json(F.struct(*fields, creator.alias("creator"), F.when(k == 2, "x").alias("more")))
+    flat = F.to_json(F.struct(*fields, F.lit("c").alias("creator")))
+    json = F.when(k == 4, "[1]").when(k == 5, flat).otherwise(whole)
+    return log.validity(raw_log(spark, sf_dir).withColumn("json", json)).select("id", "error", "valid")
+
+
 # --- not to be had in SQL ----------------------------------------------------------------------------
 
 

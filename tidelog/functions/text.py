@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -72,6 +72,23 @@ def parse_error(text: Column) -> Column:
     return _error(_head(text), description(text))
 
 
+def _bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f(value)`` with ``value`` worked out once, also where a filter on the result is pushed below it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
+def _core(text: Column) -> Column:
+    """``error``, ``head``, ``type`` and ``description`` of an entry as a struct; the last two are null with an error."""
+
+    def told(head: Column, rest: Column, error: Column) -> Column:
+        return F.struct(error.alias("error"), head.alias("head"), F.when(error.isNull(), entry_type(head)).alias("type"), F.when(error.isNull(), rest).alias("description"))
+
+    def split(t: Column) -> Column:
+        return _bound(_head(t), lambda head: _bound(_description(t, head), lambda rest: _bound(_error(head, rest), lambda error: told(head, rest, error))))
+
+    return _bound(text, split)
+
+
 def parsed(log: DataFrame, column: str = "input", mode: str = "PERMISSIVE") -> DataFrame:
     """Add ``type``, ``description``, ``modifiers``, ``hashtags``, ``parse_error``.
 
@@ -80,16 +97,14 @@ def parsed(log: DataFrame, column: str = "input", mode: str = "PERMISSIVE") -> D
     """
     if mode not in ("PERMISSIVE", "FAILFAST"):
         raise ValueError(f"unknown mode: {mode}")
-    # the nested pattern is matched once a row; what it found is used several times
-    text, head, rest, good = F.col(column), F.col("_tl_head"), F.col("_tl_rest"), F.col("parse_error").isNull()
-    rows = log.withColumn("_tl_head", _head(text)).withColumn("_tl_rest", _description(text, head))
-    error = _error(head, rest)
+    text, core = F.col(column), F.col("_tl_core")
+    error = core["error"]
     if mode == "FAILFAST":
         error = F.when(error.isNotNull(), F.raise_error(F.concat(F.lit("malformed entry: "), error))).cast("string")
     return (
-        rows.withColumn("parse_error", error)
-        .withColumns({"type": F.when(good, entry_type(head)), "description": F.when(good, rest), "modifiers": F.when(good, _modifiers(head)), "hashtags": hashtags(text)})
-        .drop("_tl_head", "_tl_rest")
+        log.withColumn("_tl_core", _core(text))
+        .withColumns({"parse_error": error, "type": core["type"], "description": core["description"], "modifiers": F.when(core["error"].isNull(), _modifiers(core["head"])), "hashtags": hashtags(text)})
+        .drop("_tl_core")
     )
 
 

@@ -61,6 +61,30 @@ def test_context_sizes_agree_with_contexts(spark):
     assert counted == listed and len(counted) == 120
 
 
+def exchanged(df):
+    """Rows that the shuffles of a run of ``df`` take in."""
+    df.collect()
+    rows, todo = 0, [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        p = todo.pop()
+        name = p.nodeName()
+        if name == "Exchange":
+            rows += p.metrics().apply("shuffleRecordsWritten").value()
+        inner = [p.executedPlan()] if name == "AdaptiveSparkPlan" else [p.plan()] if name.endswith("QueryStage") else []
+        todo += inner or [p.children().apply(i) for i in range(p.children().size())]
+    return rows
+
+
+def test_contexts_are_found_without_shuffling_pairs(spark, monkeypatch):
+    monkeypatch.setattr(log, "LOT_ROWS", 100)
+    rows = [(str(i), i, "text", f"2024-01-01T00:00:{i % 60:02d}+0000", "text", ["all", f"t{i % 3}", f"u{i % 50}"][i % 2 :]) for i in range(400)]
+    own = spark.createDataFrame(rows, "id string, seq bigint, type string, date string, input string, hashtags array<string>")
+    found = log.event_context(own)
+    pairs = log.context_pairs(own).groupBy("e_id").agg(F.array_sort(F.collect_list(F.struct("o_seq", "o_id"))).alias("c"))
+    assert {r.e_id: r.context for r in found.collect()} == {r.e_id: [x.o_id for x in r.c] for r in pairs.collect()}
+    assert exchanged(pairs) > 20_000 and exchanged(found) < 8_000
+
+
 def test_replay_of_repeated_lives(spark):
     rows = [(0, "a", "add"), (1, "a", "delete"), (2, "a", "add"), (3, "a", "add"), (4, "b", "add"), (5, "b", "edit"), (6, "c", "add"), (7, "c", "delete"), (8, "d", "edit"), (9, "e", "add"), (10, "e", "delete"), (11, "e", "edit")]
     own = spark.createDataFrame([(*r, "x") for r in rows], "change_seq bigint, id string, action string, event string")

@@ -85,6 +85,16 @@ def test_contexts_are_found_without_shuffling_pairs(spark, monkeypatch):
     assert exchanged(pairs) > 20_000 and exchanged(found) < 8_000
 
 
+def test_bundles_take_contexts_along(spark):
+    own = entries(spark, "food a #x #y", "text b #x", "photo #y", "food c")
+    none = spark.createDataFrame([], "id string, value string, error string, path string, text string")
+    asked = spark.createDataFrame([("0",), ("3",), ("9",)], "id string")
+    found = bundle.entry_bundle(own, asked, none, none, lambda rows: bundle.add_details(rows, own, told=("date",)))
+    listed = {r.id: r.basic_context and [(e.id, e.date) for e in r.basic_context] for r in found.collect()}
+    day = "2024-01-01T00:00:00+0000"
+    assert listed == {"0": [("0", day), ("1", day), ("2", day)], "3": [("3", day)], "9": None}
+
+
 def test_replay_of_repeated_lives(spark):
     rows = [(0, "a", "add"), (1, "a", "delete"), (2, "a", "add"), (3, "a", "add"), (4, "b", "add"), (5, "b", "edit"), (6, "c", "add"), (7, "c", "delete"), (8, "d", "edit"), (9, "e", "add"), (10, "e", "delete"), (11, "e", "edit")]
     own = spark.createDataFrame([(*r, "x") for r in rows], "change_seq bigint, id string, action string, event string")

@@ -327,3 +327,45 @@ def test_snapshots_are_scanned(spark, tmp_path):
         scan_snapshot(spark, folder, "x").collect()
     with pytest.raises(Exception, match="(?i)path"):
         scan_snapshot(spark, folder, "z").collect()
+
+
+def most_read(spark, run):
+    """The most rows that a task read from shuffles while ``run`` ran."""
+    sc, group = spark.sparkContext, f"read-{random.random()}"
+    held = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "8"}
+    before = {k: spark.conf.get(k, None) for k in held}
+    for k, v in held.items():
+        spark.conf.set(k, v)
+    sc.setJobGroup(group, "")
+    try:
+        run()
+    finally:
+        sc._jsc.clearJobGroup()
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    store, tracker, most = sc._jsc.sc().statusStore(), sc.statusTracker(), 0
+    for stage in {x for j in tracker.getJobIdsForGroup(group) for x in tracker.getJobInfo(j).stageIds}:
+        tasks = store.taskList(stage, 0, 1000)
+        most = max([most, *(tasks.apply(i).taskMetrics().get().shuffleReadMetrics().recordsRead() for i in range(tasks.size()))])
+    return most
+
+
+@pytest.fixture
+def star(spark, monkeypatch):
+    """Nodes, edges and proofs of 2,000 events under one input, of which keys of 500 rows are frequent."""
+    from tidelog.sources import shared
+
+    monkeypatch.setattr(shared, "FREQUENT", 500, raising=False)
+    ids = spark.range(2000).select(F.concat(F.lit("v-"), "id").alias("id"), F.lit("event").alias("head"), F.to_json(F.array(F.col("id").cast("string"))).alias("args"))
+    both = ids.unionByName(spark.range(1).select(F.lit("a-0").alias("id"), F.lit("all_events").alias("head"), F.lit("[]").alias("args")))
+    nodes = both.withColumns({"key": graph.node_key(F.col("head"), F.col("args")), "freshness": F.lit(graph.FRESH), "created_at": F.lit("2024-01-01"), "modified_at": F.lit("2024-01-01")})
+    edges = ids.select("id", F.lit("a-0").alias("input_id"))
+    return nodes, edges, edges.select(F.col("input_id").alias("dep_id"), F.col("id").alias("dependent_id"))
+
+
+def test_edges_to_one_input_are_derived_by_many_tasks(spark, star):
+    nodes, edges, _ = star
+    derived = lambda: graph.derive_edges(nodes, graph.scheme_table(spark, graph.default_families()))
+    assert {(r.id, r.input_id, r.pos) for r in derived().collect()} == {(r.id, r.input_id, 0) for r in edges.collect()}
+    assert most_read(spark, lambda: derived().collect()) < 1500

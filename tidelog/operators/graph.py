@@ -9,11 +9,12 @@ All are DataFrames of any size; only schema templates are small.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidelog.sources.shared import settle
+from tidelog.sources.shared import meeting, settle
 
 FRESH, STALE = "up-to-date", "potentially-outdated"
 
@@ -135,8 +136,9 @@ def derive_edges(nodes: DataFrame, scheme: DataFrame) -> DataFrame:
     wanted = nodes.select("id", "head", args.alias("_args")).join(F.broadcast(scheme), "head")
     own = F.transform("arg_index", lambda i: F.get(F.col("_args"), i))
     keys = wanted.select("id", "pos", F.col("input_head"), F.to_json(own).alias("input_args")).withColumn("key", node_key(F.col("input_head"), F.col("input_args")))
-    found = keys.join(nodes.select("key", F.col("id").alias("input_id")), "key", "left")
-    return found.groupBy("id", "key").agg(F.min("pos").alias("pos"), F.first("input_id").alias("input_id")).select("id", "input_id", "pos", "key")
+    first = settle(keys.groupBy("id", "key").agg(F.min("pos").alias("pos")), "wanted")
+    found = meeting(first, "key")(nodes.groupBy("key").agg(F.min("id").alias("input_id")), "left")
+    return settle(found.select("id", "input_id", "pos", "key"), "edges")
 
 
 def closure(start: DataFrame, steps: DataFrame, depth: int | None = None) -> DataFrame:

@@ -369,3 +369,10 @@ def test_edges_to_one_input_are_derived_by_many_tasks(spark, star):
     derived = lambda: graph.derive_edges(nodes, graph.scheme_table(spark, graph.default_families()))
     assert {(r.id, r.input_id, r.pos) for r in derived().collect()} == {(r.id, r.input_id, 0) for r in edges.collect()}
     assert most_read(spark, lambda: derived().collect()) < 1500
+
+
+def test_cache_predicate_of_one_input_is_found_by_many_tasks(spark, star):
+    nodes, _, valid = star
+    usable = lambda: graph.cache_usable(nodes, graph.derive_edges(nodes, graph.scheme_table(spark, graph.default_families())).select("id", "input_id", "pos"), valid)
+    assert usable().where("usable").count() == 2000
+    assert most_read(spark, lambda: usable().collect()) < 1500

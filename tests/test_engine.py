@@ -376,3 +376,11 @@ def test_cache_predicate_of_one_input_is_found_by_many_tasks(spark, star):
     usable = lambda: graph.cache_usable(nodes, graph.derive_edges(nodes, graph.scheme_table(spark, graph.default_families())).select("id", "input_id", "pos"), valid)
     assert usable().where("usable").count() == 2000
     assert most_read(spark, lambda: usable().collect()) < 1500
+
+
+def test_invariants_of_one_input_are_checked_by_many_tasks(spark, star):
+    nodes, edges, valid = star
+    assert graph.violations(nodes, valid, edges).isEmpty()
+    assert most_read(spark, lambda: graph.violations(nodes, valid, edges).collect()) < 1500
+    stale = nodes.withColumn("freshness", F.when(F.col("id") == "a-0", graph.STALE).otherwise(F.col("freshness")))
+    assert graph.violations(stale, valid, edges).groupBy("rule").count().collect() == [("fresh on stale input", 2000)]

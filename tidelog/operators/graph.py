@@ -310,15 +310,17 @@ def violations(nodes: DataFrame, valid: DataFrame, edges: DataFrame) -> DataFram
     """
     rule = lambda df, name: df.select(F.lit(name).alias("rule"), F.col("id").cast("string").alias("id"))
     fresh = nodes.where(F.col("freshness") == FRESH).select("id")
+    edges = settle(edges.select("id", "input_id"), "edges")
     ends = valid.select(F.col("dependent_id").alias("id"), F.col("dep_id").alias("input_id"))
+    own = settle(edges.join(fresh, "id", "left_semi"), "fresh")
     return (
         rule(nodes.groupBy("id").count().where("count > 1"), "duplicate id")
         .unionByName(rule(nodes.groupBy("key").agg(F.min("id").alias("id"), F.count("*").alias("n")).where("n > 1"), "duplicate key"))
         .unionByName(rule(nodes.where("created_at is null or modified_at is null or created_at > modified_at"), "times"))
         .unionByName(rule(edges.where("input_id is null"), "missing input"))
         .unionByName(rule(ends.join(edges, ["id", "input_id"], "left_anti"), "proof without edge"))
-        .unionByName(rule(edges.join(fresh, "id", "left_semi").join(fresh.select(F.col("id").alias("input_id")), "input_id", "left_anti"), "fresh on stale input"))
-        .unionByName(rule(edges.join(fresh, "id", "left_semi").join(ends, ["id", "input_id"], "left_anti"), "fresh without proof"))
+        .unionByName(rule(meeting(own, "input_id")(fresh.select(F.col("id").alias("input_id")), "left_anti"), "fresh on stale input"))
+        .unionByName(rule(own.join(ends, ["id", "input_id"], "left_anti"), "fresh without proof"))
     )
 
 

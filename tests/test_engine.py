@@ -384,3 +384,11 @@ def test_invariants_of_one_input_are_checked_by_many_tasks(spark, star):
     assert most_read(spark, lambda: graph.violations(nodes, valid, edges).collect()) < 1500
     stale = nodes.withColumn("freshness", F.when(F.col("id") == "a-0", graph.STALE).otherwise(F.col("freshness")))
     assert graph.violations(stale, valid, edges).groupBy("rule").count().collect() == [("fresh on stale input", 2000)]
+
+
+def test_proofs_of_one_input_are_followed_by_many_tasks(spark, star):
+    nodes, _, valid = star
+    few = nodes.where("id in ('v-1', 'v-2')").select("id")
+    assert graph.stale_closure(valid, few).count() == 2
+    assert graph.stale_closure(valid, nodes.where("id = 'a-0'").select("id")).count() == 2001
+    assert most_read(spark, lambda: graph.stale_closure(valid, few).collect()) < 1500

@@ -150,10 +150,10 @@ def closure(start: DataFrame, steps: DataFrame, depth: int | None = None) -> Dat
     reached becomes one table, so that plans do not grow with the steps.
     """
     reached = settle(start.select("id").distinct(), "reached")
-    steps = settle(steps.select("from_id", F.col("to_id").alias("id")), "steps")
+    meet = meeting(settle(steps.select("from_id", "to_id"), "steps"), "from_id")
     front, taken = reached, 0
     while True:
-        found = front.join(steps, front.id == steps.from_id).select(steps.id).distinct()
+        found = meet(front.select(F.col("id").alias("from_id"))).select(F.col("to_id").alias("id")).distinct()
         front = settle(found.join(reached, "id", "left_anti"), "front")
         if front.isEmpty():
             return reached

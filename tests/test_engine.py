@@ -392,3 +392,14 @@ def test_proofs_of_one_input_are_followed_by_many_tasks(spark, star):
     assert graph.stale_closure(valid, few).count() == 2
     assert graph.stale_closure(valid, nodes.where("id = 'a-0'").select("id")).count() == 2001
     assert most_read(spark, lambda: graph.stale_closure(valid, few).collect()) < 1500
+
+
+def test_levels_under_one_input_are_found_by_many_tasks(spark, star):
+    nodes, edges, _ = star
+    deep = edges.unionByName(spark.createDataFrame([("v-2", "v-1"), ("v-3", "v-2"), ("v-3", "v-1"), ("v-4", "gone"), ("v-5", None)], "id string, input_id string"))
+    found = {r.id: r.level for r in graph.topological_levels(deep, nodes, 3).collect()}
+    assert len(found) == 2001 and (found["a-0"], found["v-1"], found["v-2"], found["v-3"], found["v-4"]) == (0, 1, 2, 3, 1)
+    for more, depth in (([], 2), ([("v-1", "v-3")], 9), ([("a-0", "a-0")], 9)):
+        with pytest.raises(graph.CyclicGraph):
+            graph.topological_levels(deep.unionByName(spark.createDataFrame(more, "id string, input_id string")), nodes, depth)
+    assert most_read(spark, lambda: graph.topological_levels(deep, nodes, 3).collect()) < 1500

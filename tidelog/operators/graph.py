@@ -212,17 +212,22 @@ def commit_computed(nodes: DataFrame, edges: DataFrame, valid: DataFrame, comput
 
 
 def topological_levels(edges: DataFrame, nodes: DataFrame, depth: int) -> DataFrame:
-    """``id`` and ``level``: the longest way from a node without inputs. Edges to absent nodes are ignored; raises ``CyclicGraph`` beyond ``depth``."""
-    there = nodes.select("id").distinct()
-    own = edges.where("input_id is not null").join(there.select(F.col("id").alias("input_id")), "input_id", "left_semi").join(there, "id", "left_semi").select("id", "input_id").distinct()
-    level = there.withColumn("level", F.lit(0))
-    for _ in range(depth):
-        up = own.join(level.select(F.col("id").alias("input_id"), F.col("level").alias("_in")), "input_id").groupBy("id").agg((F.max("_in") + 1).alias("_up"))
-        level = level.join(up, "id", "left").select("id", F.coalesce("_up", F.lit(0)).alias("level"))
-    above = own.join(level.select(F.col("id").alias("input_id"), F.col("level").alias("_in")), "input_id").join(level, "id").where("level <= _in")
-    if not above.isEmpty():
-        raise CyclicGraph(f"no topological order within {depth} levels")
-    return level
+    """``id`` and ``level``: the longest way from a node without inputs. Edges to absent nodes are ignored; raises ``CyclicGraph`` beyond ``depth``.
+
+    Each round takes off the nodes that have no input left and writes the others, so plans do not grow with the rounds.
+    """
+    there = settle(nodes.select("id").distinct(), "there")
+    inputs = meeting(settle(edges.where("input_id is not null").select("id", "input_id"), "inputs"), "input_id")
+    own = inputs(there.select(F.col("id").alias("input_id")), "left_semi").join(there, "id", "left_semi").distinct()
+    meet = meeting(settle(own, "own"), "input_id")
+    left, out = there, []
+    for level in range(depth + 1):
+        blocked = settle(meet(left.select(F.col("id").alias("input_id")), "left_semi").select("id").distinct(), "blocked")
+        out.append(left.join(blocked, "id", "left_anti").withColumn("level", F.lit(level)))
+        if blocked.isEmpty():
+            return reduce(DataFrame.unionByName, out)
+        left = blocked
+    raise CyclicGraph(f"no topological order within {depth} levels")
 
 
 def pull_many(by_head: dict[str, Family], head: str, wanted: DataFrame, nodes: DataFrame) -> list[tuple[str, DataFrame]]:

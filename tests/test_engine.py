@@ -403,3 +403,35 @@ def test_levels_under_one_input_are_found_by_many_tasks(spark, star):
         with pytest.raises(graph.CyclicGraph):
             graph.topological_levels(deep.unionByName(spark.createDataFrame(more, "id string, input_id string")), nodes, depth)
     assert most_read(spark, lambda: graph.topological_levels(deep, nodes, 3).collect()) < 1500
+
+
+def test_tasks_of_the_cache_predicate_stay_small(spark, monkeypatch):
+    from tidelog.sources import shared
+
+    monkeypatch.setattr(shared, "FREQUENT", 500, raising=False)
+    monkeypatch.setattr(shared, "TASK_ROWS", 200, raising=False)
+    own = spark.range(6000).select(F.concat(F.lit("v-"), "id").alias("id"), F.lit("event").alias("head"), F.to_json(F.array(F.col("id").cast("string"))).alias("args"))
+    both = own.unionByName(spark.range(1).select(F.lit("a-0").alias("id"), F.lit("all_events").alias("head"), F.lit("[]").alias("args")))
+    nodes = both.withColumn("key", graph.node_key(F.col("head"), F.col("args")))
+    edges = own.select("id", F.lit("a-0").alias("input_id"))
+    proofs = edges.where("id not like '%7'").unionByName(edges.where("id like '%1'")).select(F.col("input_id").alias("dep_id"), F.col("id").alias("dependent_id"))
+
+    def usable():
+        derived = graph.derive_edges(nodes, graph.scheme_table(spark, graph.default_families())).select("id", "input_id", "pos")
+        return graph.cache_usable(nodes, derived.unionByName(spark.createDataFrame([("v-1", "gone", 1), ("v-2", None, 1)], derived.schema)), proofs)
+
+    found = {r.id: r.usable for r in usable().collect()}
+    assert len(found) == 6001 and {i for i, u in found.items() if not u} == {"a-0", "v-1", "v-2"} | {f"v-{i}" for i in range(7, 6000, 10)}
+    assert most_read(spark, lambda: usable().collect()) < 800
+
+
+def test_frequent_keys_are_found_among_keys_of_their_bucket(spark, monkeypatch):
+    from tidelog.sources import shared
+
+    monkeypatch.setattr(shared, "FREQUENT", 50)
+    monkeypatch.setattr(shared, "BUCKETS", 2, raising=False)
+    many = shared.settle(spark.range(300).select(F.when(F.col("id") < 100, "a").when(F.col("id") < 150, "b").when(F.col("id") < 290, F.col("id").cast("string")).alias("k"), "id"))
+    few = spark.createDataFrame([("a", 1), ("b", 2), ("200", 3)], "k string, x int")
+    for how in ("inner", "left", "left_semi", "left_anti"):
+        rows = lambda df: sorted(map(str, df.collect()))
+        assert rows(shared.meeting(many, "k")(few, how)) == rows(many.join(few, "k", how))

@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidelog.sources.shared import meeting, settle
+from tidelog.sources.shared import dealing, meeting, settle
 
 FRESH, STALE = "up-to-date", "potentially-outdated"
 
@@ -136,8 +136,9 @@ def derive_edges(nodes: DataFrame, scheme: DataFrame) -> DataFrame:
     wanted = nodes.select("id", "head", args.alias("_args")).join(F.broadcast(scheme), "head")
     own = F.transform("arg_index", lambda i: F.get(F.col("_args"), i))
     keys = wanted.select("id", "pos", F.col("input_head"), F.to_json(own).alias("input_args")).withColumn("key", node_key(F.col("input_head"), F.col("input_args")))
-    first = settle(keys.groupBy("id", "key").agg(F.min("pos").alias("pos")), "wanted")
-    found = meeting(first, "key")(nodes.groupBy("key").agg(F.min("id").alias("input_id")), "left")
+    deal = dealing(nodes, keys)
+    first = settle(deal(keys.select("id", "key", "pos"), "id", "key").groupBy("id", "key").agg(F.min("pos").alias("pos")), "wanted")
+    found = meeting(first, "key", deal)(deal(nodes.select("key", "id"), "key").groupBy("key").agg(F.min("id").alias("input_id")), "left")
     return settle(found.select("id", "input_id", "pos", "key"), "edges")
 
 
@@ -180,9 +181,11 @@ def invalidate(nodes: DataFrame, valid: DataFrame, targets: DataFrame, depth: in
 
 def cache_usable(nodes: DataFrame, edges: DataFrame, valid: DataFrame) -> DataFrame:
     """``id`` and ``usable``: the node has inputs, and a proof for each of them."""
-    proofs = valid.select(F.col("dep_id").alias("input_id"), F.col("dependent_id").alias("id"), F.lit(1).alias("_p"))
-    counted = edges.join(proofs, ["id", "input_id"], "left").groupBy("id").agg(F.count("*").alias("_all"), F.count("_p").alias("_with"))
-    return nodes.select("id").join(counted, "id", "left").select("id", F.coalesce((F.col("_all") > 0) & (F.col("_all") == F.col("_with")), F.lit(False)).alias("usable"))
+    deal = dealing(nodes, edges, valid)
+    proofs = deal(valid.select(F.col("dep_id").alias("input_id"), F.col("dependent_id").alias("id"), F.lit(1).alias("_p")), "id", "input_id")
+    met = deal(edges.select("id", "input_id"), "id", "input_id").join(proofs, ["id", "input_id"], "left")
+    counted = deal(met.select("id", "_p"), "id").groupBy("id").agg(F.count("*").alias("_all"), F.count("_p").alias("_with"))
+    return deal(nodes.select("id"), "id").join(counted, "id", "left").select("id", F.coalesce((F.col("_all") > 0) & (F.col("_all") == F.col("_with")), F.lit(False)).alias("usable"))
 
 
 def commit_computed(nodes: DataFrame, edges: DataFrame, valid: DataFrame, computed: DataFrame, now: str, depth: int | None = None) -> tuple[DataFrame, DataFrame]:

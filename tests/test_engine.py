@@ -435,3 +435,12 @@ def test_frequent_keys_are_found_among_keys_of_their_bucket(spark, monkeypatch):
     for how in ("inner", "left", "left_semi", "left_anti"):
         rows = lambda df: sorted(map(str, df.collect()))
         assert rows(shared.meeting(many, "k")(few, how)) == rows(many.join(few, "k", how))
+
+
+def test_files_of_edges_are_small(spark, star, monkeypatch):
+    from tidelog.sources import shared
+
+    monkeypatch.setattr(shared, "FILE_ROWS", 100, raising=False)
+    derived = graph.derive_edges(star[0], graph.scheme_table(spark, graph.default_families()))
+    rows = [r["count"] for r in derived.groupBy(F.input_file_name()).count().collect()]
+    assert sum(rows) == 2000 and max(rows) <= 100

@@ -139,7 +139,7 @@ def derive_edges(nodes: DataFrame, scheme: DataFrame) -> DataFrame:
     deal = dealing(nodes, keys)
     first = settle(deal(keys.select("id", "key", "pos"), "id", "key").groupBy("id", "key").agg(F.min("pos").alias("pos")), "wanted")
     found = meeting(first, "key", deal)(deal(nodes.select("key", "id"), "key").groupBy("key").agg(F.min("id").alias("input_id")), "left")
-    return settle(found.select("id", "input_id", "pos", "key"), "edges")
+    return settle(found.select("id", "input_id", "pos", "key"), "edges", small=True)
 
 
 def closure(start: DataFrame, steps: DataFrame, depth: int | None = None) -> DataFrame:

@@ -95,6 +95,22 @@ def test_bundles_take_contexts_along(spark):
     assert listed == {"0": [("0", day), ("1", day), ("2", day)], "3": [("3", day)], "9": None}
 
 
+def test_rows_with_long_contexts_come_first_in_a_task(spark, monkeypatch):
+    monkeypatch.setattr(log, "LOT_ROWS", 5)
+    own = entries(spark, *[f"text #{'x' if i % 3 else 'y'} {i}" for i in range(90)])
+    asked = spark.range(120).select(F.col("id").cast("string").alias("id"))
+    none = spark.createDataFrame([], "id string, value string, error string, path string, text string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = bundle.entry_bundle(own, asked, none, none, lambda rows: bundle.add_details(rows, own, told=("date",)))
+        rows = found.select(F.spark_partition_id().alias("task"), F.monotonically_increasing_id().alias("at"), F.coalesce(F.size("basic_context"), F.lit(0)).alias("n")).orderBy("at").collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    sizes = {t: [r.n for r in rows if r.task == t] for t in {r.task for r in rows}}
+    assert len(rows) == 120 and any(len(set(n)) == 3 for n in sizes.values())
+    assert all(n == sorted(n, reverse=True) for n in sizes.values())
+
+
 def test_replay_of_repeated_lives(spark):
     rows = [(0, "a", "add"), (1, "a", "delete"), (2, "a", "add"), (3, "a", "add"), (4, "b", "add"), (5, "b", "edit"), (6, "c", "add"), (7, "c", "delete"), (8, "d", "edit"), (9, "e", "add"), (10, "e", "delete"), (11, "e", "edit")]
     own = spark.createDataFrame([(*r, "x") for r in rows], "change_seq bigint, id string, action string, event string")

@@ -8,6 +8,7 @@ from tidelog.functions import keys, media
 from tidelog.functions import text as tx
 from tidelog.functions import time as tm
 from tidelog.operators import bundle, changes, graph, intervals, log, merge
+from tidelog.sources.shared import settle
 from tidelog.sources.snapshot import scan_snapshot
 
 
@@ -111,6 +112,20 @@ def test_rows_with_long_contexts_come_first_in_a_task(spark, monkeypatch):
     assert all(n == sorted(n, reverse=True) for n in sizes.values())
 
 
+def test_lists_have_few_copies(spark, monkeypatch):
+    monkeypatch.setattr(log, "LOT_ROWS", 2)
+    monkeypatch.setattr(log, "COPIES", 4)
+    rows = [(str(i), i, "text", "2024-01-01T00:00:00+0000", "text", ["all", f"t{i % 3}", f"u{i % 50}"][i % 2 :]) for i in range(400)]
+    own = spark.createDataFrame(rows, "id string, seq bigint, type string, date string, input string, hashtags array<string>")
+    written = {}
+    monkeypatch.setattr(log, "settle", lambda df, name="step", **more: written.setdefault(name, settle(df, name, **more)))
+    found = {r.e_id: r.context for r in log.event_context(own).collect()}
+    lots = written["lots"].groupBy("last").agg(F.sum("lots").alias("lots"), F.count("*").alias("tags"), F.max("lots").alias("most")).collect()
+    assert all(r.lots <= r.tags + 4 for r in lots) and max(r.most for r in lots) > 1
+    pairs = log.context_pairs(own).groupBy("e_id").agg(F.array_sort(F.collect_list(F.struct("o_seq", "o_id"))).alias("c"))
+    assert found == {r.e_id: [x.o_id for x in r.c] for r in pairs.collect()}
+
+
 def test_replay_of_repeated_lives(spark):
     rows = [(0, "a", "add"), (1, "a", "delete"), (2, "a", "add"), (3, "a", "add"), (4, "b", "add"), (5, "b", "edit"), (6, "c", "add"), (7, "c", "delete"), (8, "d", "edit"), (9, "e", "add"), (10, "e", "delete"), (11, "e", "edit")]
     own = spark.createDataFrame([(*r, "x") for r in rows], "change_seq bigint, id string, action string, event string")
